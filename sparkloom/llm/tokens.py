@@ -9,17 +9,19 @@ from itertools import chain
 
 import numpy as np
 
-#: How many words a worker remembers with their ids before it starts anew; a bound on memory, not on texts.
+#: How many words a worker remembers in each of two generations; a bound on memory, not on texts.
 REMEMBERED = 400_000
-SEPARATOR, SEPARATOR_ID = "<|endoftext|>", 49407
+SEPARATOR, SEPARATOR_ID, WORD_END = "<|endoftext|>", 49407, "</w>"
 _SPECIAL = re.compile(r"<\|(?:startoftext|endoftext)\|>")
 
 
 class Words:
     """Encodes texts with a word-level BPE whose pre-tokenizer never joins what a space separates.
 
-    Words between spaces are encoded once and remembered.  New words go through the tokenizer in one text, set apart by
-    a special token that none of them holds; texts with special tokens in them are encoded whole.
+    Words between spaces are encoded once and remembered; when a generation is full it becomes the old one, from which
+    words that are met again move on.  New words of letters go through the tokenizer in one text and are told apart by
+    the mark on their last token.  A stop or comma behind letters is a token of its own.  Other new words are set apart
+    by a special token that none of them holds; texts with special tokens in them are encoded whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -28,11 +30,27 @@ class Words:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith(WORD_END)]] = True
+        self.marks = {c: self._whole(c) for c in ".,"}
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _learn(self, new: list[str]) -> None:
+    def _letters(self, new: list[str]) -> None:
+        for at in range(0, len(new), 20_000):
+            part = new[at : at + 20_000]
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, dtype="<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) != len(part):
+                self._apart(part)
+                continue
+            raw, bounds = ids.tobytes(), [0, *(4 * ends).tolist()]
+            self.known.update(zip(part, [raw[a:b] for a, b in zip(bounds, bounds[1:])]))
+
+    def _apart(self, new: list[str]) -> None:
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
             ids = np.array(self.tokenizer.encode(SEPARATOR.join(part), add_special_tokens=False).ids, dtype="<u4")
@@ -41,6 +59,35 @@ class Words:
             raw = ids.tobytes()
             self.known.update((w, raw[4 * a : 4 * b]) for w, a, b in zip(part, starts.tolist(), ends.tolist()))
 
+    def _learn(self, new: list[str]) -> None:
+        letters, marked, rest = set(), [], []
+        for w in new:
+            if w.isalpha():
+                letters.add(w)
+            elif w[-1:] in self.marks and w[:-1].isalpha():
+                marked.append(w)
+                if w[:-1] not in self.known:
+                    letters.add(w[:-1])
+            else:
+                rest.append(w)
+        self._letters(list(letters))
+        self._apart(rest)
+        known, marks = self.known, self.marks
+        for w in marked:
+            known[w] = known[w[:-1]] + marks[w[-1]]
+
+    def _know(self, words: set[str]) -> None:
+        new = [w for w in words if w not in self.known]
+        if len(self.known) + len(new) > REMEMBERED:
+            self.old, self.known, new = self.known, {}, words
+        fresh = []
+        for w in new:
+            if (ids := self.old.get(w)) is None:
+                fresh.append(w)
+            else:
+                self.known[w] = ids
+        self._learn(fresh)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         out: list[bytes] = []
@@ -48,12 +95,7 @@ class Words:
             some = texts[at : at + 256]
             whole = {i: self._whole(t) for i, t in enumerate(some) if "<|" in t and _SPECIAL.search(t)}
             split = [[] if i in whole else _fold(t).replace("\n", " ").split(" ") for i, t in enumerate(some)]
-            distinct = set(chain.from_iterable(split))
-            if new := [w for w in distinct if w not in self.known]:
-                if len(self.known) + len(new) > REMEMBERED:
-                    self.known.clear()
-                    new = list(distinct)
-                self._learn(new)
+            self._know(set(chain.from_iterable(split)))
             known = self.known
             out += [whole[i] if i in whole else b"".join([known[w] for w in ws]) for i, ws in enumerate(split)]
         return out
