@@ -3,15 +3,18 @@
 1. Documents with equal shingle sets are one node (128-bit fingerprint of the set).
 2. A pair at or above the threshold shares one of the first ``n - ceil(t * n) + 1`` shingles of either set in any common
    order.  The order puts rare shingles first, by a sketch of fixed size that counts all documents' shingles, so that
-   passages in many documents hardly ever stand among those first ones.  Nodes that share one of them are connected, and
-   only within such a connected block can links be.
-3. In a block, nodes are ordered by set size and cut into tiles of ``tile`` nodes; a cell is a pair of tiles.  Within a cell,
-   sizes bound the band of partners, hashed parity bitmaps bound the overlap from above by their bit counts, and what
-   is left is settled by intersecting the sorted arrays.  Pairs that are already connected in the cell need no look.
-4. A cell gives back the edges of a forest, fewer than its nodes; components come from alternating large and small stars.
+   passages in many documents hardly ever stand among those first ones.  Nodes that share one of them are compared.
+3. Nodes to compare are ordered by set size and cut into tiles of ``tile`` nodes; a cell is a pair of tiles.  Within a
+   cell, sizes bound the band of partners, and hashed parity bitmaps bound the overlap from above by their bit counts.
+   Pairs within the bound connect nodes to blocks.
+4. Blocks are cut into tiles and cells in the same way, and within a cell the pairs within the bound are settled by
+   intersecting the sorted arrays of their shingles.  Pairs that are already connected need no look.
+5. A cell gives back the edges of a forest, fewer than its nodes; components come from alternating large and small stars.
 
 Nothing grows with the square of a group except bitmap comparisons inside cells.  No links or components reach the
-driver; what is collected and broadcast is the sketch, ``2**SKETCH`` bytes.  Lineage is cut in the shared folder.
+driver; what is collected and broadcast is the sketch, ``2**SKETCH`` bytes.  The members of blocks are joined with the
+texts by broadcast only if a count shows at most ``small`` of them, and by shuffling otherwise.  Lineage is cut in the
+shared folder.
 
 Defined cases: null texts and texts without words have no shingle and are linked with nothing; a null doc_id is linked
 with nothing and has a null component; repeated rows are one node; an empty table gives an empty result; extra columns
@@ -32,38 +35,53 @@ from pyspark.sql import functions as F
 from .ann import by_key
 from .store import keep
 
-SKETCH = 18
-CHUNK = 4096
+SKETCH = 20
+CHUNK = 16384
 REMEMBERED = 400_000
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-_WORDS: dict[bytes, int] = {}
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = x ^ (x >> np.uint64(30))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> np.uint64(27))
-    x = x * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def shingles(text: str | None, words: int = 4) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the shingles of a text."""
-    ws = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
-    if not ws:
-        return np.zeros(0, dtype=np.uint64)
-    if len(_WORDS) > REMEMBERED:
-        _WORDS.clear()
-    known = _WORDS
-    for w in set(ws):
-        if w not in known:
-            known[w] = xxhash.xxh64_intdigest(w)
-    h = np.array([known[w] for w in ws], dtype=np.uint64)
-    k = min(words, len(h))
-    x = np.full(len(h) - k + 1, k, dtype=np.uint64)
-    for i in range(k):
-        x = _mixed(x * np.uint64(0x9E3779B97F4A7C15) + h[i : len(h) - k + 1 + i])
-    return np.unique(x)
+
+
+class _Hashes(dict):
+    """The hash of each word, remembered up to a bound."""
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) > REMEMBERED:
+            self.clear()
+        h = self[word] = xxhash.xxh64_digest(word)
+        return h
+
+
+_WORDS = _Hashes()
+
+
+def _hashed(texts: list[str | None], words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all shingles of all texts in order, and where those of each text begin and end."""
+    parts, lengths = [], []
+    for text in texts:
+        ws = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
+        lengths.append(len(ws))
+        parts.append(b"".join(map(_WORDS.__getitem__, ws)))
+    h = np.frombuffer(b"".join(parts), dtype=np.uint64)
+    n = np.array(lengths, dtype=np.int64)
+    starts = np.cumsum(n) - n
+    x = h.copy()
+    for i in range(1, words):
+        x[: len(h) - i] = x[: len(h) - i] * np.uint64(0x9E3779B97F4A7C15) + h[i:]
+    for t in np.flatnonzero((n > 0) & (n < words)):
+        value = int(n[t])
+        for word in h[starts[t] : starts[t] + n[t]].tolist():
+            value = (value * 0x9E3779B97F4A7C15 + word + 1) % 2**64
+        x[starts[t]] = value
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    x ^= x >> np.uint64(32)
+    return x, starts, starts + np.where(n > 0, np.maximum(n - words + 1, 1), 0)
+
+
+def shingles(texts: list[str | None], words: int) -> list[np.ndarray]:
+    """Sorted distinct 64-bit hashes of the shingles of each text."""
+    x, starts, ends = _hashed(texts, words)
+    return [np.unique(x[a:b]) for a, b in zip(starts.tolist(), ends.tolist())]
 
 
 def _sketch(docs: DataFrame, words: int) -> np.ndarray:
@@ -72,9 +90,12 @@ def _sketch(docs: DataFrame, words: int) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << SKETCH, dtype=np.int64)
         for batch in batches:
-            for at in range(0, len(batch), 512):
-                some = [shingles(t, words) for t in batch[0].slice(at, 512).to_pylist()]
-                total += np.bincount((np.concatenate(some) >> np.uint64(64 - SKETCH)).astype(np.int64), minlength=1 << SKETCH)
+            for at in range(0, len(batch), 2048):
+                x, starts, ends = _hashed(batch[0].slice(at, 2048).to_pylist(), words)
+                edge = np.zeros(len(x) + 1, dtype=np.int64)
+                np.add.at(edge, starts, 1)
+                np.add.at(edge, ends, -1)
+                total += np.bincount((x[np.cumsum(edge[:-1]) > 0] >> np.uint64(64 - SKETCH)).astype(np.int64), minlength=1 << SKETCH)
         if total.any():
             parts = total.reshape(-1, CHUNK)
             yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([p.astype("<u4").tobytes() for p in parts], pa.binary())], ["chunk", "counts"])
@@ -83,38 +104,47 @@ def _sketch(docs: DataFrame, words: int) -> np.ndarray:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for chunk, counts in zip(batch[0].to_pylist(), batch[1].to_pylist()):
-                sums[chunk] = sums.get(chunk, 0) + np.frombuffer(counts, dtype="<u4" if len(counts) == 4 * CHUNK else "<i8").astype(np.int64)
+                sums[chunk] = sums.get(chunk, 0) + np.frombuffer(counts, dtype="<u4").astype(np.int64)
         if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s.astype("<i8").tobytes() for s in sums.values()], pa.binary())], ["chunk", "counts"])
+            steps = [np.floor(2 * np.log2(np.maximum(x, 1))).astype(np.uint8).tobytes() for x in sums.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(steps, pa.binary())], ["chunk", "counts"])
 
     schema = "chunk int, counts binary"
     rows = docs.select("text").mapInArrow(count, schema).repartition("chunk").mapInArrow(add, schema).collect()
-    total = np.zeros((1 << SKETCH) // CHUNK * CHUNK, dtype=np.int64)
+    steps = np.zeros(1 << SKETCH, dtype=np.uint8)
     for r in rows:
-        total[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] += np.frombuffer(bytes(r["counts"]), dtype="<i8")
-    return np.floor(2 * np.log2(np.maximum(total, 1))).astype(np.uint8)
+        steps[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(bytes(r["counts"]), dtype=np.uint8)
+    return steps
+
+
+def bitmap(s: np.ndarray) -> np.ndarray:
+    """Parities of the numbers of elements in each of ``width`` bins, a power of two of at least twice the set's size."""
+    width = 1 << max(6, int(2 * len(s) - 1).bit_length())
+    odd = np.bincount((s & np.uint64(width - 1)).astype(np.int64), minlength=width).astype(np.uint8) & 1
+    return np.packbits(odd).view(np.uint64)
 
 
 def _digests(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """doc_id, n, fp, first (the shingles that must be shared) of each row."""
+    """doc_id, n, fp, first (the shingles that must be shared), map of each row."""
     steps = docs.sparkSession.sparkContext.broadcast(_sketch(docs, words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, len(batch), 512):
                 part = batch.slice(at, 512)
-                sizes, prints, firsts = [], [], []
-                for text in part[1].to_pylist():
-                    s = shingles(text, words)
+                sizes, prints, firsts, maps = [], [], [], []
+                for s in shingles(part[1].to_pylist(), words):
                     n = len(s)
                     sizes.append(n)
                     prints.append(xxhash.xxh128_digest(s.tobytes()) if n else None)
-                    order = np.lexsort((s, steps.value[(s >> np.uint64(64 - SKETCH)).astype(np.int64)]))
-                    firsts.append(s[order[: n - (percent * n + 99) // 100 + 1]].view(np.int64) if n else None)
-                columns = [part[0], pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(firsts, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "fp", "first"])
+                    maps.append(bitmap(s).tobytes() if n else None)
+                    ranked = (steps.value[(s >> np.uint64(64 - SKETCH)).astype(np.int64)].astype(np.uint64) << np.uint64(57)) | (s >> np.uint64(7))
+                    k = n - (percent * n + 99) // 100 + 1
+                    firsts.append((np.partition(ranked, k - 1)[:k]).view(np.int64) if n else None)
+                columns = [part[0], pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(firsts, pa.list_(pa.int64())), pa.array(maps, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "fp", "first", "map"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, fp binary, first array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, fp binary, first array<long>, map binary")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -143,86 +173,96 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)
 
 
-def links_in_cell(nodes: np.ndarray, sets: list[np.ndarray], tiles: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """A forest (larger, smaller node) that connects what the links of one cell connect; sets are ordered by size."""
-    n = np.array([len(s) for s in sets], dtype=np.int64)
-    width = 1 << max(6, int(4 * n[-1] - 1).bit_length())
-    maps = np.zeros((len(sets), width // 64), dtype=np.uint64)
-    for i, s in enumerate(sets):
-        odd = np.bincount((s & np.uint64(width - 1)).astype(np.int64), minlength=width).astype(np.uint8) & 1
-        maps[i] = np.packbits(odd).view(np.uint64)
-    parent = list(range(len(sets)))
+class _Forest:
+    """Union by the smaller name, over names as they come."""
+
+    def __init__(self) -> None:
+        self.parent: dict[int, int] = {}
 
-    def find(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
+    def find(self, i: int) -> int:
+        parent = self.parent
+        p = parent.setdefault(i, i)
+        while p != i:
+            parent[i] = parent[p]
             i = parent[i]
+            p = parent[i]
         return i
 
-    out, two = [], tiles[0] != tiles[-1] or (tiles != tiles[0]).any()
+    def unite(self, x: int, y: int) -> None:
+        self.parent[max(x, y)] = min(x, y)
+
+
+def _folded(maps: list[np.ndarray]) -> np.ndarray:
+    """The bitmaps in the width of the narrowest: halves of a parity bitmap fold by exclusive or."""
+    width = min(map(len, maps))
+    out = np.empty((len(maps), width), dtype=np.uint64)
+    for i, m in enumerate(maps):
+        out[i] = m if len(m) == width else np.bitwise_xor.reduce(m.reshape(-1, width), axis=0)
+    return out
+
+
+def pairs_in_cell(n: np.ndarray, maps: list[np.ndarray], tiles: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
+    """Positions of the pairs of a cell, ordered by size, whose sizes and bit counts let them reach the threshold."""
+    two = bool((tiles != tiles[0]).any())
     ends = np.searchsorted(n, 100 * n // percent, side="right")
-    for i in range(len(sets)):
-        a, b = i + 1, int(ends[i])
-        if a >= b:
-            continue
-        apart = np.bitwise_count(maps[a:b] ^ maps[i]).sum(axis=1, dtype=np.int64)
-        both = n[a:b] + n[i]
-        fits = (100 + percent) * (both - apart) >= 2 * percent * both
-        if two:
-            fits &= tiles[a:b] != tiles[i]
-        for j in (np.flatnonzero(fits) + a).tolist():
-            x, y = find(i), find(j)
-            if x == y:
+    start = 0
+    while start < len(n):
+        # A band: rows that share one bitmap width, with all their partners.
+        stop = int(np.searchsorted(n, 2 * n[start], side="right"))
+        reach = int(ends[stop - 1])
+        m = _folded(maps[start:reach])
+        for i in range(start, stop):
+            a, b = i + 1, int(ends[i])
+            if a >= b:
                 continue
-            common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-            if 100 * common >= percent * (n[i] + n[j] - common):
-                parent[max(x, y)] = min(x, y)
-                out.append((int(max(nodes[i], nodes[j])), int(min(nodes[i], nodes[j]))))
-    return out
+            apart = np.bitwise_count(m[a - start : b - start] ^ m[i - start]).sum(axis=1, dtype=np.int64)
+            both = n[a:b] + n[i]
+            fits = (100 + percent) * (both - apart) >= 2 * percent * both
+            if two:
+                fits &= tiles[a:b] != tiles[i]
+            for j in np.flatnonzero(fits).tolist():
+                yield i, a + j
+        start = stop
 
 
-def _links(docs: DataFrame, nodes: DataFrame, words: int, percent: int, tile: int) -> DataFrame:
-    """Edges (a, b) that connect all linked nodes; ``nodes`` has node, fp, n, first."""
-    shared = nodes.select("node", F.explode("first").alias("token"))
-    shared = shared.withColumn("hub", F.min("node").over(W.partitionBy("token"))).where("node != hub")
-    blocks = components(shared.select(F.col("node").alias("a"), F.col("hub").alias("b")))
-    blocks = blocks.withColumnRenamed("node", "member")
-    inside = nodes.select("node", "fp", "n").join(blocks, F.col("node") == F.col("member"))
-    by_size = W.partitionBy("root").orderBy("n", "node")
-    inside = inside.withColumn("at", F.floor((F.row_number().over(by_size) - 1) / tile)).withColumn("tiles", F.ceil(F.count(F.lit(1)).over(W.partitionBy("root")) / tile))
-    inside = keep(inside.select("node", "fp", "root", "at", "tiles"))
+def _cells(rows: DataFrame, key: str, tile: int) -> DataFrame:
+    """``rows`` (with ``key``, n, node) with cell and at, once for each cell they belong to; lone rows go."""
+    by_size = W.partitionBy(key).orderBy("n", "node")
+    d = rows.withColumn("of", F.count(F.lit(1)).over(W.partitionBy(key))).where("of > 1")
+    d = d.withColumn("at", F.floor((F.row_number().over(by_size) - 1) / tile)).withColumn("tiles", F.ceil(F.col("of") / tile))
+    d = d.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
+    return d.withColumn("cell", F.xxhash64(key, F.least("at", "other"), F.greatest("at", "other"))).drop("of", "tiles", "other")
 
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, len(batch), 512):
-                part = batch.slice(at, 512)
-                sets = [shingles(t, words) for t in part[1].to_pylist()]
-                right = [bool(len(s)) and xxhash.xxh128_digest(s.tobytes()) == f for s, f in zip(sets, part[2].to_pylist())]
-                names = ["node", "root", "at", "tiles"]
-                columns = [part[i] for i in (0, 3, 4, 5)]
-                rows = pa.RecordBatch.from_arrays([*columns, pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], [*names, "n", "set"])
-                yield rows.filter(pa.array(right))
-
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(inside, F.col("doc_id") == F.col("node"))
-    texts = texts.select("node", "text", "fp", "root", "at", "tiles").mapInArrow(gather, "node long, root long, at long, tiles long, n long, set binary")
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))
-    cells = texts.select("node", "n", "set", "root", "at", other.alias("other"))
-    cells = cells.select(F.xxhash64("root", F.least("at", "other"), F.greatest("at", "other")).alias("cell"), "n", "node", "at", "set", "root")
-    cells = cells.repartition("cell").sortWithinPartitions("cell", "root", "n", "node")
+
+def _edges(cells: DataFrame, key: str, settle, percent: int) -> DataFrame:
+    """Edges (a, b) of forests of the pairs in the cells that ``settle`` accepts.
+
+    ``cells`` has cell, ``key``, n, node, at and a binary payload, from which ``settle`` makes (bitmap, set or None).
+    """
+    cells = cells.select("cell", key, "n", "node", "at", "payload").repartition("cell").sortWithinPartitions("cell", key, "n", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = [], []
+        forest, a, b = _Forest(), [], []
         for _, rows in by_key(batches, 0):
-            node, root = rows.column(2).to_numpy(), rows.column(5).to_numpy()
-            new = np.append(True, (node[1:] != node[:-1]) | (root[1:] != root[:-1]))
-            raw = rows.column(4).to_pylist()
-            for r in np.unique(root):
-                at = np.flatnonzero(new & (root == r))
-                if len(at) > 1:
-                    tiles = rows.column(3).to_numpy()[at]
-                    for x, y in links_in_cell(node[at], [np.frombuffer(raw[i], dtype=np.uint64) for i in at], tiles, percent):
-                        a.append(x)
-                        b.append(y)
+            group, sizes, nodes, ats = (rows.column(i).to_numpy() for i in (1, 2, 3, 4))
+            payload = rows.column(5)
+            new = np.append(True, (nodes[1:] != nodes[:-1]) | (group[1:] != group[:-1]))
+            cuts = [0, *(np.flatnonzero(group[1:] != group[:-1]) + 1).tolist(), len(group)]
+            for first, last in zip(cuts, cuts[1:]):
+                own = np.flatnonzero(new[first:last]) + first
+                if len(own) < 2:
+                    continue
+                names = nodes[own].tolist()
+                if len({forest.find(i) for i in names}) < 2:
+                    continue
+                sets = [np.frombuffer(payload[i].as_py(), dtype=np.uint64) for i in own.tolist()]
+                maps = sets if settle is None else [bitmap(s) for s in sets]
+                for i, j in pairs_in_cell(sizes[own], maps, ats[own], percent):
+                    x, y = forest.find(names[i]), forest.find(names[j])
+                    if x != y and (settle is None or settle(sets[i], sets[j])):
+                        forest.unite(x, y)
+                        a.append(max(names[i], names[j]))
+                        b.append(min(names[i], names[j]))
             if len(a) > 10_000:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
                 a, b = [], []
@@ -231,12 +271,41 @@ def _links(docs: DataFrame, nodes: DataFrame, words: int, percent: int, tile: in
     return cells.mapInArrow(run, "a long, b long")
 
 
-def classes(docs: DataFrame, words: int = 4, percent: int = 85, tile: int = 2048) -> DataFrame:
+def _links(docs: DataFrame, nodes: DataFrame, words: int, percent: int, tile: int, small: int) -> DataFrame:
+    """Edges (a, b) that connect all linked nodes; ``nodes`` has node, fp, n, first, map."""
+    shared = _cells(nodes.select("node", "n", F.explode("first").alias("token")), "token", tile)
+    maps = nodes.select(F.col("node").alias("owner"), F.col("map").alias("payload"))
+    blocks = components(_edges(shared.join(maps, F.col("node") == F.col("owner")), "token", None, percent))
+    members = nodes.select(F.col("node").alias("own"), "fp").join(blocks, F.col("own") == F.col("node")).select("node", "fp", "root")
+    members = keep(members)
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 512):
+                part = batch.slice(at, 512)
+                sets = shingles(part[1].to_pylist(), words)
+                right = [bool(len(s)) and xxhash.xxh128_digest(s.tobytes()) == f for s, f in zip(sets, part[2].to_pylist())]
+                columns = [part[0], part[3], pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["node", "root", "n", "payload"]).filter(pa.array(right, pa.bool_()))
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    members = F.broadcast(members) if members.count() <= small else members
+    sets = texts.join(members, F.col("doc_id") == F.col("node")).select("node", "text", "fp", "root")
+    sets = sets.mapInArrow(gather, "node long, root long, n long, payload binary")
+
+    def settle(x: np.ndarray, y: np.ndarray) -> bool:
+        common = len(np.intersect1d(x, y, assume_unique=True))
+        return 100 * common >= percent * (len(x) + len(y) - common)
+
+    return _edges(_cells(sets, "root", tile), "root", settle, percent)
+
+
+def classes(docs: DataFrame, words: int = 4, percent: int = 85, tile: int = 2048, small: int = 100_000) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     d = keep(_digests(docs, words, percent))
-    nodes = d.where(F.col("fp").isNotNull() & F.col("doc_id").isNotNull()).groupBy("fp").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("first").alias("first"))
-    nodes = keep(nodes)
-    roots = components(_links(docs, nodes, words, percent, tile)).withColumnRenamed("node", "member")
+    nodes = d.where(F.col("fp").isNotNull() & F.col("doc_id").isNotNull()).groupBy("fp")
+    nodes = keep(nodes.agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("first").alias("first"), F.first("map").alias("map")))
+    roots = components(_links(docs, nodes, words, percent, tile, small)).withColumnRenamed("node", "member")
     named = nodes.select("node", F.col("fp").alias("own")).join(roots, F.col("node") == F.col("member"), "left")
     named = named.select("own", F.coalesce("root", "node").alias("class"))
     out = d.select("doc_id", "n", "fp").join(named, F.col("fp") == F.col("own"), "left")
