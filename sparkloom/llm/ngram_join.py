@@ -2,7 +2,7 @@
 
 1. Documents with equal shingle sets are one node (128-bit fingerprint of the set).
 2. A pair at or above the threshold shares one of the first ``n - ceil(t * n) + 1`` shingles of either set in any common
-   order.  The order puts rare shingles first, by a sketch of fixed size that counts all documents' shingles, so that
+   order, and that one is among the first ``n - ceil(2 t / (1 + t) * n) + 1`` of the smaller set.  The order puts rare shingles first, by a sketch of fixed size that counts all documents' shingles, so that
    passages in many documents hardly ever stand among those first ones.  Nodes that share one of them are compared.
 3. Nodes to compare are ordered by set size and cut into tiles of ``tile`` nodes; a cell is a pair of tiles.  Within a
    cell, sizes bound the band of partners, and hashed parity bitmaps bound the overlap from above by their bit counts.
@@ -140,7 +140,7 @@ def _digests(docs: DataFrame, words: int, percent: int) -> DataFrame:
                     maps.append(bitmap(s).tobytes() if n else None)
                     ranked = (steps.value[(s >> np.uint64(64 - SKETCH)).astype(np.int64)].astype(np.uint64) << np.uint64(57)) | (s >> np.uint64(7))
                     k = n - (percent * n + 99) // 100 + 1
-                    firsts.append((np.partition(ranked, k - 1)[:k]).view(np.int64) if n else None)
+                    firsts.append(np.sort(np.partition(ranked, k - 1)[:k]).view(np.int64) if n else None)
                 columns = [part[0], pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(firsts, pa.list_(pa.int64())), pa.array(maps, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "fp", "first", "map"])
 
@@ -201,8 +201,11 @@ def _folded(maps: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def pairs_in_cell(n: np.ndarray, maps: list[np.ndarray], tiles: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
-    """Positions of the pairs of a cell, ordered by size, whose sizes and bit counts let them reach the threshold."""
+def pairs_in_cell(n: np.ndarray, maps: list[np.ndarray], tiles: np.ndarray, early: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
+    """Positions of the pairs of a cell, ordered by size, whose sizes and bit counts let them reach the threshold.
+
+    The smaller one of a pair must be ``early``.
+    """
     two = bool((tiles != tiles[0]).any())
     ends = np.searchsorted(n, 100 * n // percent, side="right")
     start = 0
@@ -213,7 +216,7 @@ def pairs_in_cell(n: np.ndarray, maps: list[np.ndarray], tiles: np.ndarray, perc
         m = _folded(maps[start:reach])
         for i in range(start, stop):
             a, b = i + 1, int(ends[i])
-            if a >= b:
+            if a >= b or not early[i]:
                 continue
             apart = np.bitwise_count(m[a - start : b - start] ^ m[i - start]).sum(axis=1, dtype=np.int64)
             both = n[a:b] + n[i]
@@ -237,15 +240,15 @@ def _cells(rows: DataFrame, key: str, tile: int) -> DataFrame:
 def _edges(cells: DataFrame, key: str, settle, percent: int) -> DataFrame:
     """Edges (a, b) of forests of the pairs in the cells that ``settle`` accepts.
 
-    ``cells`` has cell, ``key``, n, node, at and a binary payload, from which ``settle`` makes (bitmap, set or None).
+    ``cells`` has cell, ``key``, n, node, at, early and a binary payload, a bitmap or, with ``settle``, a set.
     """
-    cells = cells.select("cell", key, "n", "node", "at", "payload").repartition("cell").sortWithinPartitions("cell", key, "n", "node")
+    cells = cells.select("cell", key, "n", "node", "at", "payload", "early").repartition("cell").sortWithinPartitions("cell", key, "n", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest, a, b = _Forest(), [], []
         for _, rows in by_key(batches, 0):
             group, sizes, nodes, ats = (rows.column(i).to_numpy() for i in (1, 2, 3, 4))
-            payload = rows.column(5)
+            payload, early = rows.column(5), rows.column(6).to_numpy(zero_copy_only=False)
             new = np.append(True, (nodes[1:] != nodes[:-1]) | (group[1:] != group[:-1]))
             cuts = [0, *(np.flatnonzero(group[1:] != group[:-1]) + 1).tolist(), len(group)]
             for first, last in zip(cuts, cuts[1:]):
@@ -257,7 +260,7 @@ def _edges(cells: DataFrame, key: str, settle, percent: int) -> DataFrame:
                     continue
                 sets = [np.frombuffer(payload[i].as_py(), dtype=np.uint64) for i in own.tolist()]
                 maps = sets if settle is None else [bitmap(s) for s in sets]
-                for i, j in pairs_in_cell(sizes[own], maps, ats[own], percent):
+                for i, j in pairs_in_cell(sizes[own], maps, ats[own], early[own], percent):
                     x, y = forest.find(names[i]), forest.find(names[j])
                     if x != y and (settle is None or settle(sets[i], sets[j])):
                         forest.unite(x, y)
@@ -273,7 +276,13 @@ def _edges(cells: DataFrame, key: str, settle, percent: int) -> DataFrame:
 
 def _links(docs: DataFrame, nodes: DataFrame, words: int, percent: int, tile: int, small: int) -> DataFrame:
     """Edges (a, b) that connect all linked nodes; ``nodes`` has node, fp, n, first, map."""
-    shared = _cells(nodes.select("node", "n", F.explode("first").alias("token")), "token", tile)
+    shared = nodes.select("node", "n", F.posexplode("first").alias("place", "token"))
+    least = F.floor((2 * percent * F.col("n") + (99 + percent)) / (100 + percent))
+    shared = shared.select("node", "n", "token", (F.col("place") < F.col("n") - least + 1).alias("early"))
+    order = W.partitionBy("token").orderBy("n", "node")
+    smaller = F.max(F.when(F.col("early"), F.col("n"))).over(order.rowsBetween(W.unboundedPreceding, -1))
+    partner = F.coalesce(100 * smaller >= percent * F.col("n"), F.lit(False)) | (F.col("early") & F.coalesce(percent * F.lead("n").over(order) <= 100 * F.col("n"), F.lit(False)))
+    shared = _cells(shared.withColumn("partner", partner).where("partner").drop("partner"), "token", tile)
     maps = nodes.select(F.col("node").alias("owner"), F.col("map").alias("payload"))
     blocks = components(_edges(shared.join(maps, F.col("node") == F.col("owner")), "token", None, percent))
     members = nodes.select(F.col("node").alias("own"), "fp").join(blocks, F.col("own") == F.col("node")).select("node", "fp", "root")
@@ -297,7 +306,7 @@ def _links(docs: DataFrame, nodes: DataFrame, words: int, percent: int, tile: in
         common = len(np.intersect1d(x, y, assume_unique=True))
         return 100 * common >= percent * (len(x) + len(y) - common)
 
-    return _edges(_cells(sets, "root", tile), "root", settle, percent)
+    return _edges(_cells(sets.withColumn("early", F.lit(True)), "root", tile), "root", settle, percent)
 
 
 def classes(docs: DataFrame, words: int = 4, percent: int = 85, tile: int = 2048, small: int = 100_000) -> DataFrame:
