@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, bfd_packing, html_extract, license, mixing, ngram_join, packing, pii, quality_classifier, quality_rules
+from .oracle import ORACLE_SQL
 from .store import table
 
 
@@ -57,4 +58,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_quality_rules, op2_quality_classifier, op3_packing, op4_ngram_join, op5_mixing, op6_pii, op7_ann, op8_license, op9_html, op10_bfd_packing)
 }
-ORACLE_SQL: dict[str, str] = {}
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
