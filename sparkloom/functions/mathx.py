@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import cache
 
 import numpy as np
 
@@ -133,13 +134,17 @@ def dip(values: np.ndarray, counts: np.ndarray) -> float:
     return float(max(np.min(np.maximum(left, right)) / 2, 1 / (2 * n)))
 
 
-def dip_p_value(d: float, n: int, rounds: int = 500, seed: int = 42) -> float:
-    """Share of uniform samples of the same size whose dip is at least ``d``; the size is held at 2000 by scaling with its root."""
-    m = min(n, 2000)
-    scaled = d * math.sqrt(n / m) if n > m else d
+@cache
+def _uniform_dips(n: int, rounds: int, seed: int) -> np.ndarray:
     r = np.random.default_rng(seed)
-    one = np.ones(m)
-    return float(np.mean([dip(np.sort(r.random(m)), one) >= scaled for _ in range(rounds)]))
+    one = np.ones(n)
+    return np.array([dip(np.sort(r.random(n)), one) for _ in range(rounds)])
+
+
+def dip_p_value(d: float, n: int, rounds: int = 200, seed: int = 42, most: int = 600) -> float:
+    """Share of uniform samples whose dip is at least ``d``; dips of larger samples are scaled by the root of their size."""
+    m = min(n, most)
+    return float(np.mean(_uniform_dips(m, rounds, seed) >= d * math.sqrt(n / m)))
 
 
 def mixture_of_two(values: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
