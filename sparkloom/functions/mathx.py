@@ -206,8 +206,7 @@ def mutual_information(x: np.ndarray, y: np.ndarray, x_discrete: bool, y_discret
         value, radius, near, size = value[use], radius[use], near[use], size[use]
         if not len(value):
             return 0.0
-        order = np.sort(value)
-        m = np.searchsorted(order, value + radius, side="right") - np.searchsorted(order, value - radius, side="left")
+        m = (np.abs(value[:, None] - value) <= radius[:, None]).sum(axis=1)
         mi = digamma(np.array([len(value)]))[0] + digamma(near).mean() - digamma(size).mean() - digamma(m).mean()
         return float(max(0.0, mi))
     a, b = scaled(x), scaled(y)
@@ -215,6 +214,5 @@ def mutual_information(x: np.ndarray, y: np.ndarray, x_discrete: bool, y_discret
     radius = np.nextafter(np.partition(d, min(k, len(a) - 1), axis=1)[:, min(k, len(a) - 1)], 0)
     out = digamma(np.array([len(a)]))[0] + digamma(np.array([k]))[0]
     for v in (a, b):
-        order = np.sort(v)
-        out -= digamma(np.searchsorted(order, v + radius, side="right") - np.searchsorted(order, v - radius, side="left")).mean()
+        out -= digamma((np.abs(v[:, None] - v) <= radius[:, None]).sum(axis=1)).mean()
     return float(max(0.0, out))

@@ -61,17 +61,24 @@ def missing_exprs(
     return out
 
 
-def normalize(
+def normalized(
     df: DataFrame,
     numeric: Mapping[str, Sequence[float]] | None = None,
     strings: Mapping[str, Sequence[str]] | None = None,
-) -> DataFrame:
-    """The table with every effective null turned into null, in one projection; as it is if no column is eligible."""
+) -> list[Column]:
+    """The columns of ``df`` with every effective null turned into null."""
     eligible = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.StringType, *FLOATS)) or (isinstance(f.dataType, INTEGERS) and (numeric or {}).get(f.name))]
-    if not eligible:
-        return df
     gone = missing_exprs(df, eligible, numeric, strings)
-    return df.select(*[F.when(~gone[c], F.col(quoted(c))).alias(c) if c in gone else F.col(quoted(c)) for c in df.columns])
+    return [F.when(~gone[c], F.col(quoted(c))).alias(c) if c in gone else F.col(quoted(c)) for c in df.columns]
+
+
+def normalize(
+    df: DataFrame,
+    numeric: Mapping[str, Sequence[float]] | None = None,
+    strings: Mapping[str, Sequence[str]] | None = None,
+) -> DataFrame:
+    """The table with every effective null turned into null, in one projection."""
+    return df.select(*normalized(df, numeric, strings))
 
 
 def quoted(name: str) -> str:

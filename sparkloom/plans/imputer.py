@@ -11,6 +11,7 @@ import math
 import warnings
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -24,7 +25,7 @@ from ..functions import forest
 from ..functions.nulls import INTEGERS, normalize
 from ..operators.base import col, value_counts
 from ..operators.columns import kinds, number
-from ..results import ColumnImputationRecord, ImputationFitDiagnostic, ImputationResult, MissingnessFlag, NonlinearityTag, NumericFlag, NumericStats, SkewSeverity, StructuralProfile
+from ..results import ColumnImputationRecord, ImputationFitDiagnostic, ImputationResult, MissingnessFlag, NonlinearityTag, NumericFlag, NumericStats, SkewSeverity, StructuralProfileResult
 from .router import Case, mnar_fill, route
 from .serial import Serial
 
@@ -175,7 +176,7 @@ def _regressor(x: np.ndarray, y: np.ndarray, tag: NonlinearityTag | None, config
     if tag in (None, NonlinearityTag.Linear):
         design = np.c_[np.ones(len(x)), x]
         return {"kind": "linear", "beta": forest.ridge(design.T @ design, design.T @ y).tolist()}
-    return forest.fit(x, y, tag == NonlinearityTag.Complex and len(y) >= config.gradient_boost_min_rows, seed=seed)
+    return forest.fit(x, y, tag == NonlinearityTag.ComplexNonlinear and len(y) >= config.gradient_boost_min_rows, seed=seed)
 
 
 def apply_chain(state: dict, x: np.ndarray) -> np.ndarray:
@@ -280,13 +281,57 @@ def n_neighbours(config: NumericImputationConfig, features: int, rows: int, miss
     return min(k, most), k > most
 
 
-def chain_rounds(config: NumericImputationConfig, columns: Sequence[str], x: np.ndarray) -> tuple[int, float]:
-    """Rounds and tolerance: more rounds for more columns and more missing cells."""
-    declared = [config.per_column_max_iter[c] for c in columns if c in config.per_column_max_iter]
-    if config.mice_max_iter or declared:
-        return config.mice_max_iter or max(declared), 1e-3
-    gaps = float(np.isnan(x).mean()) if x.size else 0.0
-    return min(3 * config.base_max_iter, round(config.base_max_iter * (1 + gaps) + len(columns) / 10)), 1e-3
+def chain_rounds(config: NumericImputationConfig, targets: Sequence[str], columns: Sequence[str], x: np.ndarray, tag: NonlinearityTag | None, stats: Sequence[NumericStats | None], correlation) -> tuple[int, float]:
+    """Rounds and tolerance of chained equations.
+
+    More rounds for complex columns, gaps, strong correlations and few complete rows, fewer for nearly linear columns; a
+    tolerance that follows the narrowest interquartile range.
+    """
+    joint = len(targets) > 1
+    declared = [config.per_column_max_iter[c] for c in targets if c in config.per_column_max_iter]
+    tol = [s.iqr for s in stats if s and s.iqr]
+    tol = max(1e-7, min(tol) * (5e-5 if tag == NonlinearityTag.ComplexNonlinear else 1e-4)) if tol else 1e-3
+    if joint and config.mice_max_iter:
+        return config.mice_max_iter, tol
+    if declared:
+        return max(declared), tol
+    gaps = np.isnan(x)
+    rounds = config.base_max_iter + 5 * (tag == NonlinearityTag.ComplexNonlinear)
+    if joint:
+        share = float(gaps.mean()) if x.size else 0.0
+        rounds += next((extra for least, extra in ((0.4, 5), (0.2, 3), (0.1, 2)) if share >= least), 0)
+    else:
+        rounds += 2 * int(gaps[:, 1:].any(axis=0).sum())
+    known = [s.r2_gap for s in stats if s and s.r2_gap is not None]
+    if known and min(known) < 0.05:
+        rounds = max(1, rounds - 3)
+    linked = strengths(columns if joint else [c for i, c in enumerate(columns) if i and gaps[:, i].any()], columns, x, correlation)
+    if linked and (max(linked) if joint else float(np.mean(linked))) >= 0.7:
+        rounds += 3
+    complete = float((~gaps.any(axis=1)).mean()) if len(x) else 1.0
+    return max(1, rounds + (5 if complete < 0.2 else 3 if complete < 0.5 else 0)), tol
+
+
+def strengths(wanted: Sequence[str], columns: Sequence[str], x: np.ndarray, correlation) -> list[float]:
+    """The sizes of the correlations of all pairs of the wanted columns, from the profile or else from the rows."""
+    out = []
+    for a, b in combinations(wanted, 2):
+        r = correlation.get_pearson(a, b) if correlation else None
+        if r is None:
+            both = x[:, [columns.index(a), columns.index(b)]]
+            both = both[~np.isnan(both).any(axis=1)]
+            r = float(np.corrcoef(both, rowvar=False)[0, 1]) if len(both) > 1 and (both.std(axis=0) > 0).all() else None
+        if r is not None and math.isfinite(r):
+            out.append(abs(r))
+    return out
+
+
+def nearest_features(config: NumericImputationConfig, columns: Sequence[str], x: np.ndarray, correlation) -> int | None:
+    """For wide blocks, how many predictors a column typically correlates with; None: all."""
+    if len(columns) <= config.mice_n_nearest_features_min_cols:
+        return None
+    counts = [sum(r > config.mice_correlation_threshold for o in columns if o != c for r in strengths([c, o], columns, x, correlation)) for c in columns]
+    return min(max(1, int(np.median(counts))), config.mice_max_nearest_features)
 
 
 def fold_metrics(x: np.ndarray, c: int, fill, folds: int, least: int) -> tuple[float | None, float | None, float | None]:
@@ -394,7 +439,7 @@ class ImputationOrchestrator:
         self.config = config if isinstance(config, ImputationConfig) else self.pipeline.imputation
         self.seed = (self.pipeline.random_seed or 0) & SHIFTED
 
-    def fit(self, train: DataFrame, profile: StructuralProfile) -> FittedImputer:
+    def fit(self, train: DataFrame, profile: StructuralProfileResult) -> FittedImputer:
         self.config.validate()
         clean = normalize(train, profile.numeric_sentinels, profile.string_sentinels)
         typed = {c: p for c, p in profile.columns.items() if p.semantic_type is not None and c in train.columns}
@@ -412,7 +457,7 @@ class ImputationOrchestrator:
         out.numeric_sentinels, out.string_sentinels = dict(profile.numeric_sentinels), dict(profile.string_sentinels)
         return out
 
-    def fit_transform(self, train: DataFrame, profile: StructuralProfile) -> tuple[FittedImputer, ImputationResult]:
+    def fit_transform(self, train: DataFrame, profile: StructuralProfileResult) -> tuple[FittedImputer, ImputationResult]:
         fitted = self.fit(train, profile)
         return fitted, fitted.transform(train)
 
@@ -420,7 +465,7 @@ class ImputationOrchestrator:
 class _Fit:
     """One fit: routes, scalar fills, then models in the order in which they are applied."""
 
-    def __init__(self, df: DataFrame, profile: StructuralProfile, numeric: list[str], config: ImputationConfig, seed: int) -> None:
+    def __init__(self, df: DataFrame, profile: StructuralProfileResult, numeric: list[str], config: ImputationConfig, seed: int) -> None:
         self.df, self.profile, self.numeric, self.config, self.seed = df, profile, numeric, config, seed
         self.rows = df.count()
         self.out = FittedImputer({}, {}, seed=seed)
@@ -432,7 +477,7 @@ class _Fit:
     def _tag(self, c: str) -> NonlinearityTag | None:
         s = self._stats(c)
         tag = s.nonlinearity_tag if s else None
-        return NonlinearityTag.Monotonic if s and s.has_flag(NumericFlag.Bimodal) and tag == NonlinearityTag.Linear else tag
+        return NonlinearityTag.MonotonicNonlinear if s and s.has_flag(NumericFlag.Bimodal) and tag == NonlinearityTag.Linear else tag
 
     def _guard(self, c: str) -> None:
         n, declared = self.config.numeric, self.config.numeric.per_column_strategy.get(c)
@@ -504,9 +549,9 @@ class _Fit:
     def _chain(self, columns: list[str], targets: list[str], tag: NonlinearityTag | None) -> None:
         x = matrix(self.df, columns, seed=self.seed)
         skewed = any((s := self._stats(c)) and s.skewness_severity not in (None, SkewSeverity.Normal) for c in targets)
-        rounds, tol = chain_rounds(self.config.numeric, targets, x)
-        n = self.config.numeric
-        nearest = n.mice_max_nearest_features if len(columns) > n.mice_n_nearest_features_min_cols else None
+        n, correlation = self.config.numeric, self.profile.dataset.feature_correlation
+        rounds, tol = chain_rounds(n, targets, columns, x, tag, [self._stats(c) for c in targets], correlation)
+        nearest = nearest_features(n, columns, x, correlation) if len(targets) > 1 else None
         at = [columns.index(c) for c in targets]
         fit = lambda m: fit_chain(m, columns, at, tag, rounds, tol, "median" if skewed else "mean", n, nearest, self.seed)
         self._add(fit(x), targets, x, apply_chain, lambda train, test: apply_chain(fit(train), test))
@@ -519,7 +564,7 @@ class _Fit:
             for c in targets:
                 self._fall_back(c, "nothing predicts the block")
             return
-        order = [NonlinearityTag.Linear, NonlinearityTag.Monotonic, NonlinearityTag.Complex]
+        order = [NonlinearityTag.Linear, NonlinearityTag.MonotonicNonlinear, NonlinearityTag.ComplexNonlinear]
         self._chain(self._usable(targets), targets, max((t for t in tags if t in order), key=order.index, default=None))
 
     def _usable(self, first: list[str]) -> list[str]:

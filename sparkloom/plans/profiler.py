@@ -22,14 +22,14 @@ from ..operators import pairs as P
 from ..operators.base import col, per_column, top_values, value_counts
 from ..operators.types import detect
 from ..results import (
-    AssociationPair, BimodalStats, BooleanFlag, BooleanStats, CategoricalFlag, CategoricalStats, ColumnMissingness, ColumnProfile,
-    CorrelationProfile, DatasetStats, DatetimeFlag, DatetimeStats, FeatureScore, HistogramBin, ImbalanceMetrics, InferredGranularity,
-    KurtosisTag, MissingnessFlag, MissingSeverity, NonlinearityTag, NumericFlag, NumericStats, OverrideCoercionError, PairCorrelation,
-    Percentiles, RareCategoryStats, RedundancyGroup, RowMissingnessDistribution, SkewSeverity, StructuralProfile, TailAsymmetry,
-    TargetFlag, TargetProblemType, TargetProfile, TemporalSignals, TextStats, TopValue, TypeFlag,
+    BimodalStats, BooleanFlag, BooleanStats, CategoricalFlag, CategoricalStats, CategoricalTargetCorrelation, ColumnMissingnessProfile, ColumnProfile,
+    CorrelationPair, CorrelationProfileResult, CramerVPair, DatasetStats, DatetimeFlag, DatetimeStats, EtaSquaredPair, HistogramBin, ImbalanceMetrics,
+    InferredGranularity, KurtosisTag, MissingnessFlag, MissingSeverity, MutualInformationEntry, NearRedundancyGroup, NonlinearityTag, NumericFlag, NumericStats,
+    NumericTargetCorrelation, OverrideCoercionError, PercentileSnapshot, RareCategoryStats, RowMissingnessDistribution, SkewSeverity, StructuralProfileResult,
+    TailAsymmetryTag, TargetFlag, TargetProblemType, TargetProfileResult, TargetType, TemporalSignals, TextStats, TopValueEntry, TypeFlag,
 )
 
-#: Estimated bytes from which the reference would have worked in chunks; only told, Spark needs no such mode.
+#: Estimated bytes from which a profile says that the table is large and breaks its size down by column.
 CHUNKED_BYTES = 500 * 1024 * 1024
 
 
@@ -48,7 +48,7 @@ def severity(ratio: float, config) -> MissingSeverity | None:
 def skew_severity(skew: float | None, config) -> SkewSeverity | None:
     if skew is None:
         return None
-    for limit, name in ((config.skew_normal_max, SkewSeverity.Normal), (config.skew_moderate_max, SkewSeverity.Moderate), (config.skew_high_max, SkewSeverity.High)):
+    for limit, name in ((config.skew_normal, SkewSeverity.Normal), (config.skew_moderate, SkewSeverity.Moderate), (config.skew_high, SkewSeverity.High)):
         if abs(skew) < limit:
             return name
     return SkewSeverity.Severe
@@ -57,52 +57,50 @@ def skew_severity(skew: float | None, config) -> SkewSeverity | None:
 def kurtosis_tag(kurtosis: float | None, config) -> KurtosisTag | None:
     if kurtosis is None:
         return None
-    if kurtosis < config.kurtosis_platykurtic_max:
+    if kurtosis < config.kurt_platykurtic_upper:
         return KurtosisTag.Platykurtic
-    return KurtosisTag.Leptokurtic if kurtosis > config.kurtosis_leptokurtic_min else KurtosisTag.Mesokurtic
+    return KurtosisTag.Leptokurtic if kurtosis > config.kurt_leptokurtic_lower else KurtosisTag.Mesokurtic
 
 
-def scale_anomaly(low: float, high: float, orders: float) -> bool:
-    """The larger end is at least 10**orders times the smaller; ends within 1 are exempt, a zero end counts as 1."""
+def scale_anomaly(low: float, high: float, orders: int) -> bool:
+    """The maximum is at least 10**orders times the minimum, in size; ends within 1 are exempt, a zero minimum counts as 1."""
     a, b = abs(low), abs(high)
-    if a <= 1 and b <= 1:
-        return False
-    return max(a, b) / (min(a, b) or 1.0) >= 10**orders
+    return b > 0 and max(a, b) > 1 and b / (a or 1.0) >= 10**orders
 
 
-def tail_share(q: Percentiles, config) -> tuple[float | None, TailAsymmetry | None]:
+def tail_share(q: PercentileSnapshot, config) -> tuple[float | None, TailAsymmetryTag | None]:
     """The right tail's part of both tails."""
     right, left = q.p99 - q.p95, q.p5 - q.p1
     if right + left <= 0:
         return None, None
     share = right / (right + left)
-    tag = TailAsymmetry.Right if share > config.tail_right_share else TailAsymmetry.Left if share < config.tail_left_share else TailAsymmetry.Symmetric
+    tag = TailAsymmetryTag.RightHeavy if share > config.tail_asymmetry_right_share_threshold else TailAsymmetryTag.LeftHeavy if share < config.tail_asymmetry_left_share_threshold else TailAsymmetryTag.Symmetric
     return share, tag
 
 
 def nonlinearity_tag(r2_forest: float, r2_linear: float, discrepancy: float, excess: float, config) -> NonlinearityTag:
     gap = r2_forest - r2_linear
-    if r2_forest < config.r2_rf_threshold:
+    if r2_forest < config.r2_rf_unpredictable_threshold:
         return NonlinearityTag.Unpredictable
-    if discrepancy >= config.discrepancy_threshold and gap < config.r2_gap_threshold:
-        return NonlinearityTag.Monotonic
-    if gap >= config.r2_gap_threshold or excess >= config.mi_threshold:
-        return NonlinearityTag.Complex
+    if discrepancy >= config.spearman_pearson_discrepancy_threshold and gap < config.r2_gap_threshold:
+        return NonlinearityTag.MonotonicNonlinear
+    if gap >= config.r2_gap_threshold or excess >= config.mutual_information_threshold:
+        return NonlinearityTag.ComplexNonlinear
     return NonlinearityTag.Linear
 
 
-def redundancy_groups(pairs: Sequence[tuple[str, str]]) -> list[RedundancyGroup]:
+def redundancy_groups(pairs: Sequence[tuple[str, str]]) -> list[NearRedundancyGroup]:
     groups: list[set[str]] = []
     for a, b in pairs:
         touched = [g for g in groups if a in g or b in g]
         groups = [g for g in groups if g not in touched] + [set().union({a, b}, *touched)]
-    return [RedundancyGroup(sorted(g), sorted(g)[1:]) for g in sorted(groups, key=sorted)]
+    return [NearRedundancyGroup(sorted(g), sorted(g)[1:]) for g in sorted(groups, key=sorted)]
 
 
 # Profiles of columns by type
 
 
-def missingness_profiles(df: DataFrame, columns: Sequence[str], config: ProfileConfig) -> tuple[dict[str, ColumnMissingness], dict[str, dict[str, float]]]:
+def missingness_profiles(df: DataFrame, columns: Sequence[str], config: ProfileConfig) -> tuple[dict[str, ColumnMissingnessProfile], dict[str, dict[str, float]]]:
     """Profiles by column, and the matrix of indicator correlations of columns with missing cells."""
     if not columns:
         return {}, {}
@@ -111,7 +109,7 @@ def missingness_profiles(df: DataFrame, columns: Sequence[str], config: ProfileC
     out = {}
     for r in C.missingness(df, columns, *sentinels).collect():
         n = r["total_rows"]
-        p = ColumnMissingness(r["column"], n, r["standard_nulls"], r["effective_nulls"], *[x / n if n else 0.0 for x in (r["standard_nulls"], r["effective_nulls"])])
+        p = ColumnMissingnessProfile(r["column"], n, r["standard_nulls"], r["effective_nulls"], *[x / n if n else 0.0 for x in (r["standard_nulls"], r["effective_nulls"])])
         p.severity = severity(p.effective_null_ratio, m)
         if n and p.effective_null_count == n:
             p.flags.append(MissingnessFlag.FullyNull)
@@ -143,7 +141,7 @@ def numeric_profiles(df: DataFrame, columns: Sequence[str], config, overrides: s
     for r in sorted(top_values(counts, 10).collect(), key=lambda r: r["place"]):
         tops[r["column"]].append(r)
     centre = {c: (rows[c]["mean"], rows[c]["std"]) for c in columns if rows[c]["n"] and rows[c]["std"]}
-    density = {r["column"]: r["outlier_density"] for r in C.outlier_density(df, centre, config.outlier_sigma).collect()} if centre else {}
+    density = {r["column"]: r["outlier_density"] for r in C.outlier_density(df, centre, config.outlier_sigma_threshold).collect()} if centre else {}
     out = {}
     for c in columns:
         r, s = rows[c], NumericStats()
@@ -154,7 +152,7 @@ def numeric_profiles(df: DataFrame, columns: Sequence[str], config, overrides: s
                 raise OverrideCoercionError(f"no value of {c!r} is a number")
             out[c] = s
             continue
-        s.percentiles = Percentiles(*[r[k] for k in C.QUANTILES])
+        s.percentiles = PercentileSnapshot(*[r[k] for k in C.QUANTILES])
         s.mean, s.median, s.min, s.max, s.std = r["mean"], r["p50"], r["min"], r["max"], r["std"]
         s.variance = s.std**2
         s.mean_median_ratio = s.mean / s.median if s.median else (1.0 if s.mean == 0 else None)
@@ -165,18 +163,18 @@ def numeric_profiles(df: DataFrame, columns: Sequence[str], config, overrides: s
         if s.mode_frequency > config.near_constant_threshold:
             s.flags.append(NumericFlag.NearConstant)
         if isinstance(types[c], (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
-            s.top_values = [TopValue(int(t["value"]), t["n"], t["n"] / r["rows"]) for t in tops[c]]
+            s.top_values = [TopValueEntry(int(t["value"]), t["n"], t["n"] / r["rows"]) for t in tops[c]]
         else:
             bins = mathx.histogram_bins(r["n"], s.min, s.max, s.percentiles.iqr)
             low, high = (s.min, s.max) if s.min < s.max else (s.min - 0.5, s.max + 0.5)
             found = {h["bin"]: h["n"] for h in C.histogram(df, c, s.min, s.max, bins).collect()}
             width = (high - low) / bins
             s.histogram = [HistogramBin(low + i * width, low + (i + 1) * width, found.get(i, 0), found.get(i, 0) / r["n"]) for i in range(bins)]
-        if scale_anomaly(s.min, s.max, config.scale_anomaly_orders):
+        if scale_anomaly(s.min, s.max, config.scale_orders_of_magnitude):
             s.flags.append(NumericFlag.ScaleAnomaly)
-        s.tail_share, s.tail_asymmetry = tail_share(s.percentiles, config)
+        s.tail_asymmetry_share, s.tail_asymmetry_tag = tail_share(s.percentiles, config)
         s.outlier_density = density.get(c, 0.0)
-        if s.outlier_density > config.outlier_density_threshold:
+        if s.outlier_density > config.high_outlier_density_threshold:
             s.flags.append(NumericFlag.HighOutlierDensity)
         if NumericFlag.NearConstant not in s.flags and r["n"] >= 3 and s.std:
             s.bimodal_stats = bimodal(df, c, s, r["n"], config)
@@ -208,7 +206,7 @@ def bimodal(df: DataFrame, column: str, s: NumericStats, n: int, config) -> Bimo
     values, counts = summary_points(df, column, n)
     d = mathx.dip(values, counts)
     p = mathx.dip_p_value(d, n)
-    if p >= config.dip_p_value_threshold:
+    if p >= config.bimodal_dip_p_value_threshold:
         return None
     mean, std, share = mathx.mixture_of_two(values, counts)
     separation = float(abs(mean[0] - mean[1]) * math.sqrt(2) / math.sqrt(float(std[0] ** 2 + std[1] ** 2))) if std.any() else math.inf
@@ -234,7 +232,7 @@ def categorical_profiles(df: DataFrame, columns: Sequence[str], config) -> dict[
         r = rows[c]
         n, total = r["rows"], r["total"]
         s = CategoricalStats(r["cardinality"], r["cardinality"] / n if n else 0.0, r["mode_count"] / total if total else 0.0)
-        s.top_values = [TopValue(t["value"], t["n"], t["n"] / total) for t in tops[c]]
+        s.top_values = [TopValueEntry(t["value"], t["n"], t["n"] / total) for t in tops[c]]
         s.rare_categories = RareCategoryStats(
             config.rare_threshold_pct, r["rare_categories"], r["rare_rows"], r["rare_rows"] / total if total else 0.0, labels[c], config.stratification_rare_threshold_pct
         )
@@ -307,7 +305,7 @@ def datetime_profiles(df: DataFrame, columns: Sequence[str], config, formats=Non
     return {c: out[c] for c in columns}
 
 
-def target_profile(df: DataFrame, column: str, config: ProfileConfig) -> TargetProfile:
+def target_profile(df: DataFrame, column: str, config: ProfileConfig) -> TargetProfileResult:
     """Problem type and profile of a target, with the default settings of all profilers."""
     from ..config import CategoricalProfileConfig, NumericProfileConfig
 
@@ -324,7 +322,7 @@ def target_profile(df: DataFrame, column: str, config: ProfileConfig) -> TargetP
         kind = TargetProblemType.Unknown if too_many or n_unique < 2 else TargetProblemType.BinaryClassification if n_unique == 2 else TargetProblemType.MulticlassClassification
     elif info.semantic_type == SemanticType.Numeric:
         kind = TargetProblemType.Regression
-    t = TargetProfile(column, kind, m.effective_null_count, m.effective_null_ratio)
+    t = TargetProfileResult(column, kind, m.effective_null_count, m.effective_null_ratio)
     if t.missing_count:
         t.flags.append(TargetFlag.ContainsMissing)
     if info.semantic_type == SemanticType.Identifier:
@@ -353,44 +351,46 @@ class CorrelationProfiler:
         self.numeric, self.categorical = list(numeric_columns), list(categorical_columns)
         self.config, self.top = config or CorrelationProfileConfig(), top_n_feature_target
 
-    def profile(self, df: DataFrame) -> CorrelationProfile:
+    def profile(self, df: DataFrame) -> CorrelationProfileResult:
         return self.profile_features(df)
 
-    def profile_features(self, df: DataFrame) -> CorrelationProfile:
-        out = CorrelationProfile(list(self.numeric), list(self.categorical))
+    def profile_features(self, df: DataFrame) -> CorrelationProfileResult:
+        out = CorrelationProfileResult(list(self.numeric), list(self.categorical))
         for kind, matrix in (("pearson", out.pearson_matrix), ("spearman", out.spearman_matrix)):
             matrix |= {c: {c: 1.0} for c in self.numeric}
             if len(self.numeric) > 1:
                 for r in getattr(P, kind)(df, self.numeric).collect():
                     matrix[r["column_a"]][r["column_b"]] = matrix[r["column_b"]][r["column_a"]] = r[kind]
-        limit = self.config.near_redundant_threshold
+        limit = self.config.near_redundant_pearson_threshold
         for i, a in enumerate(self.numeric):
             for b in self.numeric[i + 1 :]:
                 r, s = out.pearson_matrix[a][b], out.spearman_matrix[a][b]
-                out.pairs.append(PairCorrelation(a, b, r, s, abs(r) > limit or abs(s) > limit))
-        out.near_redundant_pairs = [p for p in out.pairs if p.near_redundant]
-        out.redundancy_groups = redundancy_groups([(p.column_a, p.column_b) for p in out.near_redundant_pairs])
+                out.pairwise.append(CorrelationPair(a, b, r, s, abs(r) > limit or abs(s) > limit))
+        out.near_redundant_pairs = [p for p in out.pairwise if p.near_redundant]
+        out.near_redundancy_groups = redundancy_groups([(p.col_a, p.col_b) for p in out.near_redundant_pairs])
         for i, a in enumerate(self.categorical):
             for b in self.categorical[i + 1 :]:
                 v = P.cramers_v(df, a, b).first()["cramers_v"]
-                out.cramer_v_pairs.append(AssociationPair(a, b, v, v is not None and v > self.config.cramer_v_threshold))
+                out.cramer_v_pairs.append(CramerVPair(a, b, v, v is not None and v > self.config.near_redundant_cramer_v_threshold))
         for a in self.numeric:
             for b in self.categorical:
                 e = P.between_groups(df, a, b).first()["eta_squared"]
-                out.eta_squared_pairs.append(AssociationPair(a, b, e, e is not None and e > self.config.eta_squared_threshold))
+                out.eta_squared_pairs.append(EtaSquaredPair(a, b, e, e is not None and e > self.config.near_redundant_eta_squared_threshold))
+        out.near_redundant_cramer_v_pairs = [p for p in out.cramer_v_pairs if p.near_redundant]
+        out.near_redundant_eta_squared_pairs = [p for p in out.eta_squared_pairs if p.near_redundant]
         return out
 
-    def profile_target(self, df: DataFrame, features: CorrelationProfile, target: str) -> CorrelationProfile:
-        out = CorrelationProfile(**{k: getattr(features, k) for k in ("analysed_numeric_columns", "analysed_categorical_columns", "pearson_matrix", "spearman_matrix", "pairs", "near_redundant_pairs", "redundancy_groups", "cramer_v_pairs", "eta_squared_pairs")})
+    def profile_target(self, df: DataFrame, features: CorrelationProfileResult, target: str) -> CorrelationProfileResult:
+        out = CorrelationProfileResult(**{k: getattr(features, k) for k in ("analysed_numeric_columns", "analysed_categorical_columns", "pearson_matrix", "spearman_matrix", "pairwise", "near_redundant_pairs", "near_redundancy_groups", "cramer_v_pairs", "near_redundant_cramer_v_pairs", "eta_squared_pairs", "near_redundant_eta_squared_pairs")})
         numeric = [c for c in self.numeric if c != target]
         categorical = [c for c in self.categorical if c != target]
         is_number = isinstance(C.kinds(df)[target], T.NumericType)
-        out.target_column, out.target_type = target, SemanticType.Numeric if is_number else SemanticType.Categorical
+        out.target_column, out.target_type = target, TargetType.Numeric if is_number else TargetType.Categorical
         if is_number:
             values = {c: C.number(df, c) for c in [target, *numeric]}
             rows = P.correlations(df, values, "r", [(target, c) for c in numeric]).collect()
-            scores = [FeatureScore(r["column_b"], r["r"]) for r in rows]
-            out.feature_target_pearson = sorted(scores, key=lambda s: (-abs(s.value), s.feature))[: self.top]
+            scores = [NumericTargetCorrelation(r["column_b"], r["r"]) for r in rows]
+            out.feature_target_numeric = sorted(scores, key=lambda s: (-abs(s.pearson_r), s.feature))[: self.top]
             groups = [(target, c, c) for c in categorical]
         else:
             groups = [(c, target, c) for c in numeric]
@@ -398,12 +398,12 @@ class CorrelationProfiler:
         for x, g, feature in groups:
             r = P.between_groups(df, x, g).first()
             if r["f"] is not None:
-                found.append(FeatureScore(feature, r["eta_squared"], mathx.f_sf(r["f"], r["k"] - 1, r["n"] - r["k"]), r["f"]))
-        out.feature_target_anova = sorted(found, key=lambda s: (-s.value, s.feature))[: self.top]
+                found.append(CategoricalTargetCorrelation(feature, r["f"], mathx.f_sf(r["f"], r["k"] - 1, r["n"] - r["k"]), r["eta_squared"]))
+        out.feature_target_categorical = sorted(found, key=lambda s: (-s.eta_squared, s.feature))[: self.top]
         out.mutual_information = self._information(df, numeric, categorical, target, is_number)
         return out
 
-    def _information(self, df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], target: str, is_number: bool) -> list[FeatureScore]:
+    def _information(self, df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], target: str, is_number: bool) -> list[MutualInformationEntry]:
         """Exact from counts where both sides are categories, else by neighbours on a bounded sample."""
         out = []
         for c in [*numeric, *categorical]:
@@ -411,7 +411,7 @@ class CorrelationProfiler:
             if discrete and not is_number:
                 r = P.mutual_information_discrete(df, c, target).first()
                 if r["n"] and r["n"] >= self.config.mi_min_rows:
-                    out.append(FeatureScore(c, r["mi"]))
+                    out.append(MutualInformationEntry(c, r["mi"]))
                 continue
             rows = P.sample(df.select(col(c), col(target)), [c, target], self.config.mi_sample_rows, 42).collect()
             if len(rows) < self.config.mi_min_rows:
@@ -420,8 +420,11 @@ class CorrelationProfiler:
             code = lambda v: np.unique(np.array(v, dtype=str), return_inverse=True)[1]
             xs = code(x) if discrete else np.array(x, dtype=float)
             ys = np.array(y, dtype=float) if is_number else code(y)
-            out.append(FeatureScore(c, mathx.mutual_information(xs, ys, discrete, not is_number)))
-        return sorted(out, key=lambda s: (-s.value, s.feature))
+            out.append(MutualInformationEntry(c, mathx.mutual_information(xs, ys, discrete, not is_number)))
+        out.sort(key=lambda s: (-s.mi_score, s.feature))
+        for place, entry in enumerate(out, 1):
+            entry.rank = place
+        return out
 
 
 class NonlinearityProfiler:
@@ -432,16 +435,16 @@ class NonlinearityProfiler:
 
         self.columns, self.config = list(numeric_columns), config or NonlinearityProfileConfig()
 
-    def profile(self, df: DataFrame, correlation: CorrelationProfile | None = None) -> dict[str, dict]:
+    def profile(self, df: DataFrame, correlation: CorrelationProfileResult | None = None) -> dict[str, dict]:
         if len(self.columns) < 2:
             return {}
         d = df.select(*[C.number(df, c).alias(c) for c in self.columns])
         d = d.dropna().where(~F.greatest(*[F.isnan(col(c)).cast("int") for c in self.columns]).cast("boolean"))
-        rows = P.sample(d, self.columns, self.config.sample_size, self.config.random_seed).collect()
+        rows = P.sample(d, self.columns, self.config.bootstrap_sample_size, self.config.random_state).collect()
         if len(rows) < self.config.min_rows:
             return {}
         x = np.array([list(r) for r in rows], dtype=float)
-        x = x[np.random.default_rng(self.config.random_seed).permutation(len(x))]
+        x = x[np.random.default_rng(self.config.random_state).permutation(len(x))]
         correlation = correlation or CorrelationProfiler(self.columns).profile_features(df)
         out = {}
         for i, c in enumerate(self.columns):
@@ -451,10 +454,10 @@ class NonlinearityProfiler:
             mi = [mathx.mutual_information(x[:, j], x[:, i], False, False) for j in others]
             expected = [-0.5 * math.log(max(1e-12, 1 - min(pearson[self.columns[j]] ** 2, 1 - 1e-12))) for j in others]
             excess = float(np.mean([max(0.0, m - e) for m, e in zip(mi, expected)]))
-            linear, forest = _cross_validated(x[:, others], x[:, i], self.config.random_seed)
+            linear, forest = _cross_validated(x[:, others], x[:, i], self.config.random_state)
             out[c] = {
                 "spearman_pearson_discrepancy": gap, "mean_mutual_information": float(np.mean(mi)), "excess_mutual_information": excess,
-                "r2_linear": linear, "r2_forest": forest, "heteroscedasticity_p_value": breusch_pagan(d, c, [self.columns[j] for j in others]),
+                "r2_gap": forest - linear, "r2_linear": linear, "r2_forest": forest, "heteroscedasticity_p_value": breusch_pagan(d, c, [self.columns[j] for j in others]),
                 "nonlinearity_tag": nonlinearity_tag(forest, linear, gap, excess, self.config),
             }
         return out
@@ -555,7 +558,7 @@ class StructuralProfiler:
         if self.config.profiling.modality != Modality.Tabular:
             raise NotImplementedError(f"only tabular data can be profiled, not {self.config.profiling.modality}")
 
-    def profile(self, data: DataFrame) -> StructuralProfile:
+    def profile(self, data: DataFrame) -> StructuralProfileResult:
         if not isinstance(data, DataFrame):
             raise TypeError(f"a Spark DataFrame is needed, not {type(data).__name__}")
         config, p = self.config, self.config.profiling
@@ -564,7 +567,7 @@ class StructuralProfiler:
         types = {f.name: f.dataType for f in data.schema.fields}
         data = data.persist()
         try:
-            out = StructuralProfile(numeric_sentinels=dict(p.numeric_sentinels), string_sentinels=dict(p.string_sentinels))
+            out = StructuralProfileResult(numeric_sentinels=dict(p.numeric_sentinels), string_sentinels=dict(p.string_sentinels))
             out.dataset = self._dataset(data)
             missing, matrix = missingness_profiles(data, active, p)
             out.dataset.missingness_matrix = matrix
@@ -607,7 +610,7 @@ class StructuralProfiler:
             was_chunked=total > CHUNKED_BYTES,
         )
 
-    def _override(self, out: StructuralProfile) -> None:
+    def _override(self, out: StructuralProfileResult) -> None:
         for c, kind in self.config.column_overrides.items():
             if c in out.columns:
                 out.columns[c].semantic_type = kind
@@ -620,7 +623,7 @@ class StructuralProfiler:
                 out.columns[c].numeric_kind = kind
                 out.columns[c].type_flags.append(TypeFlag.NumericKindOverride)
 
-    def _statistics(self, out: StructuralProfile, data: DataFrame, active: Sequence[str]) -> None:
+    def _statistics(self, out: StructuralProfileResult, data: DataFrame, active: Sequence[str]) -> None:
         p, overrides = self.config.profiling, set(self.config.column_overrides)
         clean = normalize(data, p.numeric_sentinels, p.string_sentinels)
         of = lambda kind: [c for c in active if out.columns[c].semantic_type == kind]
@@ -636,7 +639,7 @@ class StructuralProfiler:
             out.columns[c].stats = s
 
 
-def flat(profile: StructuralProfile, spark) -> DataFrame:
+def flat(profile: StructuralProfileResult, spark) -> DataFrame:
     """The profile as rows (column, metric, value), values as text."""
     rows = []
 

@@ -10,7 +10,7 @@ from dataclasses import dataclass
 
 from ..config import ImputationStrategy as S
 from ..config import NumericImputationConfig, NumericKind
-from ..results import ColumnProfile, CorrelationProfile, KurtosisTag, MissingnessFlag, MissingSeverity, NonlinearityTag, NumericFlag, NumericStats, SkewSeverity
+from ..results import ColumnProfile, CorrelationProfileResult, KurtosisTag, MissingnessFlag, MissingSeverity, NonlinearityTag, NumericFlag, NumericStats, SkewSeverity
 
 Choice = tuple[S, str] | None
 
@@ -26,7 +26,7 @@ class Case:
     features: int
     several_mar: bool = False
     mnar: frozenset[str] = frozenset()
-    correlation: CorrelationProfile | None = None
+    correlation: CorrelationProfileResult | None = None
 
     @property
     def stats(self) -> NumericStats | None:

@@ -12,19 +12,19 @@ from pyspark.sql import types as T
 
 from ..config import SemanticType, SplitConfig
 from ..functions.casts import to_boolean
-from ..functions.nulls import normalize
+from ..functions.nulls import normalize, normalized
 from ..operators import splits as S
 from ..operators.base import col
 from ..operators.columns import number
 from ..results import (
-    BooleanStats, CategoricalStats, FoldResult, MissingnessFlag, NumericStats, SkewSeverity, SplitResult, StructuralProfile,
+    BooleanStats, CategoricalStats, FoldResult, MissingnessFlag, NumericStats, SkewSeverity, SplitResult, StructuralProfileResult,
 )
 
 _UNSET = object()
 TARGET_BUCKETS = 5
 
 
-def signal_columns(df: DataFrame, profile: StructuralProfile, target: str | None = None, config: SplitConfig | None = None) -> dict[str, Column]:
+def signal_columns(df: DataFrame, profile: StructuralProfileResult, target: str | None = None, config: SplitConfig | None = None) -> dict[str, Column]:
     """Named boolean signals of the normalised table ``df``: missing cells, extremes, rare labels, minorities, target."""
     config = config or SplitConfig()
     out: dict[str, Column] = {}
@@ -72,7 +72,7 @@ def signal_columns(df: DataFrame, profile: StructuralProfile, target: str | None
     return out
 
 
-def label_matrix(df: DataFrame, profile: StructuralProfile, target: str | None = None, config: SplitConfig | None = None) -> tuple[DataFrame, dict[str, Column]]:
+def label_matrix(df: DataFrame, profile: StructuralProfileResult, target: str | None = None, config: SplitConfig | None = None) -> tuple[DataFrame, dict[str, Column]]:
     """The normalised table, and the signals that occur, the rarest ``max_stratification_signals`` of them in their order."""
     config = config or SplitConfig()
     clean = normalize(df, profile.numeric_sentinels, profile.string_sentinels)
@@ -153,28 +153,24 @@ class DataSplitter:
         by = self.target if self._stratify(stratify) else None
         return self._folds(S.folds(self.df, self._check_k(k), self.random_seed, by), k, "__fold")
 
-    def _signals(self, profile: StructuralProfile) -> list[Column]:
-        """Signals over the raw table: the normalised cells are expressions of it."""
+    def _parts(self, profile: StructuralProfileResult, parts: list[float]) -> DataFrame | None:
+        """The rows as they came with ``__part``; signals look at normalised cells beside them."""
         _, signals = label_matrix(self.df, profile, self.target, self.config)
-        return list(signals.values())
-
-    def _parts(self, profile: StructuralProfile, parts: list[float]) -> DataFrame | None:
-        clean, signals = label_matrix(self.df, profile, self.target, self.config)
         if not signals:
             return None
         raw = [f"__raw{i}" for i in range(len(self.df.columns))]
-        both = self.df.select("*", *[col(c).alias(r) for c, r in zip(self.df.columns, raw)])
-        cleaned = normalize(both, profile.numeric_sentinels, profile.string_sentinels)
-        d = S.by_signals(cleaned.select(*[col(c) for c in self.df.columns], *raw), list(signals.values()), parts, self.random_seed)
+        clean = normalized(self.df, profile.numeric_sentinels, profile.string_sentinels)
+        both = self.df.select(*clean, *[col(c).alias(r) for c, r in zip(self.df.columns, raw)])
+        d = S.by_signals(both, list(signals.values()), parts, self.random_seed)
         return d.select(*[F.col(r).alias(c) for c, r in zip(self.df.columns, raw)], "__part")
 
-    def profile_stratified_split(self, profile: StructuralProfile, test_size: float) -> SplitResult:
+    def profile_stratified_split(self, profile: StructuralProfileResult, test_size: float) -> SplitResult:
         d = self._parts(profile, [1 - self._share(test_size), test_size])
         if d is None:
             return self.random_split(test_size, stratify=False)
         return self._marked(d.withColumn("__test", F.col("__part") == 1))
 
-    def profile_stratified_kfold(self, profile: StructuralProfile, k: int) -> list[FoldResult]:
+    def profile_stratified_kfold(self, profile: StructuralProfileResult, k: int) -> list[FoldResult]:
         d = self._parts(profile, [1 / self._check_k(k)] * k)
         return self.kfold(k, stratify=False) if d is None else self._folds(d, k, "__part")
 

@@ -59,16 +59,16 @@ class KurtosisTag(StrEnum):
     Leptokurtic = "leptokurtic"
 
 
-class TailAsymmetry(StrEnum):
+class TailAsymmetryTag(StrEnum):
     Symmetric = "symmetric"
-    Right = "right"
-    Left = "left"
+    RightHeavy = "right_heavy"
+    LeftHeavy = "left_heavy"
 
 
 class NonlinearityTag(StrEnum):
     Linear = "linear"
-    Monotonic = "monotonic"
-    Complex = "complex"
+    MonotonicNonlinear = "monotonic_nonlinear"
+    ComplexNonlinear = "complex_nonlinear"
     Unpredictable = "unpredictable"
 
 
@@ -135,7 +135,7 @@ class ColumnTypeInfo(Flagged):
 
 
 @dataclass
-class ColumnMissingness(Flagged):
+class ColumnMissingnessProfile(Flagged):
     column: str
     total_rows: int
     standard_null_count: int = 0
@@ -159,7 +159,7 @@ class RowMissingnessDistribution(Serial):
 
 
 @dataclass
-class TopValue(Serial):
+class TopValueEntry(Serial):
     value: Any
     count: int
     percentage: float
@@ -174,7 +174,7 @@ class HistogramBin(Serial):
 
 
 @dataclass
-class Percentiles(Serial):
+class PercentileSnapshot(Serial):
     p1: float
     p5: float
     p25: float
@@ -205,13 +205,13 @@ class NumericStats(Flagged):
     mean_median_ratio: float | None = None
     mode: float | None = None
     mode_frequency: float = 0.0
-    top_values: list[TopValue] = field(default_factory=list)
+    top_values: list[TopValueEntry] = field(default_factory=list)
     histogram: list[HistogramBin] = field(default_factory=list)
     std: float | None = None
     variance: float | None = None
     min: float | None = None
     max: float | None = None
-    percentiles: Percentiles | None = None
+    percentiles: PercentileSnapshot | None = None
     skewness: float | None = None
     kurtosis: float | None = None
     skewness_severity: SkewSeverity | None = None
@@ -221,12 +221,13 @@ class NumericStats(Flagged):
     spearman_pearson_discrepancy: float | None = None
     mean_mutual_information: float | None = None
     excess_mutual_information: float | None = None
+    r2_gap: float | None = None
     r2_linear: float | None = None
     r2_forest: float | None = None
     heteroscedasticity_p_value: float | None = None
     bimodal_stats: BimodalStats | None = None
-    tail_asymmetry: TailAsymmetry | None = None
-    tail_share: float | None = None
+    tail_asymmetry_tag: TailAsymmetryTag | None = None
+    tail_asymmetry_share: float | None = None
     outlier_density: float | None = None
 
     @property
@@ -256,7 +257,7 @@ class CategoricalStats(Flagged):
     cardinality: int = 0
     unique_ratio: float = 0.0
     mode_frequency: float = 0.0
-    top_values: list[TopValue] = field(default_factory=list)
+    top_values: list[TopValueEntry] = field(default_factory=list)
     rare_categories: RareCategoryStats = field(default_factory=RareCategoryStats)
     imbalance: ImbalanceMetrics = field(default_factory=ImbalanceMetrics)
     flags: list[CategoricalFlag] = field(default_factory=list)
@@ -313,7 +314,7 @@ class DatetimeStats(Flagged):
 
 
 @dataclass
-class TargetProfile(Flagged):
+class TargetProfileResult(Flagged):
     column: str
     problem_type: TargetProblemType
     missing_count: int = 0
@@ -324,52 +325,80 @@ class TargetProfile(Flagged):
 
 
 @dataclass
-class PairCorrelation(Serial):
-    column_a: str
-    column_b: str
-    pearson: float
-    spearman: float
-    near_redundant: bool
+class CorrelationPair(Serial):
+    col_a: str
+    col_b: str
+    pearson_r: float | None = None
+    spearman_r: float | None = None
+    near_redundant: bool = False
 
 
 @dataclass
-class RedundancyGroup(Serial):
-    columns: list[str]
-    suggested_drop: list[str]
+class NearRedundancyGroup(Serial):
+    columns: list[str] = field(default_factory=list)
+    suggested_drop: list[str] = field(default_factory=list)
 
 
 @dataclass
-class AssociationPair(Serial):
-    column_a: str
-    column_b: str
-    value: float | None
-    redundant: bool
+class CramerVPair(Serial):
+    col_a: str = ""
+    col_b: str = ""
+    cramer_v: float | None = None
+    near_redundant: bool = False
 
 
 @dataclass
-class FeatureScore(Serial):
+class EtaSquaredPair(Serial):
+    numeric_col: str = ""
+    categorical_col: str = ""
+    eta_squared: float | None = None
+    near_redundant: bool = False
+
+
+@dataclass
+class NumericTargetCorrelation(Serial):
+    feature: str
+    pearson_r: float | None = None
+
+
+@dataclass
+class CategoricalTargetCorrelation(Serial):
     feature: str
-    value: float
-    p_value: float | None = None
     f_statistic: float | None = None
+    p_value: float | None = None
+    eta_squared: float | None = None
+
+
+@dataclass
+class MutualInformationEntry(Serial):
+    feature: str
+    mi_score: float = 0.0
+    rank: int = 0
+
+
+class TargetType(StrEnum):
+    Numeric = "numeric"
+    Categorical = "categorical"
 
 
 @dataclass
-class CorrelationProfile(Serial):
+class CorrelationProfileResult(Serial):
     analysed_numeric_columns: list[str] = field(default_factory=list)
     analysed_categorical_columns: list[str] = field(default_factory=list)
     pearson_matrix: dict[str, dict[str, float]] = field(default_factory=dict)
     spearman_matrix: dict[str, dict[str, float]] = field(default_factory=dict)
-    pairs: list[PairCorrelation] = field(default_factory=list)
-    near_redundant_pairs: list[PairCorrelation] = field(default_factory=list)
-    redundancy_groups: list[RedundancyGroup] = field(default_factory=list)
-    cramer_v_pairs: list[AssociationPair] = field(default_factory=list)
-    eta_squared_pairs: list[AssociationPair] = field(default_factory=list)
+    pairwise: list[CorrelationPair] = field(default_factory=list)
+    near_redundant_pairs: list[CorrelationPair] = field(default_factory=list)
+    near_redundancy_groups: list[NearRedundancyGroup] = field(default_factory=list)
+    cramer_v_pairs: list[CramerVPair] = field(default_factory=list)
+    near_redundant_cramer_v_pairs: list[CramerVPair] = field(default_factory=list)
+    eta_squared_pairs: list[EtaSquaredPair] = field(default_factory=list)
+    near_redundant_eta_squared_pairs: list[EtaSquaredPair] = field(default_factory=list)
     target_column: str | None = None
-    target_type: SemanticType | None = None
-    feature_target_pearson: list[FeatureScore] = field(default_factory=list)
-    feature_target_anova: list[FeatureScore] = field(default_factory=list)
-    mutual_information: list[FeatureScore] = field(default_factory=list)
+    target_type: TargetType | None = None
+    feature_target_numeric: list[NumericTargetCorrelation] = field(default_factory=list)
+    feature_target_categorical: list[CategoricalTargetCorrelation] = field(default_factory=list)
+    mutual_information: list[MutualInformationEntry] = field(default_factory=list)
 
     def get_pearson(self, a: str, b: str) -> float | None:
         return self.pearson_matrix.get(a, {}).get(b)
@@ -377,7 +406,7 @@ class CorrelationProfile(Serial):
     def get_spearman(self, a: str, b: str) -> float | None:
         return self.spearman_matrix.get(a, {}).get(b)
 
-    def top_mi(self, n: int = 10) -> list[FeatureScore]:
+    def top_mi(self, n: int = 10) -> list[MutualInformationEntry]:
         return self.mutual_information[:n]
 
 
@@ -392,7 +421,7 @@ class ColumnProfile(Serial):
     type_flags: list[TypeFlag] = field(default_factory=list)
     original_dtype: str = ""
     inferred_dtype: str = ""
-    missingness: ColumnMissingness | None = None
+    missingness: ColumnMissingnessProfile | None = None
     is_target: bool = False
     stats: Any = None
 
@@ -410,8 +439,8 @@ class DatasetStats(Serial):
     was_chunked: bool = False
     missingness_matrix: dict[str, dict[str, float]] | None = None
     row_distribution: RowMissingnessDistribution = field(default_factory=RowMissingnessDistribution)
-    feature_correlation: CorrelationProfile | None = None
-    target_correlations: dict[str, CorrelationProfile] = field(default_factory=dict)
+    feature_correlation: CorrelationProfileResult | None = None
+    target_correlations: dict[str, CorrelationProfileResult] = field(default_factory=dict)
 
 
 def _lines(value: Any, indent: int = 0) -> list[str]:
@@ -444,10 +473,10 @@ def _flags(c: ColumnProfile) -> list[str]:
 
 
 @dataclass
-class StructuralProfile(Serial):
+class StructuralProfileResult(Serial):
     columns: dict[str, ColumnProfile] = field(default_factory=dict)
     dataset: DatasetStats = field(default_factory=DatasetStats)
-    targets: dict[str, TargetProfile] = field(default_factory=dict)
+    targets: dict[str, TargetProfileResult] = field(default_factory=dict)
     numeric_sentinels: dict[str, list[float]] = field(default_factory=dict)
     string_sentinels: dict[str, list[str]] = field(default_factory=dict)
 
@@ -481,8 +510,8 @@ class StructuralProfile(Serial):
             out += ["## Target analysis", ""]
             for t in self.targets.values():
                 out += [f"### {t.column}", "", f"- Problem type: {t.problem_type}", f"- Missing: {t.missing_count} ({t.missing_ratio:.2%})", f"- Flags: {', '.join(t.flags) or '-'}"]
-                if (k := d.target_correlations.get(t.column)) and k.feature_target_pearson:
-                    out.append("- Top features: " + ", ".join(f"{x.feature} ({x.value:.3f})" for x in k.feature_target_pearson[:5]))
+                if (k := d.target_correlations.get(t.column)) and k.feature_target_numeric:
+                    out.append("- Top features: " + ", ".join(f"{x.feature} ({x.pearson_r:.3f})" for x in k.feature_target_numeric[:5]))
                 out.append("")
         if self.numeric_sentinels or self.string_sentinels:
             out += ["## Sentinels", "", *[f"- {c}: {', '.join(map(str, v))}" for c, v in [*self.numeric_sentinels.items(), *self.string_sentinels.items()]], ""]

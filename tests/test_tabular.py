@@ -20,7 +20,7 @@ from sparkloom.plans import imputer as I
 from sparkloom.plans.profiler import NonlinearityProfiler, flat, scale_anomaly, severity, target_profile
 from sparkloom.plans.router import Case, route
 from sparkloom.plans.splitter import label_matrix
-from sparkloom.results import ColumnMissingness, ColumnProfile, MissingnessFlag, MissingSeverity, NumericStats, StructuralProfile
+from sparkloom.results import ColumnMissingnessProfile, ColumnProfile, MissingnessFlag, MissingSeverity, NumericStats, StructuralProfileResult
 from sparkloom.streaming import impute_stream, missing_counts
 
 
@@ -203,7 +203,7 @@ def test_nonlinearity_tags(spark):
     a, b = r.normal(size=400), r.normal(size=400)
     d = spark.createDataFrame([tuple(map(float, v)) for v in zip(a, b, 2 * a + 3 * b + 0.1 * r.normal(size=400))], "x1 double, x2 double, y double")
     got = NonlinearityProfiler(["x1", "x2", "y"]).profile(d)
-    assert got["y"]["r2_linear"] > 0.9 and got["y"]["nonlinearity_tag"] in ("linear", "complex") and 0 <= got["y"]["heteroscedasticity_p_value"] <= 1
+    assert got["y"]["r2_linear"] > 0.9 and got["y"]["nonlinearity_tag"] in ("linear", "complex_nonlinear") and 0 <= got["y"]["heteroscedasticity_p_value"] <= 1
     noise = spark.createDataFrame([tuple(map(float, v)) for v in r.normal(size=(300, 3))], "x1 double, x2 double, y double")
     assert NonlinearityProfiler(["x1", "x2", "y"]).profile(noise)["y"]["nonlinearity_tag"] == "unpredictable"
 
@@ -217,8 +217,8 @@ def test_profile_of_all_types(mixed, spark):
     assert p.columns["colour"].missingness.effective_null_ratio == 0.25 and p.columns["colour"].stats.cardinality == 3
     assert p.columns["flag"].stats.mode is None and p.targets["b"].problem_type == "regression" and p.targets["colour"].problem_type == "multiclass_classification"
     k = p.dataset.target_correlations["b"]
-    assert k.feature_target_pearson[0].feature == "a" and k.feature_target_pearson[0].value > 0.99 and k.top_mi(1)[0].feature == "a"
-    assert p.dataset.feature_correlation.redundancy_groups[0].suggested_drop == ["b"]
+    assert k.feature_target_numeric[0].feature == "a" and k.feature_target_numeric[0].pearson_r > 0.99 and k.top_mi(1)[0].feature == "a"
+    assert p.dataset.feature_correlation.near_redundancy_groups[0].suggested_drop == ["b"]
     assert "Target analysis" in p.to_markdown() and flat(p, spark).where("metric = 'semantic_type'").count() == 7
     with pytest.raises(TypeError):
         StructuralProfiler().profile([1])
@@ -286,11 +286,11 @@ def test_profile_stratified_splits(mixed):
     folds = s.profile_stratified_kfold(p, 4)
     assert sum(f.val_size for f in folds) == 400 and all(f.val_size == 100 for f in folds)
     plain = mixed.sparkSession.createDataFrame([(float(i), float(i)) for i in range(100)], "x double, y double")
-    assert DataSplitter(plain, random_seed=1).profile_stratified_split(StructuralProfile(), 0.25).test_size == 25
+    assert DataSplitter(plain, random_seed=1).profile_stratified_split(StructuralProfileResult(), 0.25).test_size == 25
 
 
 def column(null_ratio, flags=(), kind=NumericKind.Continuous, correlated=(), **stats):
-    m = ColumnMissingness("x", 1000, 0, int(1000 * null_ratio), 0.0, null_ratio, severity(null_ratio, ProfileConfig().missingness), list(flags), list(correlated))
+    m = ColumnMissingnessProfile("x", 1000, 0, int(1000 * null_ratio), 0.0, null_ratio, severity(null_ratio, ProfileConfig().missingness), list(flags), list(correlated))
     return ColumnProfile("x", SemanticType.Numeric, kind, missingness=m, stats=NumericStats(**stats))
 
 
@@ -438,3 +438,18 @@ def test_streams(spark, tmp_path):
 
 def test_strategies_are_named():
     assert ImputationStrategy("gmm_sampling") == ImputationStrategy.GMMSampling
+
+
+def test_single_profilers(mixed):
+    from sparkloom.plans import profilers as Q
+
+    assert Q.MissingnessProfiler().profile(mixed).columns == {}
+    m = Q.MissingnessProfiler(string_sentinels={"colour": ["red"]}).profile(mixed, ["a", "colour"])
+    assert m.columns["colour"].effective_null_count == 100 and m.columns["a"].effective_null_count == 45 and not m.fully_null_columns
+    assert Q.NumericProfiler().profile(mixed, ["b"]).columns["b"].percentiles.p50 == pytest.approx(150, abs=8)
+    assert Q.CategoricalProfiler().profile(mixed, ["colour"]).columns["colour"].top_values[0].count == 100
+    assert Q.BooleanProfiler().profile(mixed, ["flag"]).columns["flag"].true_count == 200
+    assert Q.TextProfiler().profile(mixed, ["note"]).columns["note"].median_token_count == 6
+    assert Q.DatetimeProfiler(now=datetime(2030, 1, 1)).profile(mixed, ["day"]).columns["day"].median_gap_seconds == 86400
+    assert Q.TargetProfiler("flag").profile(mixed).problem_type == "binary_classification"
+    assert Q.TabularProfiler().profile(mixed).row_count == 400 and Q.TypeDetector(["id"]).detect(mixed)["id"].semantic_type == "identifier"
