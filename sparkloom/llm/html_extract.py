@@ -11,8 +11,9 @@ hosts with too few pages for any class as well.
 Defined cases: null html is empty and gives an empty text; a null url is a host of its own; repeated rows are extracted
 each; an empty table gives an empty result; extra columns are not read.
 
-At scale: blocks of text, not pages, are joined with the templates by host; a hot host's partitions may be split by
-adaptive execution, and the templates hold only block hashes of valid classes.
+At scale: templates, which hold only block hashes of valid classes, are written and counted.  At most ``small`` of them are
+broadcast to where pages are parsed; more are joined by host and salt, so that a hot host is spread over ``salts`` keys,
+and then blocks of text, not pages, are shuffled.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import keep
+
 #: Element names by role.
 RAW = {"script", "style", "noscript", "template", "iframe", "svg", "math", "object", "textarea", "title", "canvas", "audio", "video"}
 OUTSIDE = {"nav", "footer", "aside", "form", "button", "select", "dialog", "menu", "head", "fieldset", "datalist", "label"}
@@ -177,7 +180,7 @@ def host_of(url: str | None) -> str | None:
     return m[1].lower() if m else url
 
 
-def extract(pages: DataFrame, min_pages: int = 8, min_share: float = 0.5) -> DataFrame:
+def extract(pages: DataFrame, min_pages: int = 8, min_share: float = 0.5, small: int = 20_000, salts: int = 16) -> DataFrame:
     """page_id, url, text, n_chars of every row."""
     kind = dict(pages.dtypes)["page_id"]
     block = "array<struct<text: string, token: long>>"
@@ -217,7 +220,13 @@ def extract(pages: DataFrame, min_pages: int = 8, min_share: float = 0.5) -> Dat
         F.max("element").alias("valid"), F.collect_set(F.when(~F.col("element"), F.col("token"))).alias("texts")
     )
     template = classes.where(F.col("valid") & (F.size("texts") > 0)).groupBy(F.col("host").alias("t_host")).agg(F.flatten(F.collect_list("texts")).alias("template"))
-    d = parsed.join(template, F.col("host").eqNullSafe(F.col("t_host")), "left")
+    template = keep(template)
+    if template.count() <= small:
+        d = parsed.join(F.broadcast(template), F.col("host").eqNullSafe(F.col("t_host")), "left")
+    else:
+        salted = template.withColumn("t_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        own = F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int")
+        d = parsed.withColumn("salt", own).join(salted, F.col("host").eqNullSafe(F.col("t_host")) & (F.col("salt") == F.col("t_salt")), "left")
     slots = F.filter("blocks", lambda b: F.col("template").isNull() | ~F.array_contains("template", b["token"]))
     d = d.withColumn("text", F.array_join(F.transform(slots, lambda b: b["text"]), "\n\n"))
     return d.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

@@ -31,10 +31,11 @@ def test_roles(spark):
     assert got == {1: want, 2: want, 3: "", 4: "", 5: "plain < text"}
 
 
-def test_template_text_is_deduced(spark):
+@pytest.mark.parametrize("small", [20_000, 0])
+def test_template_text_is_deduced(spark, small):
     page = lambda i: f"<html><body><div><p>Visit our shop today</p><div><p>Story {i} with words</p><p>More of {i}</p></div><p>All rights kept</p></div></body></html>"
     rows = [(i, f"http://Host.example/{i}", page(i)) for i in range(12)] + [(50, "http://other.example/1", page(50))]
-    got = text_of(spark, rows)
+    got = text_of(spark, rows, small=small)
     assert all(got[i] == f"Story {i} with words\n\nMore of {i}" for i in range(12))
     assert got[50].startswith("Visit our shop today")
 
