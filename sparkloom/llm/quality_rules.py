@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .native import SPACE, let, solid, words
+from .store import keep
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -105,9 +106,10 @@ def judge(docs: DataFrame, max_removed: float = 0.5, **limits) -> DataFrame:
 def clean(docs: DataFrame, **limits) -> DataFrame:
     """The documents that are kept, without their removed lines, in the columns of ``docs``.
 
-    ``n_chars``, where it is an integer column, is set to the new length of a changed text.
+    ``n_chars``, where it is an integer column, is set to the new length of a changed text.  Verdicts are written first, as
+    a filter on them would otherwise count every text once more for each of its conditions.
     """
-    verdicts = judge(docs, **limits).where("kept").select(
+    verdicts = keep(judge(docs, **limits).select("doc_id", "text_hash", "kept", "removed_lines")).where("kept").select(
         F.col("doc_id").alias("__doc"), F.col("text_hash").alias("__hash"), F.coalesce("removed_lines", F.array().cast("array<bigint>")).alias("__removed")
     )
     verdicts = verdicts.groupBy("__doc", "__hash").agg(F.first("__removed").alias("__removed"))
