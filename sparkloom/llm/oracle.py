@@ -20,7 +20,7 @@ m AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(text, '[\x
   (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, coalesce(n_dup, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat, 0)::BIGINT AS n_repeat_words,
   coalesce(words, 0)::BIGINT AS removed_words FROM d LEFT JOIN covered USING (r) LEFT JOIN again USING (r) LEFT JOIN removed USING (r)),
 b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND removed_words <= 0.5 * n_words AS kept, removed_words FROM b
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND removed_words <= 0.75 * n_words AS kept, removed_words FROM b
 """
 
 OP4 = rf"""

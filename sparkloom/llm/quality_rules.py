@@ -93,7 +93,7 @@ def removals(docs: DataFrame, min_docs: int = 20, min_share: float = 0.05, max_d
     )
 
 
-def judge(docs: DataFrame, max_removed: float = 0.5, **limits) -> DataFrame:
+def judge(docs: DataFrame, max_removed: float = 0.75, **limits) -> DataFrame:
     """The counts of each row, with removed_words, removed_lines and the verdict ``kept``."""
     m, r = metrics(docs), removals(docs, **limits)
     r = r.select(F.col("doc_id").alias("r_doc"), F.col("text_hash").alias("r_hash"), "removed_words", "removed_lines")

@@ -44,7 +44,7 @@ def test_rules_on_whole_table(spark):
 def test_frequent_lines_go_and_depleted_documents_with_them(spark):
     body = lambda i: " ".join(f"w{i}x{j}" for j in range(25))
     rows = [(i, f"Share This  page\n{body(i)}", "h") for i in range(30)]
-    rows += [(100 + i, "\n".join(["share this page"] * 12 + [" ".join(f"u{i}v{j}" for j in range(21))]), "h") for i in range(3)]
+    rows += [(100 + i, "\n".join(["share this page"] * 40 + [" ".join(f"u{i}v{j}" for j in range(21))]), "h") for i in range(3)]
     rows += [(200 + i, body(777), "h") for i in range(40)]
     got = {r["doc_id"]: r for r in quality_rules.judge(table(spark, rows)).collect()}
     assert all(got[i]["kept"] and got[i]["removed_words"] == 3 for i in range(30))
