@@ -48,32 +48,45 @@ _ATTR = re.compile(r"([A-Za-z_:][-A-Za-z0-9_:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^'
 _SPACE = re.compile(r"\s+")
 
 
+#: Marks that only parts beside an article carry; the others may also stand on a frame around everything.
+_BESIDE = re.compile(r"(?:^|[\s_-])(?:comments?|comment-?list|respond|replies|reply|disqus|related|recommended|ads?|adverts?|advertisements?|promo|sponsored|cookies?|consent|newsletter)(?:$|[\s_-])", re.I)
+
+INSIDE, DOUBTFUL, OUTSIDE_OF = 0, 1, 2
+
+
 class Block:
     __slots__ = ("linked", "outside", "owner", "path", "text")
 
-    def __init__(self, text: str, path: str, outside: bool, owner: int, linked: float) -> None:
+    def __init__(self, text: str, path: str, outside: int, owner: int, linked: float) -> None:
         self.text, self.path, self.outside, self.owner, self.linked = text, path, outside, owner, linked
 
 
-def _unwanted(name: str, attrs: dict[str, str], inside: bool) -> bool:
-    """Does this element hold something else than the article?  ``inside``: it stands in an article."""
+def _unwanted(name: str, attrs: dict[str, str], inside: bool) -> int:
+    """Does this element hold something else than the article?  Doubtful, if only a mark says so that frames carry as well.
+
+    ``inside``: it stands in an article.
+    """
     if name in OUTSIDE or attrs.get("role", "").lower() in ROLES or "hidden" in attrs or attrs.get("aria-hidden") == "true":
-        return True
+        return OUTSIDE_OF
     if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style", ""), re.I):
-        return True
+        return OUTSIDE_OF
     if name in ("html", "body", "main"):
-        return False
+        return INSIDE
     marks = f"{attrs.get('class', '')} {attrs.get('id', '')}".strip()
-    if name == "article":
-        return bool(re.search(r"(?:^|[\s_-])(?:comments?|reply|related|ads?|promo|sponsored)(?:$|[\s_-])", marks, re.I))
-    return bool(marks) and bool(_UNWANTED.search(marks) or (not inside and _HEADER.search(marks))) or (name == "header" and not inside)
+    if _BESIDE.search(marks):
+        return OUTSIDE_OF
+    if name == "header" and not inside:
+        return OUTSIDE_OF
+    if name != "article" and (_UNWANTED.search(marks) or (not inside and _HEADER.search(marks))):
+        return DOUBTFUL
+    return INSIDE
 
 
 def blocks(page: str) -> tuple[list[Block], Counter]:
     """The blocks of text in order, and how often each element path opens."""
     out: list[Block] = []
     paths: Counter = Counter()
-    stack: list[tuple[str, str, bool, int]] = []  # name, path, outside, owner (number of the article or main, 0: none)
+    stack: list[tuple[str, str, int, int]] = []  # name, path, outside, owner (number of the article or main, 0: none)
     text: list[str] = []
     linked, owners, anchors = 0, 0, 0
 
@@ -81,7 +94,7 @@ def blocks(page: str) -> tuple[list[Block], Counter]:
         nonlocal text, linked
         whole = _SPACE.sub(" ", entities.unescape("".join(text))).strip()
         if whole:
-            _, path, outside, owner = stack[-1] if stack else ("", "", False, 0)
+            _, path, outside, owner = stack[-1] if stack else ("", "", INSIDE, 0)
             out.append(Block(whole, path, outside, owner, linked / max(1, sum(map(len, text)))))
         text, linked = [], 0
 
@@ -138,12 +151,13 @@ def blocks(page: str) -> tuple[list[Block], Counter]:
         if name in ("li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1][0] == name:
             stack.pop()
         attrs = {k.lower(): entities.unescape(a or b or c) for k, a, b, c in _ATTR.findall(m[3])}
-        _, path, outside, owner = stack[-1] if stack else ("", "", False, 0)
+        _, path, outside, owner = stack[-1] if stack else ("", "", INSIDE, 0)
         path = f"{path}/{name}.{attrs.get('class', '')}"
         paths[path] += 1
         if name in VOID or m[4]:
             continue
-        outside = outside or _unwanted(name, attrs, owner > 0)
+        own = _unwanted(name, attrs, owner > 0)
+        outside = own if outside == DOUBTFUL and name in ("article", "main") else max(outside, own)
         if name in ("article", "main") and not outside and owner <= 0:
             owners += 1
             owner = owners
@@ -156,8 +170,11 @@ def blocks(page: str) -> tuple[list[Block], Counter]:
 
 
 def main_blocks(found: list[Block]) -> list[Block]:
-    """The blocks of the article: of the article element with most text, or else of all that stands nowhere else."""
-    rest = [b for b in found if not b.outside]
+    """The blocks of the article: of the article element with most text, or else of all that stands nowhere else.
+
+    If nothing does, what is only doubtful counts as well.
+    """
+    rest = [b for b in found if b.outside == INSIDE] or [b for b in found if b.outside == DOUBTFUL]
     size: Counter = Counter()
     for b in rest:
         if b.owner:

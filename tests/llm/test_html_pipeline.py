@@ -40,6 +40,17 @@ def test_template_text_is_deduced(spark, small):
     assert got[50].startswith("Visit our shop today")
 
 
+def test_marks_on_frames(spark):
+    inner = '<div class="side-bar"><p>More</p></div><div class="comments"><article><p>Nice</p></article></div>'
+    rows = [
+        (1, "u", f'<body><div class="page with sidebar"><article><p>One</p></article>{inner}</div></body>'),
+        (2, "u", '<body><div class="search-page notice"><p>Two</p><p>Three</p></div><div class="comments"><p>Nice</p></div></body>'),
+        (3, "u", f'<body><div class="content"><p>Four</p></div>{inner}</body>'),
+        (4, "u", '<body><header><h1>Site</h1></header><div id="top-bar">Log in</div><main><header><h1>Five</h1></header><p>Six</p><div class="share">Tell</div></main></body>'),
+    ]
+    assert text_of(spark, rows) == {1: "One", 2: "Two\n\nThree", 3: "Four", 4: "Five\n\nSix"}
+
+
 def test_broken_and_long_pages(spark):
     rows = [(1, "u", "<div><p>a" * 3000), (2, "u", "<p class='x>a</p>" * 200), (3, "u", "<" * 20000), (4, "u", "<p>" + "word " * 200_000)]
     got = text_of(spark, rows)
