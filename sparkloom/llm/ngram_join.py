@@ -23,6 +23,7 @@ are not read.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -84,6 +85,16 @@ def shingles(texts: list[str | None], words: int) -> list[np.ndarray]:
     return [np.unique(x[a:b]) for a, b in zip(starts.tolist(), ends.tolist())]
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """Small counts in few bytes: byte planes, compressed."""
+    return zlib.compress(counts.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(packed), dtype=np.uint8).reshape(4, -1)
+    return planes.T.copy().view("<u4")[:, 0].astype(np.int64)
+
+
 def _sketch(docs: DataFrame, words: int) -> np.ndarray:
     """For each bin of shingles, how often they occur, as a step of half a power of two."""
 
@@ -98,13 +109,13 @@ def _sketch(docs: DataFrame, words: int) -> np.ndarray:
                 total += np.bincount((x[np.cumsum(edge[:-1]) > 0] >> np.uint64(64 - SKETCH)).astype(np.int64), minlength=1 << SKETCH)
         if total.any():
             parts = total.reshape(-1, CHUNK)
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([p.astype("<u4").tobytes() for p in parts], pa.binary())], ["chunk", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([_packed(p) for p in parts], pa.binary())], ["chunk", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for chunk, counts in zip(batch[0].to_pylist(), batch[1].to_pylist()):
-                sums[chunk] = sums.get(chunk, 0) + np.frombuffer(counts, dtype="<u4").astype(np.int64)
+                sums[chunk] = sums.get(chunk, 0) + _unpacked(counts)
         if sums:
             steps = [np.floor(2 * np.log2(np.maximum(x, 1))).astype(np.uint8).tobytes() for x in sums.values()]
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(steps, pa.binary())], ["chunk", "counts"])
