@@ -5,10 +5,11 @@ inverted file of each of those pivots, with the pivot's place in the vector's or
 nearest pivots and sums, for every vector met, how much the truncated footrule distance falls below its largest value;
 the ``rerank`` share of the block with the smallest distances is scored exactly and the best ``top`` of it go on.
 
-Index blocks hold at most about ``block`` vectors, dealt by a hash of id, so equal vectors, however many, spread evenly.
+Index blocks hold at most about ``block`` vectors, dealt by a hash of id, so equal vectors, however many, spread evenly;
+within a block they are posted once.
 Queries go to the blocks in groups of at most about ``block`` as well.  A task holds one block and one group of queries;
-what it gives back is ``top`` rows for each query.  Pivots are at most ``pivots`` distinct vectors out of ``16 * pivots``
-rows chosen by hash, the only thing that is collected; every row is indexed.
+what it gives back is ``top`` rows for each query.  Pivots are at most ``pivots`` vectors, unlike each other, out of
+``16 * pivots`` rows chosen by hash, the only thing that is collected; every row is indexed.
 
 Defined cases: vectors that are null, zero, of another length than the longest, or that hold null or non-finite numbers take no part, nor
 do rows without id; rows with the query's id are never its neighbours; a repeated id counts once, with its best score;
@@ -44,39 +45,72 @@ def _order(x: np.ndarray, pivots: np.ndarray, depth: int) -> np.ndarray:
     return out
 
 
+def spread(sample: np.ndarray, pivots: int, alike: float = 0.7) -> np.ndarray:
+    """Up to ``pivots`` rows of the sample, in order, none with a cosine over ``alike`` to one before it.
+
+    A dense group, however many rows of the sample it has, gives few pivots, so permutations stay telling elsewhere.  If
+    too few rows are that different, the next ones fill up.
+    """
+    if not len(sample):
+        return sample
+    unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
+    chosen, closest = [0], unit @ unit[0]
+    for i in range(1, len(sample)):
+        if len(chosen) < pivots and closest[i] <= alike:
+            chosen.append(i)
+            closest = np.maximum(closest, unit @ unit[i])
+    rest = np.setdiff1d(np.arange(len(sample)), chosen)[: max(0, pivots - len(chosen))]
+    return sample[np.r_[chosen, rest].astype(int)]
+
+
 def search_block(ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.ndarray, pivots: np.ndarray, depth: int, rerank: float, least: int, top: int):
-    """(query position, id, score) of the best ``top`` that the index of this block finds for each query."""
+    """(query position, id, score) of the best ``top`` that the index of this block finds for each query.
+
+    Equal vectors are posted once, with their ids in order; as ties go to smaller ids, ``top + 1`` ids of each suffice.
+    """
     if len(pivots) < 2:
         pivots = np.eye(x.shape[1])
+    x, own = np.unique(x, axis=0, return_inverse=True)
+    order = np.lexsort((ids, own.ravel()))
+    names, starts = ids[order], np.searchsorted(own.ravel()[order], np.arange(len(x) + 1))
     places, q_places = _order(x, pivots, depth), _order(q, pivots, depth)
     posted = [(np.flatnonzero(c), c[c > 0]) for c in places.T]
-    keep = min(len(ids), max(least, int(np.ceil(rerank * len(ids)))))
+    keep = min(len(x), max(least, int(np.ceil(rerank * len(x)))))
     out_q, out_id, out_s = [], [], []
     for i in range(len(q_ids)):
-        near = np.zeros(len(ids), dtype=np.int32)
+        near = np.zeros(len(x), dtype=np.int32)
         for p in np.flatnonzero(q_places[i]):
             rows, place = posted[p]
             near[rows] += np.minimum(place, q_places[i, p])
-        found = np.argpartition(-near, keep - 1)[:keep] if keep < len(ids) else np.arange(len(ids))
-        found = found[ids[found] != q_ids[i]]
+        found = np.argpartition(-near, keep - 1)[:keep] if keep < len(x) else np.arange(len(x))
         s = (x[found] * q[i]).sum(axis=1)
-        if len(found) > 4 * top:
-            floor = np.partition(s, len(s) - top)[len(s) - top]
+        if len(found) > top + 1:
+            floor = np.partition(s, len(s) - top - 1)[len(s) - top - 1]
             found, s = found[s >= floor], s[s >= floor]
-        best = np.lexsort((ids[found], -s))
-        best = best[np.sort(np.unique(ids[found[best]], return_index=True)[1])][:top]
-        out_q += [i] * len(best)
-        out_id += ids[found[best]].tolist()
-        out_s += s[best].tolist()
+        best: dict[int, float] = {}
+        for f, score in zip(found.tolist(), s.tolist()):
+            for name in _first(names[starts[f] : starts[f + 1]], top + 1):
+                best[name] = max(score, best.get(name, score))
+        best.pop(int(q_ids[i]), None)
+        for name, score in sorted(best.items(), key=lambda b: (-b[1], b[0]))[:top]:
+            out_q.append(i)
+            out_id.append(name)
+            out_s.append(score)
     return out_q, out_id, out_s
 
 
+def _first(names: np.ndarray, n: int) -> list[int]:
+    """The first ``n`` distinct ids of a sorted run."""
+    return names[np.append(True, names[1:] != names[:-1])][:n].tolist()
+
+
 def neighbours(vectors: DataFrame, queries: DataFrame, top: int = 20, pivots: int = 256, depth: int = 64, rerank: float = 0.12, least: int = 512, block: int = 8192) -> DataFrame:
     """query_id, rank, vec_id, score of the best ``top`` found for each row of ``queries``; both as ``usable`` gives them."""
     spark = vectors.sparkSession
     n, m = vectors.count(), queries.count()
     chosen = vectors.orderBy(F.xxhash64("vec_id", F.lit(7)), "vec_id").limit(16 * pivots).select("v").collect()
-    centres = np.array(list(dict.fromkeys(tuple(r["v"]) for r in chosen))[:pivots], dtype=float)
+    distinct = list(dict.fromkeys(tuple(r["v"]) for r in chosen))
+    centres = spread(np.array(distinct, dtype=float), pivots)
     shared = spark.sparkContext.broadcast(centres)
     n_blocks, m_blocks = max(1, -(-n // block)), max(1, -(-m // block))
     cell = lambda own, other: (F.pmod(F.xxhash64("vec_id"), F.lit(own)), F.explode(F.sequence(F.lit(0), F.lit(other - 1))))

@@ -166,6 +166,39 @@ def test_ann_recall(spark):
     assert len(got) == 25 and hits >= 0.9 * 20 * len(got)
 
 
+def test_ann_with_many_equal_vectors(spark):
+    r = np.random.default_rng(4)
+    x = r.normal(size=(3000, 16))
+    x[r.random(3000) < 0.4] = x[0]
+    v = ann.usable(spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "vec_id long, embedding array<double>"))
+    got = defaultdict(list)
+    for row in ann.neighbours(v, v.where("vec_id % 20 = 0"), block=1000, least=100, rerank=0.3).collect():
+        got[row["query_id"]].append(row["vec_id"])
+    hits = 0
+    for q, ids in got.items():
+        s = (x * x[q]).sum(axis=1)
+        best = [i for i in np.lexsort((np.arange(3000), -s)).tolist() if i != q][:20]
+        hits += len(set(best) & set(ids))
+        if (x[q] == x[0]).all():
+            assert sorted(ids) == sorted(best)
+    assert len(got) == 150 and hits >= 0.9 * 20 * 150
+
+
+def test_ann_beside_a_dense_group(spark):
+    r = np.random.default_rng(6)
+    x = r.normal(size=(4000, 48))
+    dense = r.random(4000) < 0.35
+    x[dense] = x[0] + 0.05 * r.normal(size=(int(dense.sum()), 48))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    v = ann.usable(spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "vec_id long, embedding array<double>"))
+    got = defaultdict(set)
+    for row in ann.neighbours(v, v.where("vec_id % 40 = 0"), block=2000, least=200).collect():
+        got[row["query_id"]].add(row["vec_id"])
+    other = [q for q in got if not dense[q]]
+    best = {q: {i for i in np.argsort(-(x @ x[q]))[:21].tolist() if i != q} for q in other}
+    assert len(got) == 100 and np.mean([len(best[q] & got[q]) / 20 for q in other]) >= 0.9
+
+
 def test_ann_odd_vectors(spark):
     rows = [(i, [1.0, 0.0]) for i in range(30)] + [(40, [0.0, 0.0]), (41, None), (42, [1.0, None]), (43, [float("nan"), 1.0]), (44, [float("inf"), 1.0]), (None, [1.0, 1.0]), (45, [2.0]), (3, [1.0, 0.0])]
     v = ann.usable(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
