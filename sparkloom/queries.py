@@ -15,11 +15,12 @@ from .functions import mathx
 from .operators import columns as C
 from .operators import pairs as P
 from .operators import splits as S
-from .operators.base import top_values, value_counts
+from .operators.base import average_ranks, top_values, value_counts
 from .operators.types import detect
 from .functions.nulls import normalize
 from .plans import imputer as I
-from .plans.profiler import StructuralProfiler, flat, redundancy_groups, target_profile
+from .plans.profiler import NonlinearityProfiler, StructuralProfiler, flat, redundancy_groups, summary_points, target_profile
+from .plans.profilers import TabularProfiler
 from .plans.splitter import DataSplitter, label_matrix
 from .config import ImputationConfig, PipelineConfig, ProfileConfig
 
@@ -546,3 +547,41 @@ def impute_gmm_draws(spark, sf_dir):
     state = {"means": [0.02, 0.08], "stds": [0.005, 0.005], "weights": [0.5, 0.5]}
     done = d.select(I.fill_column(d, "l_discount", I.drawn(d, state, 7, "l_discount")).alias("l_discount"))
     return _summed(done, ["l_discount"])
+
+
+# Dependence, modes, whole tables
+
+
+@query()
+def nonlinearity_profile(spark, sf_dir):
+    found = NonlinearityProfiler(LINE).profile(table(spark, sf_dir, "lineitem"))
+    names = ["spearman_pearson_discrepancy", "mean_mutual_information", "excess_mutual_information", "r2_gap", "heteroscedasticity_p_value"]
+    rows = [(c, str(v["nonlinearity_tag"]), *[float(v[n]) for n in names]) for c, v in found.items()]
+    return rounded(spark.createDataFrame(rows, "column string, tag string, " + ", ".join(f"{n} double" for n in names)))
+
+
+@query()
+def bimodality(spark, sf_dir):
+    d, rows = table(spark, sf_dir, "lineitem"), []
+    for c in LINE:
+        values, counts = summary_points(d, c, d.count())
+        dip = mathx.dip(values, counts)
+        rows.append((c, dip, mathx.dip_p_value(dip, int(counts.sum()))))
+    return rounded(spark.createDataFrame(rows, "column string, dip double, p_value double"))
+
+
+@query("SELECT (SELECT count(*) FROM orders) AS row_count, 6 AS column_count, (SELECT count(*) FROM orders) - (SELECT count(*) FROM (SELECT DISTINCT * FROM orders)) AS duplicate_count")
+def dataset_overview(spark, sf_dir):
+    d = TabularProfiler().profile(table(spark, sf_dir, "orders"))
+    return spark.createDataFrame([(d.row_count, d.column_count, d.duplicate_count)], "row_count long, column_count int, duplicate_count long")
+
+
+@query("SELECT l_quantity AS value, avg(r) AS rank FROM (SELECT l_quantity, " + _rank("l_quantity") + " AS r FROM lineitem) GROUP BY l_quantity")
+def average_rank(spark, sf_dir):
+    return average_ranks(table(spark, sf_dir, "lineitem"), "l_quantity")
+
+
+@query("SELECT o_orderpriority AS value, count(*) AS n FROM orders WHERE o_totalprice IS NOT NULL AND o_orderdate < TIMESTAMP '1997-01-01' GROUP BY 1")
+def filtered_counts(spark, sf_dir):
+    train, _ = S.cutoff_split(table(spark, sf_dir, "orders").dropna(subset=["o_totalprice"]), "o_orderdate", NOW)
+    return value_counts(train, ["o_orderpriority"]).select("value", "n")
