@@ -38,7 +38,7 @@ from .store import keep
 
 SKETCH = 20
 CHUNK = 16384
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -128,9 +128,13 @@ def _sketch(docs: DataFrame, words: int) -> np.ndarray:
     return steps
 
 
-def bitmap(s: np.ndarray) -> np.ndarray:
-    """Parities of the numbers of elements in each of ``width`` bins, a power of two of at least twice the set's size."""
-    width = 1 << max(6, int(2 * len(s) - 1).bit_length())
+def bitmap(s: np.ndarray, bits: int) -> np.ndarray:
+    """Parities of the numbers of elements in each of ``width`` bins, a power of two of at least ``bits`` for each element.
+
+    Unrelated sets differ in about half the bins, so one bit an element tells them apart at any threshold over 0.64; more
+    bits bound the overlap of similar sets more closely.
+    """
+    width = 1 << max(6, int(bits * len(s) - 1).bit_length())
     odd = np.bincount((s & np.uint64(width - 1)).astype(np.int64), minlength=width).astype(np.uint8) & 1
     return np.packbits(odd).view(np.uint64)
 
@@ -148,7 +152,7 @@ def _digests(docs: DataFrame, words: int, percent: int) -> DataFrame:
                     n = len(s)
                     sizes.append(n)
                     prints.append(xxhash.xxh128_digest(s.tobytes()) if n else None)
-                    maps.append(bitmap(s).tobytes() if n else None)
+                    maps.append(bitmap(s, 1).tobytes() if n else None)
                     ranked = (steps.value[(s >> np.uint64(64 - SKETCH)).astype(np.int64)].astype(np.uint64) << np.uint64(57)) | (s >> np.uint64(7))
                     k = n - (percent * n + 99) // 100 + 1
                     firsts.append(np.sort(np.partition(ranked, k - 1)[:k]).view(np.int64) if n else None)
@@ -270,7 +274,7 @@ def _edges(cells: DataFrame, key: str, settle, percent: int) -> DataFrame:
                 if len({forest.find(i) for i in names}) < 2:
                     continue
                 sets = [np.frombuffer(payload[i].as_py(), dtype=np.uint64) for i in own.tolist()]
-                maps = sets if settle is None else [bitmap(s) for s in sets]
+                maps = sets if settle is None else [bitmap(s, 4) for s in sets]
                 for i, j in pairs_in_cell(sizes[own], maps, ats[own], early[own], percent):
                     x, y = forest.find(names[i]), forest.find(names[j])
                     if x != y and (settle is None or settle(sets[i], sets[j])):

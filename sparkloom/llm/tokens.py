@@ -10,7 +10,7 @@ from itertools import chain
 import numpy as np
 
 #: How many words a worker remembers in each of two generations; a bound on memory, not on texts.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 SEPARATOR, SEPARATOR_ID, WORD_END = "<|endoftext|>", 49407, "</w>"
 _SPECIAL = re.compile(r"<\|(?:startoftext|endoftext)\|>")
 
