@@ -10,7 +10,7 @@ from itertools import chain
 import numpy as np
 
 #: How many words a worker remembers in each of two generations; a bound on memory, not on texts.
-REMEMBERED = 300_000
+REMEMBERED = 400_000
 SEPARATOR, SEPARATOR_ID, WORD_END = "<|endoftext|>", 49407, "</w>"
 _SPECIAL = re.compile(r"<\|(?:startoftext|endoftext)\|>")
 
@@ -59,45 +59,39 @@ class Words:
             raw = ids.tobytes()
             self.known.update((w, raw[4 * a : 4 * b]) for w, a, b in zip(part, starts.tolist(), ends.tolist()))
 
-    def _learn(self, new: list[str]) -> None:
-        letters, marked, rest = set(), [], []
-        for w in new:
-            if w.isalpha():
-                letters.add(w)
-            elif w[-1:] in self.marks and w[:-1].isalpha():
+    def _learn(self, new: set[str]) -> None:
+        letters = set(filter(str.isalpha, new))
+        marked, rest = [], []
+        for w in new - letters:
+            if w[-1:] in self.marks and w[:-1].isalpha():
                 marked.append(w)
-                if w[:-1] not in self.known:
-                    letters.add(w[:-1])
             else:
                 rest.append(w)
+        letters.update({w[:-1] for w in marked}.difference(self.known))
         self._letters(list(letters))
         self._apart(rest)
         known, marks = self.known, self.marks
-        for w in marked:
-            known[w] = known[w[:-1]] + marks[w[-1]]
+        known.update([(w, known[w[:-1]] + marks[w[-1]]) for w in marked])
 
     def _know(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.known]
+        new = words.difference(self.known)
         if len(self.known) + len(new) > REMEMBERED:
             self.old, self.known, new = self.known, {}, words
-        fresh = []
-        for w in new:
-            if (ids := self.old.get(w)) is None:
-                fresh.append(w)
-            else:
-                self.known[w] = ids
+        fresh = new.difference(self.old)
+        again = new - fresh
+        self.known.update(zip(again, map(self.old.__getitem__, again)))
         self._learn(fresh)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         out: list[bytes] = []
-        for at in range(0, len(texts), 256):
-            some = texts[at : at + 256]
+        for at in range(0, len(texts), 512):
+            some = texts[at : at + 512]
             whole = {i: self._whole(t) for i, t in enumerate(some) if "<|" in t and _SPECIAL.search(t)}
             split = [[] if i in whole else _fold(t).replace("\n", " ").split(" ") for i, t in enumerate(some)]
             self._know(set(chain.from_iterable(split)))
-            known = self.known
-            out += [whole[i] if i in whole else b"".join([known[w] for w in ws]) for i, ws in enumerate(split)]
+            ids = self.known.__getitem__
+            out += [whole[i] if i in whole else b"".join(map(ids, ws)) for i, ws in enumerate(split)]
         return out
 
 
