@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import memo
 from .ann import by_key
 from .store import keep
 
@@ -53,6 +54,7 @@ class _Hashes(dict):
 
 
 _WORDS = _Hashes()
+memo.register("words", _WORDS.clear)
 
 
 def _hashed(texts: list[str | None], words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -100,6 +102,7 @@ def _sketch(docs: DataFrame, words: int) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << SKETCH, dtype=np.int64)
+        memo.use("words")
         for batch in batches:
             for at in range(0, len(batch), 2048):
                 x, starts, ends = _hashed(batch[0].slice(at, 2048).to_pylist(), words)
@@ -144,6 +147,7 @@ def _digests(docs: DataFrame, words: int, percent: int) -> DataFrame:
     steps = docs.sparkSession.sparkContext.broadcast(_sketch(docs, words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo.use("words")
         for batch in batches:
             for at in range(0, len(batch), 512):
                 part = batch.slice(at, 512)
@@ -304,6 +308,7 @@ def _links(docs: DataFrame, nodes: DataFrame, words: int, percent: int, tile: in
     members = keep(members)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo.use("words")
         for batch in batches:
             for at in range(0, len(batch), 512):
                 part = batch.slice(at, 512)

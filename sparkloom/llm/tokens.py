@@ -9,6 +9,8 @@ from itertools import chain
 
 import numpy as np
 
+from . import memo
+
 #: How many words a worker remembers in each of two generations; a bound on memory, not on texts.
 REMEMBERED = 400_000
 SEPARATOR, SEPARATOR_ID, WORD_END = "<|endoftext|>", 49407, "</w>"
@@ -105,11 +107,20 @@ _MADE: dict[str, Words] = {}
 
 def encoder(path: str) -> Words:
     """One encoder for each worker and file."""
+    memo.use("tokens")
     if path not in _MADE:
         _MADE[path] = Words(path)
     return _MADE[path]
 
 
+def _forget() -> None:
+    for words in _MADE.values():
+        words.known, words.old = {}, {}
+
+
+memo.register("tokens", _forget)
+
+
 def default_path() -> str:
     import public_tokenizers
 
