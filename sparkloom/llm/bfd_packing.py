@@ -91,6 +91,7 @@ def _windows(batches: Iterator[pa.RecordBatch], words, last: bytes, width: int,
             if docs >= window:
                 yield placed()
                 pieces, docs = [], 0
+    words.rest()
     if pieces:
         yield placed()
 

@@ -12,7 +12,7 @@ import numpy as np
 from . import memo
 
 #: How many words a worker remembers in each of two generations; a bound on memory, not on texts.
-REMEMBERED = 400_000
+REMEMBERED = 700_000
 SEPARATOR, SEPARATOR_ID, WORD_END = "<|endoftext|>", 49407, "</w>"
 _SPECIAL = re.compile(r"<\|(?:startoftext|endoftext)\|>")
 
@@ -84,6 +84,10 @@ class Words:
         self.known.update(zip(again, map(self.old.__getitem__, again)))
         self._learn(fresh)
 
+    def rest(self) -> None:
+        """At the end of a task: an idle worker keeps one generation only."""
+        self.old = {}
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         out: list[bytes] = []
