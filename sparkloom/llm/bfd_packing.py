@@ -116,11 +116,13 @@ NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id",
 
 
 def matrices(docs: DataFrame, path: str | None = None, end: int = 1, width: int = 2048, window: int = 8192, pad: int = 0) -> DataFrame:
-    """One row a sequence: sequence_id, ids and positions (little-endian unsigned 32-bit, ``width`` each), cu_seqlens, doc_ids."""
+    """One row a sequence: sequence_id, ids and positions (little-endian unsigned 32-bit, ``width`` each), cu_seqlens,
+    and of each segment its doc_ids, starts (its place in the document) and doc_tokens."""
     path = path or default_path()
+    binary = lambda x: pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(np.arange(len(x) + 1, dtype=np.int32) * (4 * width)), pa.py_buffer(x)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before = 0
+        before, count = 0, np.arange(width, dtype="<u4")
         for pieces, rows in _windows(batches, encoder(path), np.array([end], dtype="<u4").tobytes(), width, window):
             pieces.sort(key=lambda p: (p[4], p[5]))
             at = 0
@@ -129,20 +131,24 @@ def matrices(docs: DataFrame, path: str | None = None, end: int = 1, width: int
                 ids, positions = np.full((n, width), pad, dtype="<u4"), np.zeros((n, width), dtype="<u4")
                 bounds: list[list[int]] = [[0] for _ in range(n)]
                 owners: list[list[int | None]] = [[] for _ in range(n)]
+                starts: list[list[int]] = [[] for _ in range(n)]
+                totals: list[list[int]] = [[] for _ in range(n)]
                 while at < len(pieces) and pieces[at][4] < first + n:
-                    doc, _, raw, _, row, offset = pieces[at]
-                    length = len(raw) // 4
-                    ids[row - first, offset : offset + length] = np.frombuffer(raw, dtype="<u4")
-                    positions[row - first, offset : offset + length] = np.arange(length)
-                    bounds[row - first].append(offset + length)
-                    owners[row - first].append(doc)
+                    doc, start, raw, tokens, row, offset = pieces[at]
+                    length, row = len(raw) // 4, row - first
+                    ids[row, offset : offset + length] = np.frombuffer(raw, dtype="<u4")
+                    positions[row, offset : offset + length] = count[:length]
+                    bounds[row].append(offset + length)
+                    owners[row].append(doc)
+                    starts[row].append(start)
+                    totals[row].append(tokens)
                     at += 1
-                columns = [pa.array(range(before + first, before + first + n), pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array([x.tobytes() for x in positions], pa.binary())]
-                columns += [pa.array(bounds, pa.list_(pa.int32())), pa.array(owners, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, ["sequence_id", "ids", "positions", "cu_seqlens", "doc_ids"])
+                columns = [pa.array(range(before + first, before + first + n), pa.int64()), binary(ids), binary(positions), pa.array(bounds, pa.list_(pa.int32()))]
+                columns += [pa.array(x, pa.list_(pa.int64())) for x in (owners, starts, totals)]
+                yield pa.RecordBatch.from_arrays(columns, ["sequence_id", "ids", "positions", "cu_seqlens", "doc_ids", "starts", "doc_tokens"])
             before += rows
 
-    schema = "sequence_id long, ids binary, positions binary, cu_seqlens array<int>, doc_ids array<long>"
+    schema = "sequence_id long, ids binary, positions binary, cu_seqlens array<int>, doc_ids array<long>, starts array<long>, doc_tokens array<long>"
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
     return out.withColumn("sequence_id", F.spark_partition_id().cast("long") * F.lit(1 << 33) + F.col("sequence_id"))
 

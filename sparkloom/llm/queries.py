@@ -51,7 +51,7 @@ def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_bfd_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bfd_packing.pack(table(spark, sf_dir, "documents"))
+    return bfd_packing.matrices(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

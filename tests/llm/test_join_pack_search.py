@@ -142,6 +142,26 @@ def test_matrices_reset_positions(spark, tmp_path):
     assert lost == Counter({i: n * (2 if i == 6 else 1) for i, n in whole_tokens.items()})
 
 
+def test_registered_packing_returns_matrices(spark, tmp_path):
+    from sparkloom.llm.queries import QUERIES
+
+    table(spark, TEXTS).write.parquet(str(tmp_path / "documents.parquet"))
+    rows = QUERIES["op10_bfd_packing"](spark, str(tmp_path)).collect()
+    parts = defaultdict(list)
+    for r in rows:
+        ids, positions, cu = np.frombuffer(r["ids"], "<u4"), np.frombuffer(r["positions"], "<u4"), r["cu_seqlens"]
+        assert len(ids) == len(positions) == 2048 and len(cu) == len(r["doc_ids"]) + 1 == len(r["starts"]) + 1 == len(r["doc_tokens"]) + 1
+        assert not ids[cu[-1] :].any() and not positions[cu[-1] :].any()
+        for a, b, d, s, n in zip(cu, cu[1:], r["doc_ids"], r["starts"], r["doc_tokens"]):
+            assert positions[a:b].tolist() == list(range(b - a))
+            parts[d].append((s, n, ids[a:b].tolist()))
+    for i, t in TEXTS[:5]:
+        want = [*Tokenizer.from_file(default_path()).encode(t or "", add_special_tokens=False).ids, 1]
+        got = sorted(parts[i])
+        assert [x for _, _, ids in got for x in ids] == want and all(n == len(want) for _, n, _ in got)
+    assert len(parts) == len({i for i, _ in TEXTS})
+
+
 def test_buckets_hold_one_length(spark, tmp_path):
     packing.write_buckets(table(spark, TEXTS), str(tmp_path / "b"))
     got = spark.read.parquet(str(tmp_path / "b")).collect()
