@@ -1,8 +1,9 @@
 """Main text of web pages: template deduction by equivalence classes of tokens, and the roles of page parts.
 
-Tokens are element paths (with classes) and whole text blocks.  A token's occurrence vector over the pages of its host is
-kept as its support and the exclusive or of a hash of (page, count), so tokens with equal vectors fall into one class by
-a plain partial aggregate and no task ever holds a host.  A class is valid if its support reaches
+Tokens are element paths (with classes) and whole text blocks.  A token's occurrence vector over the distinct pages of its
+host is kept as its support and the exclusive or of a hash of (page, count), so tokens with equal vectors fall into one
+class by plain partial aggregates and no task ever holds a host.  Pages with equal tokens are one page, so copies and
+repeated rows are no evidence of a template.  A class is valid if its support reaches
 ``max(min_pages, min_share * pages of the host)`` and it holds an element; classes nest by support, the largest being the
 page frame.  Blocks that belong to a valid class are template; what is left fills slots.  Slots in menus, headers,
 footers, side bars, notices, adverts, forms and comments are told by the elements and attributes around them, for
@@ -212,11 +213,12 @@ def extract(pages: DataFrame, min_pages: int = 8, min_share: float = 0.5, small:
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             host, page, token, count, element = [], [], [], [], []
-            for key, url, source in zip(batch[0].to_pylist(), batch[1].to_pylist(), batch[2].to_pylist()):
+            for url, source in zip(batch[1].to_pylist(), batch[2].to_pylist()):
                 found, paths = blocks(source or "")
                 own = Counter(_hash(b.path, b.text) for b in main_blocks(found))
-                here, one = host_of(url), _hash(str(key), url or "", source or "")
-                for t, c, e in [(_hash(p), c, True) for p, c in paths.items()] + [(t, c, False) for t, c in own.items()]:
+                all_tokens = [(_hash(p), c, True) for p, c in paths.items()] + [(t, c, False) for t, c in own.items()]
+                here, one = host_of(url), _hash(*sorted(map(repr, all_tokens)))
+                for t, c, e in [(0, 1, None), *all_tokens]:  # the first stands for the page itself
                     host.append(here)
                     page.append(one)
                     token.append(t)
@@ -228,11 +230,10 @@ def extract(pages: DataFrame, min_pages: int = 8, min_share: float = 0.5, small:
     source = pages.select("page_id", "url", "html")
     parsed = source.mapInArrow(parse, f"page_id {kind}, url string, host string, blocks {block}")
     seen = source.mapInArrow(tokens, "host string, page long, token long, count long, element boolean")
-    vectors = seen.groupBy("host", "token", "element").agg(F.count(F.lit(1)).alias("support"), F.bit_xor(F.xxhash64("page", "count")).alias("vector"))
-    vectors = vectors.where(F.col("support") >= min_pages)
-    hosts = source.select(F.lower(F.coalesce(F.regexp_extract("url", _HOST.pattern, 1), F.lit(""))).alias("h"), "url")
-    hosts = hosts.groupBy(F.when(F.col("h") != "", F.col("h")).otherwise(F.col("url")).alias("p_host")).agg(F.count(F.lit(1)).alias("pages"))
-    frequent = vectors.join(hosts, F.col("host").eqNullSafe(F.col("p_host"))).where(F.col("support") >= min_share * F.col("pages"))
+    vectors = seen.distinct().groupBy("host", "token", "element").agg(F.count(F.lit(1)).alias("support"), F.bit_xor(F.xxhash64("page", "count")).alias("vector"))
+    vectors = keep(vectors.where(F.col("support") >= min_pages))
+    hosts = vectors.where(F.col("element").isNull()).select(F.col("host").alias("p_host"), F.col("support").alias("pages"))
+    frequent = vectors.where(F.col("element").isNotNull()).join(hosts, F.col("host").eqNullSafe(F.col("p_host"))).where(F.col("support") >= min_share * F.col("pages"))
     classes = frequent.groupBy("host", "support", "vector").agg(
         F.max("element").alias("valid"), F.collect_set(F.when(~F.col("element"), F.col("token"))).alias("texts")
     )

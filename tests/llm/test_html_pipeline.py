@@ -63,6 +63,26 @@ def test_repeated_rows_and_empty_table(spark):
     assert html_extract.extract(table(spark, [])).collect() == []
 
 
+@pytest.mark.parametrize("copies", [8, 9, 1000])
+def test_copies_are_no_template(spark, copies):
+    page = "<html><body><article><h1>Title</h1><p>The only story</p></article></body></html>"
+    other = lambda i: f"<html><body><article><h1>Other {i}</h1><p>Text of {i}</p></article></body></html>"
+    rows = [(i, f"http://copies.example/{i}", page) for i in range(copies)]
+    rows += [(10_000 + i, f"http://mixed.example/{i}", page if i < copies else other(i)) for i in range(2 * copies)]
+    rows += [(20_000, "http://repeated.example/", page)] * copies + [(30_000, None, page)] * copies
+    got = html_extract.extract(table(spark, rows)).collect()
+    assert len(got) == 5 * copies
+    for r in got:
+        i = r["page_id"] - 10_000
+        assert r["text"] == (f"Other {i}\n\nText of {i}" if copies <= i < 2 * copies else "Title\n\nThe only story")
+
+
+def test_templates_beside_copies_are_deduced(spark):
+    page = lambda i: f"<html><body><div><p>Visit our shop today</p><div><p>Story {i}</p></div></div></body></html>"
+    rows = [(i, "http://a.example/", page(min(i, 11))) for i in range(40)]
+    assert text_of(spark, rows) == {i: f"Story {min(i, 11)}" for i in range(40)}
+
+
 def test_whole_table_keeps_articles_only(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     got = {r["page_id"]: r for r in html_extract.extract(pages).collect()}
