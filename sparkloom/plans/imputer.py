@@ -586,7 +586,7 @@ class _Fit:
             for c in targets:
                 self._fall_back(c, "no other column to measure distances by")
             return
-        x = matrix(self.df, columns, min(n.knn_max_rows, FIT_ROWS), self.seed)
+        x = matrix(self.df, columns, n.knn_max_rows, self.seed)  # all rows: more are refused
         gaps = float(np.isnan(x[:, : len(targets)]).mean()) if x.size else 0.0
         complete = float((~np.isnan(x).any(axis=1)).mean()) if len(x) else 0.0
         k, capped = n_neighbours(n, len(columns), len(x), gaps, complete)

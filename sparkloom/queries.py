@@ -528,17 +528,13 @@ def impute_mice(spark, sf_dir):
 
 @query()
 def impute_knn(spark, sf_dir):
-    """Fitted on at most 2000 rows, applied to all."""
-    def setup(config):
-        _declare({"l_discount": "knn", "l_tax": "median", "l_linenumber": "mode"})(config)
-        config.numeric.knn_max_rows = 10**9
-
-    old, I.FIT_ROWS = I.FIT_ROWS, 2000
-    try:
-        d, fitted = _fit(spark, sf_dir, setup)
-    finally:
-        I.FIT_ROWS = old
-    return _summed(fitted.plan(d)[0], ["l_discount"])
+    """Every row of a table within ``knn_max_rows`` is a donor; beyond it the declared strategy is refused."""
+    config = PipelineConfig(random_seed=7)
+    config.profiling.set_numeric_sentinel("p_size", [1])
+    d = table(spark, sf_dir, "part").select("p_size", "p_retailprice")
+    profile = StructuralProfiler(config, NOW).profile(d)
+    _declare({"p_size": "knn"})(config.imputation)
+    return _summed(I.ImputationOrchestrator(config).fit(d, profile).plan(d)[0], ["p_size"])
 
 
 @query()

@@ -453,3 +453,18 @@ def test_single_profilers(mixed):
     assert Q.DatetimeProfiler(now=datetime(2030, 1, 1)).profile(mixed, ["day"]).columns["day"].median_gap_seconds == 86400
     assert Q.TargetProfiler("flag").profile(mixed).problem_type == "binary_classification"
     assert Q.TabularProfiler().profile(mixed).row_count == 400 and Q.TypeDetector(["id"]).detect(mixed)["id"].semantic_type == "identifier"
+
+
+def test_registered_neighbours_come_from_every_row(spark, tmp_path):
+    from sparkloom.queries import QUERIES
+
+    r = np.random.default_rng(3)
+    size, price = r.integers(1, 51, 3000), r.permutation(3000) / 7 + 900 + r.random(3000) / 100
+    spark.createDataFrame([(int(a), float(b)) for a, b in zip(size, price)], "p_size int, p_retailprice double").write.parquet(str(tmp_path / "part.parquet"))
+    got = QUERIES["impute_knn"](spark, str(tmp_path)).first()
+    donors, want, k = size != 1, size.astype(float), 5
+    for i in np.flatnonzero(~donors):
+        off = np.abs(price[donors] - price[i])
+        near = np.argsort(off)[:k]
+        want[i] = np.rint((size[donors][near] / off[near]).sum() / (1 / off[near]).sum())
+    assert (got["rows"], got["p_size_n"], got["p_size_sum"]) == (3000, 3000, want.sum())
