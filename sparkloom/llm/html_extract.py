@@ -32,10 +32,13 @@ from pyspark.sql import functions as F
 from .store import keep
 
 #: Element names by role.
-RAW = {"script", "style", "noscript", "template", "iframe", "svg", "math", "object", "textarea", "title", "canvas", "audio", "video"}
+RAW = {"script", "style", "noscript", "template", "iframe", "svg", "object", "textarea", "title", "canvas", "audio", "video"}
+#: Of these, what holds no elements: without an end tag it goes on to the end of the page.
+TO_THE_END = {"script", "style", "textarea", "title", "iframe"}
 OUTSIDE = {"nav", "footer", "aside", "form", "button", "select", "dialog", "menu", "head", "fieldset", "datalist", "label"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
+MATH = {"maction", "math", "menclose", "merror", "mfenced", "mfrac", "mi", "mmultiscripts", "mn", "mo", "mover", "mpadded", "mphantom", "mprescripts", "mroot", "mrow", "ms", "mspace", "msqrt", "mstyle", "msub", "msubsup", "msup", "mtable", "mtd", "mtext", "mtr", "munder", "munderover", "none", "semantics", "annotation", "annotation-xml"}
+INLINE = MATH | {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 PARAGRAPH_ENDS = {"address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "alert", "alertdialog", "dialog", "form", "menu", "menubar", "toolbar"}
 _UNWANTED = re.compile(
@@ -47,6 +50,8 @@ _TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>\"']++|\"[^\"]*+\"|'[^'
 _LOOSE = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9:-]*)([^>]*)()>")
 _ATTR = re.compile(r"([A-Za-z_:][-A-Za-z0-9_:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _SPACE = re.compile(r"\s+")
+_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in TO_THE_END}
+_EDGE = {name: re.compile(rf"<{name}(?=[\s/>])[^>]*>|</{name}\s*>", re.I) for name in RAW - TO_THE_END}
 
 
 #: Marks that only parts beside an article carry; the others may also stand on a frame around everything.
@@ -83,12 +88,26 @@ def _unwanted(name: str, attrs: dict[str, str], inside: bool) -> int:
     return INSIDE
 
 
+def _ends(page: str, name: str) -> dict[int, int]:
+    """Where the elements ``name`` end, by where they start; without those that are empty or never closed."""
+    out: dict[int, int] = {}
+    open_at: list[int] = []
+    for m in _EDGE[name].finditer(page):
+        if m[0].startswith("</"):
+            if open_at:
+                out[open_at.pop()] = m.end()
+        elif name != "svg" or not m[0].endswith("/>"):
+            open_at.append(m.start())
+    return out
+
+
 def blocks(page: str) -> tuple[list[Block], Counter]:
     """The blocks of text in order, and how often each element path opens."""
     out: list[Block] = []
     paths: Counter = Counter()
     stack: list[tuple[str, str, int, int]] = []  # name, path, outside, owner (number of the article or main, 0: none)
     text: list[str] = []
+    ends: dict[str, dict[int, int]] = {}
     linked, owners, anchors = 0, 0, 0
 
     def flush() -> None:
@@ -131,14 +150,21 @@ def blocks(page: str) -> tuple[list[Block], Counter]:
         at = m.end()
         closing, name = m[1], m[2].lower()
         if not closing and name in RAW:
-            end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-            at = n if not end else end.end()
+            if name in TO_THE_END:
+                end = _END[name].search(page, at)
+                at = end.end() if end else n
+            else:
+                if name not in ends:
+                    ends[name] = _ends(page, name)
+                at = ends[name].get(start, at)
             if name not in ("title",):
                 text.append(" ")
             continue
         if name in INLINE:
             if name in ("br", "img", "wbr"):
                 text.append(" " if name != "wbr" else "")
+            elif name in MATH:
+                text.append(" " if not closing else "")
             elif name == "a":
                 anchors = max(0, anchors + (-1 if closing else 1))
             continue

@@ -83,6 +83,21 @@ def test_templates_beside_copies_are_deduced(spark):
     assert text_of(spark, rows) == {i: f"Story {min(i, 11)}" for i in range(40)}
 
 
+@pytest.mark.parametrize(
+    "mark",
+    ['<svg class="i"/>', '<svg class="i" />', '<svg class="i">', '<object data="x">', "<canvas>", "<video src=x>", "<audio>", "<noscript>", "<template>", "<svg><svg>no</svg><text>no</text></svg>", "<object>no<object>no</object>no</object>"],
+)
+@pytest.mark.parametrize("later", ["", "<svg><text>no</text></svg><object>no</object><canvas>no</canvas><video>no</video>"])
+def test_text_behind_raw_elements_stays(mark, later):
+    page = f"<article><p>A</p>{mark}<p>B</p>{later}<p>C</p></article>"
+    assert [b.text for b in html_extract.main_blocks(html_extract.blocks(page)[0])] == ["A", "B", "C"]
+
+
+def test_math_is_text_and_scripts_are_not():
+    page = "<article><p>where <math><mi>x</mi><mo>=</mo><mfrac><mn>1</mn><mn>2</mn></mfrac></math> holds<math/>.</p><p>B</p><script>var a = '<p>no</p>'</article>"
+    assert [b.text for b in html_extract.main_blocks(html_extract.blocks(page)[0])] == ["where x = 1 2 holds .", "B"]
+
+
 def test_whole_table_keeps_articles_only(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     got = {r["page_id"]: r for r in html_extract.extract(pages).collect()}
