@@ -105,9 +105,12 @@ def dip(values: np.ndarray, counts: np.ndarray) -> float:
     the greatest convex minorant and the least concave majorant; the place with the smallest deviation gives the dip.
     """
     n = float(counts.sum())
-    x = values.astype(float)
     top = np.cumsum(counts) / n
-    low = top - counts / n
+    return dip_between(values.astype(float), top - counts / n, top, n)
+
+
+def dip_between(x: np.ndarray, low: np.ndarray, top: np.ndarray, n: float) -> float:
+    """The dip of the distribution that rises from ``low`` to ``top`` at each ``x`` and is straight in between."""
     if len(x) < 2:
         return 1 / (2 * n)
 

@@ -33,15 +33,37 @@ def per_column(df: DataFrame, columns: Sequence[str], make: Callable[[str], dict
 
 
 def unpivot(df: DataFrame, columns: Sequence[str], kind: str, value: Callable[[str], Column] | None = None) -> DataFrame:
-    """(column, value) rows of the columns, cast to ``kind``."""
+    """(key, value) rows of the columns, cast to ``kind``, from one scan; ``key`` is the column's place as text."""
     value = value or col
-    cells = F.array(*[F.struct(F.lit(c).alias("column"), value(c).cast(kind).alias("value")) for c in columns])
-    return df.select(F.explode(cells).alias("r")).select("r.column", "r.value")
+    keys = [str(i) for i in range(len(columns))]
+    return df.select(*[value(c).cast(kind).alias(k) for c, k in zip(columns, keys)]).unpivot([], keys, "key", "value")
+
+
+def named(columns: Sequence[str]) -> Column:
+    """The name that the ``key`` of ``unpivot`` stands for."""
+    return F.get(F.array(*[F.lit(c) for c in columns]), F.col("key").cast("int"))
+
+
+def _by_type(df: DataFrame, columns: Sequence[str], value: Callable[[str], Column] | None) -> list[DataFrame]:
+    """(key, value, n) of the non-null values, one table for the columns of each type: values are counted as they are."""
+    d = df.select(*[(value or col)(c).alias(str(i)) for i, c in enumerate(columns)])
+    kinds: dict[str, list[str]] = {}
+    for key, kind in d.dtypes:
+        kinds.setdefault("bigint" if kind in ("tinyint", "smallint", "int", "bigint") else "double" if kind in ("float", "double") else kind, []).append(key)
+    cells = [d.select(*[F.col(k).cast(kind).alias(k) for k in keys]).unpivot([], keys, "key", "value") for kind, keys in kinds.items()]
+    return [c.where(F.col("value").isNotNull()).groupBy("key", "value").agg(F.count(F.lit(1)).alias("n")) for c in cells]
 
 
 def value_counts(df: DataFrame, columns: Sequence[str], kind: str = "string", value: Callable[[str], Column] | None = None) -> DataFrame:
-    """(column, value, n) of all non-null values: one shuffle of partial counts for all columns."""
-    return unpivot(df, columns, kind, value).where(F.col("value").isNotNull()).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    """(column, value, n) of all non-null values, cast to ``kind`` after they are counted; one shuffle of partial counts a type."""
+    counts = [c.select("key", F.col("value").cast(kind).alias("value"), "n") for c in _by_type(df, columns, value)]
+    return reduce(DataFrame.unionByName, counts).select(named(columns).alias("column"), "value", "n")
+
+
+def distinct_counts(df: DataFrame, columns: Sequence[str], value: Callable[[str], Column] | None = None) -> DataFrame:
+    """(column, distinct) of the non-null values."""
+    parts = [c.groupBy("key").agg(F.count(F.lit(1)).alias("distinct")) for c in _by_type(df, columns, value)]
+    return reduce(DataFrame.unionByName, parts).select(named(columns).alias("column"), "distinct")
 
 
 def top_values(counts: DataFrame, k: int = 10) -> DataFrame:

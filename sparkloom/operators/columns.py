@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from ..functions.casts import NUMBER, to_boolean, to_double, to_timestamp
 from ..functions.nulls import NULL_WORDS, is_blank, missing_exprs, stripped
 from .base import col, per_column, top_values, value_counts
+from .quantiles import of_expressions
 
 QUANTILES = {"p1": 0.01, "p5": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99}
 
@@ -99,12 +100,11 @@ def memory(df: DataFrame) -> DataFrame:
 # Numeric columns
 
 
-def numeric_summary(df: DataFrame, columns: Sequence[str], exact: bool = True) -> DataFrame:
-    """n, moments and quantiles of each column.  Without ``exact``, quantiles are approximate and their state is bounded."""
+def moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Counts, moments and range of each column, from one scan for ``CHUNK`` columns."""
 
     def make(c: str) -> dict[str, Column]:
         x = number(df, c)
-        q = (F.percentile if exact else F.percentile_approx)(x, F.array(*[F.lit(v) for v in QUANTILES.values()]))
         return {
             "rows": F.count(F.lit(1)),
             "n": F.count(x),
@@ -115,10 +115,21 @@ def numeric_summary(df: DataFrame, columns: Sequence[str], exact: bool = True) -
             "max": F.max(x),
             "skew_pop": F.skewness(x),
             "kurt_pop": F.kurtosis(x),
-            "q": q,
         }
 
-    d = per_column(df, columns, make)
+    return per_column(df, columns, make)
+
+
+def quantile_table(df: DataFrame, columns: Sequence[str], shares: Sequence[float]) -> DataFrame:
+    """(column, n, q) of the exact quantiles of each column; nothing of the size of a column is gathered."""
+    found = of_expressions(df, [number(df, c) for c in columns], shares)
+    return df.sparkSession.createDataFrame([(c, n, q) for c, (n, q) in zip(columns, found)], "column string, n long, q array<double>")
+
+
+def numeric_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """n, moments and exact quantiles of each column."""
+    q = quantile_table(df, columns, list(QUANTILES.values())).select(F.col("column").alias("q_column"), "q")
+    d = moments(df, columns).join(F.broadcast(q), F.col("column") == F.col("q_column"), "left")
     return d.select("column", "rows", "n", "raw_n", "mean", "std", "min", "max", "skew_pop", "kurt_pop", *[F.get("q", F.lit(i)).alias(k) for i, k in enumerate(QUANTILES)])
 
 
@@ -158,21 +169,24 @@ def histogram(df: DataFrame, column: str, low: float, high: float, bins: int) ->
 # Categorical columns
 
 
-def listed(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(column, value, n) of the values that count for distributions: not null, not blank, not a built-in null word."""
-    counts = value_counts(df, columns)
+def listed(df: DataFrame, columns: Sequence[str], every: DataFrame | None = None) -> DataFrame:
+    """(column, value, n) of the values that count for distributions: not null, not blank, not a built-in null word.
+
+    ``every``, here and below: the value counts of the columns, where they are there already.
+    """
+    counts = value_counts(df, columns) if every is None else every
     return counts.where(~is_blank(F.col("value")) & ~F.upper("value").isin(list(NULL_WORDS)))
 
 
-def categorical_summary(df: DataFrame, columns: Sequence[str], rare: float = 0.01, label_rare: float = 0.05) -> DataFrame:
+def categorical_summary(df: DataFrame, columns: Sequence[str], rare: float = 0.01, every: DataFrame | None = None) -> DataFrame:
     """Cardinality, mode, imbalance and rare categories of each column."""
-    every = value_counts(df, columns)
+    every = value_counts(df, columns) if every is None else every
     numeric = F.col("value").rlike(NUMBER)
     whole = every.groupBy("column").agg(
         F.count(F.lit(1)).alias("cardinality"), F.sum("n").alias("present"), F.coalesce(F.sum(F.when(numeric, F.col("n"))), F.lit(0)).alias("numeric_values")
     )
     rows = per_column(df, columns, lambda c: {"rows": F.count(F.lit(1))})
-    counts = listed(df, columns)
+    counts = listed(df, columns, every)
     totals = counts.groupBy(F.col("column").alias("t_column")).agg(F.sum("n").alias("total"))
     counts = counts.join(F.broadcast(totals), F.col("column") == F.col("t_column")).drop("t_column")
     n, total = F.col("n").cast("double"), F.col("total").cast("double")
@@ -209,9 +223,9 @@ def categorical_summary(df: DataFrame, columns: Sequence[str], rare: float = 0.0
     )
 
 
-def rare_labels(df: DataFrame, columns: Sequence[str], share: float = 0.05) -> DataFrame:
+def rare_labels(df: DataFrame, columns: Sequence[str], share: float = 0.05, every: DataFrame | None = None) -> DataFrame:
     """(column, value, n) of the values under ``share`` of all rows."""
-    counts = listed(df, columns)
+    counts = listed(df, columns, every)
     rows = per_column(df, columns, lambda c: {"rows": F.count(F.lit(1))}).withColumnRenamed("column", "r_column")
     d = counts.join(F.broadcast(rows), F.col("column") == F.col("r_column"))
     return d.where(F.col("n") < share * F.col("rows")).select("column", "value", "n")
@@ -250,12 +264,10 @@ def text_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
             "whitespace_ratio": share((length > 0) & (F.length(stripped(x)) == 0)),
         }
 
-    pieces = [F.struct(F.lit(c).alias("column"), F.explode(F.array_distinct(F.split(col(c).cast("string"), " "))).alias("piece")) for c in columns]
     words = None
-    for c, p in zip(columns, pieces):
+    for c in columns:
         one = df.select(F.lit(c).alias("v_column"), F.explode(F.array_distinct(F.split(col(c).cast("string"), " "))).alias("piece"))
         words = one if words is None else words.unionByName(one)
-        del p
     vocabulary = words.where("piece != ''").groupBy("v_column", "piece").agg(F.lit(1)).groupBy("v_column").agg(F.count(F.lit(1)).alias("vocabulary_size"))
     d = per_column(df, columns, make)
     return d.join(vocabulary, F.col("column") == F.col("v_column"), "left").drop("v_column").withColumn("vocabulary_size", F.coalesce("vocabulary_size", F.lit(0)))
@@ -315,9 +327,13 @@ def gaps(df: DataFrame, column: str, fmt: str | None = None, unit: str | None =
 
 def gap_summary(df: DataFrame, column: str, **how) -> DataFrame:
     """One row: n_gaps, median_gap_seconds, gap_cv."""
-    g = gaps(df, column, **how)
-    cv = F.try_divide(F.stddev_samp("gap"), F.avg("gap"))
-    return g.agg(F.count(F.lit(1)).alias("n_gaps"), F.percentile("gap", 0.5).alias("median_gap_seconds"), cv.alias("gap_cv"))
+    g = gaps(df, column, **how).persist()
+    try:
+        r = g.agg(F.count(F.lit(1)).alias("n"), F.try_divide(F.stddev_samp("gap"), F.avg("gap")).alias("cv")).first()
+        middle = of_expressions(g, [F.col("gap")], [0.5])[0][1][0]
+    finally:
+        g.unpersist()
+    return df.sparkSession.createDataFrame([(r["n"], middle, r["cv"])], "n_gaps long, median_gap_seconds double, gap_cv double")
 
 
 def granularity(median_gap: float | None) -> str:

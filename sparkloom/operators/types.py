@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from ..config import NumericKind, SemanticType, TypeDetectionConfig
 from ..functions.casts import to_double, to_timestamp
 from ..functions.nulls import FLOATS, INTEGERS
 from ..results import ColumnTypeInfo, TypeFlag
-from .base import col, per_column, value_counts
+from .base import col, distinct_counts, per_column, value_counts
 from .columns import kinds
 
 #: Words of a string column that may be a boolean.
@@ -22,44 +23,51 @@ TIGHT_RUN = 50
 
 
 def evidence(df: DataFrame, columns: Sequence[str], formats: Mapping[str, str] | None = None) -> DataFrame:
-    """One row a column: counts, ranges, parse successes and text shape, null where they do not apply."""
+    """One row a column: counts, ranges, parse successes and text shape, null where they do not apply.
+
+    Texts are parsed once for each distinct value, from the value counts that the number of distinct values takes anyway.
+    """
     types = kinds(df)
-    none = F.lit(None)
-
-    def make(c: str) -> dict[str, Column]:
-        t, x = types[c], col(c)
-        is_string, is_number = isinstance(t, T.StringType), isinstance(t, (*INTEGERS, *FLOATS))
-        number = to_double(x, t) if is_string or is_number else none.cast("double")
-        finite = F.when(~F.isnan(number), number)
-        length = F.char_length(x) if is_string else none.cast("int")
-        gaps = F.regexp_count(x, F.lit(r"\s+")) if is_string else none.cast("int")
-        stamp = to_timestamp(x, t, (formats or {}).get(c)) if is_string else none.cast("timestamp")
-        boolean = F.count_if(~F.lower(x).isin(list(BOOLEAN_WORDS))) if is_string else none.cast("long")
-        return {
-            "rows": F.count(F.lit(1)),
-            "n": F.count(x),
-            "numeric_n": F.count(number),
-            "datetime_n": F.count(stamp),
-            "low": F.min(finite),
-            "high": F.max(finite),
-            "fractions": F.count_if(finite != F.floor(finite)),
-            "not_boolean": boolean,
-            "median_chars": F.percentile(length, 0.5),
-            "median_gaps": F.percentile(gaps, 0.5),
-            "lengths": F.percentile(length, F.array(F.lit(0.9))),
-        }
-
-    d = per_column(df, columns, make).withColumn("p90_chars", F.get("lengths", F.lit(0))).drop("lengths")
-    wanted = [c for c in columns if not isinstance(types[c], (T.BinaryType, T.ArrayType, T.MapType, T.StructType))]
-    unique = value_counts(df, wanted).groupBy(F.col("column").alias("u_column")).agg(F.count(F.lit(1)).alias("unique"))
-    numbers = [c for c in columns if isinstance(types[c], (T.StringType, *INTEGERS, *FLOATS))]
-    d = d.join(F.broadcast(unique), F.col("column") == F.col("u_column"), "left").drop("u_column")
-    if numbers:
-        levels = value_counts(df, numbers, "double", lambda c: to_double(col(c), types[c]))
-        levels = levels.groupBy(F.col("column").alias("l_column")).agg(F.count(F.lit(1)).alias("levels"))
-        d = d.join(F.broadcast(levels), F.col("column") == F.col("l_column"), "left").drop("l_column")
-    else:
-        d = d.withColumn("levels", F.lit(None).cast("long"))
+    nothing = lambda kind: F.lit(None).cast(kind)
+    words = [c for c in columns if isinstance(types[c], T.StringType)]
+    others = [c for c in columns if c not in words]
+    parts = []
+    if others:
+
+        def make(c: str) -> dict[str, Column]:
+            number = to_double(col(c), types[c])
+            finite = F.when(~F.isnan(number), number)
+            return {
+                "rows": F.count(F.lit(1)), "n": F.count(col(c)), "numeric_n": F.count(number), "datetime_n": nothing("long"), "low": F.min(finite), "high": F.max(finite),
+                "fractions": F.count_if(finite != F.floor(finite)), "not_boolean": nothing("long"), "median_chars": nothing("double"), "median_gaps": nothing("double"), "p90_chars": nothing("double"),
+            }
+
+        wanted = [c for c in others if not isinstance(types[c], (T.BinaryType, T.ArrayType, T.MapType, T.StructType))]
+        d = per_column(df, others, make)
+        unique = distinct_counts(df, wanted) if wanted else df.sparkSession.createDataFrame([], "column string, distinct long")
+        d = d.join(F.broadcast(unique.select(F.col("column").alias("u_column"), F.col("distinct").alias("unique"))), F.col("column") == F.col("u_column"), "left").drop("u_column")
+        parts.append(d.withColumn("levels", F.when(F.col("column").isin([c for c in others if isinstance(types[c], (*INTEGERS, *FLOATS))]), F.col("unique"))))
+    if words:
+        counts = value_counts(df, words)
+        v, n = F.col("value"), F.col("n")
+        number = to_double(v, T.StringType())
+        stamp = to_timestamp(v, T.StringType())
+        for c, fmt in (formats or {}).items():
+            stamp = F.when(F.col("column") == c, to_timestamp(v, T.StringType(), fmt)).otherwise(stamp)
+        counts = counts.select("column", n, v, number.alias("number"), stamp.isNotNull().alias("dated"), F.char_length(v).alias("length"), F.regexp_count(v, F.lit(r"\s+")).alias("gaps"))
+        finite = F.when(~F.isnan("number"), F.col("number"))
+        total = lambda keep: F.coalesce(F.sum(F.when(keep, n)), F.lit(0).cast("long"))
+        d = counts.groupBy("column").agg(
+            F.sum("n").alias("n"), total(F.col("number").isNotNull()).alias("numeric_n"), total(F.col("dated")).alias("datetime_n"), F.min(finite).alias("low"), F.max(finite).alias("high"),
+            total(finite != F.floor(finite)).alias("fractions"), total(~F.lower("value").isin(list(BOOLEAN_WORDS))).alias("not_boolean"),
+            F.percentile("length", 0.5, n).alias("median_chars"), F.percentile("gaps", 0.5, n).alias("median_gaps"), F.percentile("length", 0.9, n).alias("p90_chars"),
+            F.count(F.lit(1)).alias("unique"), F.count_distinct("number").alias("levels"),
+        )
+        rows = per_column(df, words, lambda c: {"rows": F.count(F.lit(1))})
+        none = ["n", "numeric_n", "datetime_n", "fractions", "not_boolean"]
+        d = rows.join(d, ["column"], "left").fillna(0, none)
+        parts.append(d)
+    d = reduce(lambda a, b: a.unionByName(b), parts)
     return d.withColumn("unique", F.coalesce("unique", F.lit(0))).withColumn("levels", F.coalesce("levels", F.lit(0)))
 
 

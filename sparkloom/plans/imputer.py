@@ -25,6 +25,7 @@ from ..functions import forest
 from ..functions.nulls import INTEGERS, normalize
 from ..operators.base import col, value_counts
 from ..operators.columns import kinds, number
+from ..operators.quantiles import of_expressions, quantiles
 from ..results import ColumnImputationRecord, ImputationFitDiagnostic, ImputationResult, MissingnessFlag, NonlinearityTag, NumericFlag, NumericStats, SkewSeverity, StructuralProfileResult
 from .router import Case, mnar_fill, route
 from .serial import Serial
@@ -61,13 +62,14 @@ def mode_of(df: DataFrame, column: str) -> float:
 
 
 def fills_of(df: DataFrame, wanted: dict[str, str]) -> dict[str, float | None]:
-    """The mean, median or mode of each column, means and medians from one aggregate."""
+    """The mean, median or mode of each column: means from one aggregate, medians by selection."""
     out: dict[str, float | None] = {}
-    plain = {c: k for c, k in wanted.items() if k != "mode"}
-    if plain:
-        one = {"mean": F.avg, "median": lambda x: F.percentile(x, 0.5)}
-        r = df.agg(*[one[k](number(df, c)).alias(str(i)) for i, (c, k) in enumerate(plain.items())]).first()
-        out |= {c: r[str(i)] for i, c in enumerate(plain)}
+    means, medians = ([c for c, k in wanted.items() if k == kind] for kind in ("mean", "median"))
+    if means:
+        r = df.agg(*[F.avg(number(df, c)).alias(str(i)) for i, c in enumerate(means)]).first()
+        out |= {c: r[str(i)] for i, c in enumerate(means)}
+    if medians:
+        out |= {c: q[0] for c, (_, q) in zip(medians, of_expressions(df, [number(df, c) for c in medians], [0.5]))}
     return out | {c: mode_of(df, c) for c, k in wanted.items() if k == "mode"}
 
 
@@ -234,14 +236,15 @@ def drawn(df: DataFrame, state: dict, seed: int, column: str) -> Column:
 
 
 def fit_clusters(df: DataFrame, column: str, centres: tuple[float, float], features: Sequence[str], fill: str) -> dict:
-    """Rows go to the nearer centre of ``column``; each side has its fill and the means of its features, in one aggregate."""
+    """Rows go to the nearer centre of ``column``; each side has its fill and the means of its features, over all rows."""
     x = number(df, column)
     first = F.abs(x - F.lit(centres[0])) <= F.abs(x - F.lit(centres[1]))
-    agg = F.avg if fill == "mean" else lambda e: F.percentile(e, 0.5)
-    exprs = [agg(F.when(side, x)).alias(f"fill{i}") for i, side in enumerate((first, ~first))]
-    exprs += [F.avg(F.when(side & x.isNotNull(), number(df, f))).alias(f"f{i}_{j}") for i, side in enumerate((first, ~first)) for j, f in enumerate(features)]
+    sides = (first, ~first)
+    exprs = [e.alias(f"{k}{i}") for i, side in enumerate(sides) for k, e in (("mean", F.avg(F.when(side, x))), ("n", F.count_if(side & x.isNotNull())), ("std", F.stddev_pop(F.when(side, x))))]
+    exprs += [F.avg(F.when(side & x.isNotNull(), number(df, f))).alias(f"f{i}_{j}") for i, side in enumerate(sides) for j, f in enumerate(features)]
     r = df.agg(*exprs).first()
-    return {"kind": "cluster", "features": list(features), "fills": [r["fill0"], r["fill1"]], "centroids": [[r[f"f{i}_{j}"] or 0.0 for j in range(len(features))] for i in (0, 1)]}
+    fills = [r["mean0"], r["mean1"]] if fill == "mean" else [q[0] for _, q in of_expressions(df, [F.when(side, x) for side in sides], [0.5])]
+    return {"kind": "cluster", "features": list(features), "fills": fills, "sizes": [r["n0"], r["n1"]], "centroids": [[r[f"f{i}_{j}"] or 0.0 for j in range(len(features))] for i in (0, 1)]}
 
 
 def cluster_fill(df: DataFrame, state: dict) -> Column:
@@ -256,9 +259,10 @@ def cluster_fill(df: DataFrame, state: dict) -> Column:
 
 
 def fit_groups(df: DataFrame, column: str, group: str, fill: str) -> dict:
-    agg = F.avg if fill == "mean" else lambda e: F.percentile(e, 0.5)
-    rows = df.groupBy(col(group).cast("string").alias("g")).agg(agg(number(df, column)).alias("v")).where("g is not null and v is not null").collect()
-    return {"kind": "group", "group": group, "fills": {r["g"]: r["v"] for r in sorted(rows, key=lambda r: r["g"])}}
+    """The fill of each group, as a fitted imputer holds it: a grouping column is a category, and its fills are collected."""
+    rows = df.select(col(group).cast("string").alias("key"), number(df, column).alias("x")).where("key is not null and x is not null")
+    fills = rows.groupBy("key").agg(F.avg("x").alias("v")) if fill == "mean" else quantiles(rows, [0.5]).select("key", F.get("q", F.lit(0)).alias("v"))
+    return {"kind": "group", "group": group, "fills": {r["key"]: r["v"] for r in sorted(fills.collect(), key=lambda r: r["key"])}}
 
 
 def group_fill(df: DataFrame, column: str, state: dict) -> DataFrame:

@@ -20,6 +20,7 @@ from ..functions.nulls import normalize
 from ..operators import columns as C
 from ..operators import pairs as P
 from ..operators.base import col, per_column, top_values, value_counts
+from ..operators.quantiles import outline
 from ..operators.types import detect
 from ..results import (
     BimodalStats, BooleanFlag, BooleanStats, CategoricalFlag, CategoricalStats, CategoricalTargetCorrelation, ColumnMissingnessProfile, ColumnProfile,
@@ -184,27 +185,32 @@ def numeric_profiles(df: DataFrame, columns: Sequence[str], config, overrides: s
     return out
 
 
-#: Values on which the dip and the mixture are computed; above it, quantiles stand for the distribution.
+#: Cells of a distribution on which the dip and the mixture are computed: single values up to that many, else straight pieces.
 SUMMARY_POINTS = 2000
 
 
-def summary_points(df: DataFrame, column: str, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct values with weights: exact for few values, else evenly spaced quantiles."""
-    x = C.number(df, column)
-    few = value_counts(df, [column], "double", lambda c: x).limit(SUMMARY_POINTS + 1).collect()
-    if len(few) <= SUMMARY_POINTS:
-        pairs = sorted((r["value"], r["n"]) for r in few)
-        return np.array([p[0] for p in pairs]), np.array([float(p[1]) for p in pairs])
-    places = [(i + 0.5) / SUMMARY_POINTS for i in range(SUMMARY_POINTS)]
-    q = df.agg(F.percentile_approx(x, places, 10 * SUMMARY_POINTS)).first()[0]
-    values, counts = np.unique(np.array(q), return_counts=True)
-    return values, counts * (n / SUMMARY_POINTS)
+def dip_of(cells: Sequence[tuple[float, float, int]]) -> float:
+    """The dip of a distribution given as cells of values, straight within a cell."""
+    n = sum(c for _, _, c in cells)
+    x, below, above, run = [], [], [], 0
+    for low, high, c in cells:
+        if low == high:
+            x.append(low)
+            below.append(run / n)
+            above.append((run + c) / n)
+        else:
+            x += [low, high]
+            below += [run / n, (run + c) / n]
+            above += [run / n, (run + c) / n]
+        run += c
+    return mathx.dip_between(np.array(x), np.array(below), np.array(above), n)
 
 
 def bimodal(df: DataFrame, column: str, s: NumericStats, n: int, config) -> BimodalStats | None:
-    """The dip test, and behind it a mixture of two with separated, weighty components."""
-    values, counts = summary_points(df, column, n)
-    d = mathx.dip(values, counts)
+    """The dip test, and behind it a mixture of two with separated, weighty components; all rows count."""
+    cells = outline(df, C.number(df, column), SUMMARY_POINTS)
+    values, counts = np.array([(a + b) / 2 for a, b, _ in cells]), np.array([float(c) for _, _, c in cells])
+    d = dip_of(cells)
     p = mathx.dip_p_value(d, n)
     if p >= config.bimodal_dip_p_value_threshold:
         return None
@@ -220,13 +226,17 @@ def bimodal(df: DataFrame, column: str, s: NumericStats, n: int, config) -> Bimo
 def categorical_profiles(df: DataFrame, columns: Sequence[str], config) -> dict[str, CategoricalStats]:
     if not columns:
         return {}
-    rows = {r["column"]: r for r in C.categorical_summary(df, columns, config.rare_threshold_pct).collect()}
-    tops: dict[str, list] = {c: [] for c in columns}
-    for r in sorted(top_values(C.listed(df, columns), 10).collect(), key=lambda r: r["place"]):
-        tops[r["column"]].append(r)
-    labels: dict[str, list[str]] = {c: [] for c in columns}
-    for r in sorted(C.rare_labels(df, columns, config.stratification_rare_threshold_pct).collect(), key=lambda r: (-r["n"], r["value"])):
-        labels[r["column"]].append(r["value"])
+    every = value_counts(df, columns).persist()
+    try:
+        rows = {r["column"]: r for r in C.categorical_summary(df, columns, config.rare_threshold_pct, every).collect()}
+        tops: dict[str, list] = {c: [] for c in columns}
+        for r in sorted(top_values(C.listed(df, columns, every), 10).collect(), key=lambda r: r["place"]):
+            tops[r["column"]].append(r)
+        labels: dict[str, list[str]] = {c: [] for c in columns}
+        for r in sorted(C.rare_labels(df, columns, config.stratification_rare_threshold_pct, every).collect(), key=lambda r: (-r["n"], r["value"])):
+            labels[r["column"]].append(r["value"])
+    finally:
+        every.unpersist()
     out = {}
     for c in columns:
         r = rows[c]

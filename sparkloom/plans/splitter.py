@@ -16,6 +16,7 @@ from ..functions.nulls import normalize, normalized
 from ..operators import splits as S
 from ..operators.base import col
 from ..operators.columns import number
+from ..operators.quantiles import of_expressions
 from ..results import (
     BooleanStats, CategoricalStats, FoldResult, MissingnessFlag, NumericStats, SkewSeverity, SplitResult, StructuralProfileResult,
 )
@@ -56,7 +57,7 @@ def signal_columns(df: DataFrame, profile: StructuralProfileResult, target: str
         kind = df.schema[target].dataType
         if isinstance(kind, T.NumericType):
             x = number(df, target)
-            edges = df.agg(F.percentile(x, F.array(*[F.lit(i / TARGET_BUCKETS) for i in range(1, TARGET_BUCKETS)]))).first()[0] or []
+            edges = [q for q in of_expressions(df, [x], [i / TARGET_BUCKETS for i in range(1, TARGET_BUCKETS)])[0][1] if q is not None]
             bounds = [-math.inf, *sorted(set(edges)), math.inf]
             for i, (a, b) in enumerate(zip(bounds, bounds[1:])):
                 out[f"{target}:bucket {i}"] = never((x > a) & (x <= b)) if a > -math.inf else never(x <= b)

@@ -16,10 +16,11 @@ from .operators import columns as C
 from .operators import pairs as P
 from .operators import splits as S
 from .operators.base import average_ranks, top_values, value_counts
+from .operators.quantiles import of_expressions, outline
 from .operators.types import detect
 from .functions.nulls import normalize
 from .plans import imputer as I
-from .plans.profiler import NonlinearityProfiler, StructuralProfiler, flat, redundancy_groups, summary_points, target_profile
+from .plans.profiler import NonlinearityProfiler, StructuralProfiler, dip_of, flat, redundancy_groups, target_profile
 from .plans.profilers import TabularProfiler
 from .plans.splitter import DataSplitter, label_matrix
 from .config import ImputationConfig, PipelineConfig, ProfileConfig
@@ -67,13 +68,13 @@ def numeric_profile(spark, sf_dir):
 
 @query(each(LINE, "round(skewness({c}), 6) AS skewness, round(kurtosis({c}), 6) AS kurtosis", "lineitem"))
 def shape_bias_corrected(spark, sf_dir):
-    return rounded(C.shape(C.numeric_summary(table(spark, sf_dir, "lineitem"), LINE)))
+    return rounded(C.shape(C.moments(table(spark, sf_dir, "lineitem"), LINE)))
 
 
 @query(each(LINE, "round(avg(CASE WHEN abs({c} - m) > 1.5 * s THEN 1.0 ELSE 0.0 END), 6) AS outlier_density", "(SELECT {c}, avg({c}) OVER () AS m, stddev_samp({c}) OVER () AS s FROM lineitem)"))
 def outlier_density(spark, sf_dir):
     d = table(spark, sf_dir, "lineitem")
-    centre = {r["column"]: (r["mean"], r["std"]) for r in C.numeric_summary(d, LINE).collect()}
+    centre = {r["column"]: (r["mean"], r["std"]) for r in C.moments(d, LINE).collect()}
     return rounded(C.outlier_density(d, centre, 1.5))
 
 
@@ -84,8 +85,9 @@ ORACLE_SQL["outlier_density"] = " UNION ALL ".join(
 
 @query(each(LINE, "round((quantile_cont({c}, 0.99) - quantile_cont({c}, 0.95)) / nullif(quantile_cont({c}, 0.99) - quantile_cont({c}, 0.95) + quantile_cont({c}, 0.05) - quantile_cont({c}, 0.01), 0), 6) AS tail_share", "lineitem"))
 def tail_asymmetry(spark, sf_dir):
-    s = C.numeric_summary(table(spark, sf_dir, "lineitem"), LINE)
-    right, left = F.col("p99") - F.col("p95"), F.col("p5") - F.col("p1")
+    s = C.quantile_table(table(spark, sf_dir, "lineitem"), LINE, [0.01, 0.05, 0.95, 0.99])
+    q = [F.get("q", F.lit(i)) for i in range(4)]
+    right, left = q[3] - q[2], q[1] - q[0]
     return rounded(s.select("column", F.try_divide(right, right + left).alias("tail_share")))
 
 
@@ -112,9 +114,8 @@ SELECT least(floor((l_extendedprice - lo) / ((hi - lo) / bins)), bins - 1)::INT
 @query(HISTOGRAM_SQL)
 def histogram_auto(spark, sf_dir):
     d = table(spark, sf_dir, "lineitem")
-    s = C.numeric_summary(d, ["l_extendedprice"]).first()
-    bins = mathx.histogram_bins(s["n"], s["min"], s["max"], s["p75"] - s["p25"])
-    return C.histogram(d, "l_extendedprice", s["min"], s["max"], bins)
+    n, (low, q1, q3, high) = of_expressions(d, [C.number(d, "l_extendedprice")], [0.0, 0.25, 0.75, 1.0])[0]
+    return C.histogram(d, "l_extendedprice", low, high, mathx.histogram_bins(n, low, high, q3 - q1))
 
 
 # Missing cells
@@ -560,9 +561,9 @@ def nonlinearity_profile(spark, sf_dir):
 def bimodality(spark, sf_dir):
     d, rows = table(spark, sf_dir, "lineitem"), []
     for c in LINE:
-        values, counts = summary_points(d, c, d.count())
-        dip = mathx.dip(values, counts)
-        rows.append((c, dip, mathx.dip_p_value(dip, int(counts.sum()))))
+        cells = outline(d, C.number(d, c))
+        dip = dip_of(cells)
+        rows.append((c, dip, mathx.dip_p_value(dip, sum(n for _, _, n in cells))))
     return rounded(spark.createDataFrame(rows, "column string, dip double, p_value double"))
 
 
