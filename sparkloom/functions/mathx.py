@@ -150,12 +150,14 @@ def dip_p_value(d: float, n: int, rounds: int = 200, seed: int = 42, most: int =
     return float(np.mean(_uniform_dips(m, rounds, seed) >= d * math.sqrt(n / m)))
 
 
-def mixture_of_two(values: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Means, standard deviations and weights of two normal components, by expectation maximisation from the outer quartiles."""
+def mixture_of_two(values: np.ndarray, counts: np.ndarray, rounds: int = 200, start: tuple[float, float] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Means, standard deviations and weights of two normal components, by expectation maximisation from ``start`` or the outer quartiles."""
     x, w = values.astype(float), counts.astype(float)
     total = w.sum()
     run = np.cumsum(w) / total
     mean = np.array([x[np.searchsorted(run, 0.25)], x[min(np.searchsorted(run, 0.75), len(x) - 1)]])
+    if start is not None:
+        mean = np.array(start, dtype=float)
     if mean[0] == mean[1]:
         mean = np.array([x[0], x[-1]])
     var = np.full(2, max(float(np.average((x - np.average(x, weights=w)) ** 2, weights=w)) / 4, 1e-6))

@@ -1,8 +1,8 @@
 """Fitting and applying imputation of numeric columns.
 
-Scalar strategies are one aggregate to fit and one projection to apply.  Model strategies fit on at most ``FIT_ROWS`` rows,
-chosen by a hash of their values, and apply in one narrow pass of Arrow batches; their state is plain lists, so a
-fitted imputer is JSON.  Applying needs no shuffle, apart from a left join where fills hang on a grouping column.
+Scalar strategies are one aggregate to fit and one projection to apply.  Linear models are fitted on all rows, from sums of
+products (``chains``); tree models on at most ``tree_rows`` rows, chosen by a hash of their values.  Models apply in one
+narrow pass of Arrow batches; their state is plain lists, so a fitted imputer is JSON.  Applying needs no shuffle, apart from a left join where fills hang on a grouping column.
 """
 
 from __future__ import annotations
@@ -21,17 +21,19 @@ from pyspark.sql import types as T
 
 from ..config import ImputationConfig, NumericImputationConfig, NumericKind, PipelineConfig, PipelinePhase, SemanticType
 from ..config import ImputationStrategy as S
-from ..functions import forest
+from ..functions import forest, mathx
 from ..functions.nulls import INTEGERS, normalize
 from ..operators.base import col, value_counts
 from ..operators.columns import kinds, number
-from ..operators.quantiles import of_expressions, quantiles
+from ..operators.quantiles import of_expressions, outline, quantiles
 from ..results import ColumnImputationRecord, ImputationFitDiagnostic, ImputationResult, MissingnessFlag, NonlinearityTag, NumericFlag, NumericStats, SkewSeverity, StructuralProfileResult
+from . import chains
+from .chains import Products, products
 from .router import Case, mnar_fill, route
 from .serial import Serial
 
-#: Rows that models are fitted on at most.
-FIT_ROWS = 50_000
+#: Rows that tree models are fitted on at most, unless ``ImputationOrchestrator`` is told otherwise.
+TREE_ROWS = 50_000
 SHIFTED = 0x7FFFFFFF
 
 
@@ -83,7 +85,7 @@ def fill_column(df: DataFrame, column: str, value: Column) -> Column:
     return F.coalesce(col(column), value.cast(kind))
 
 
-def matrix(df: DataFrame, columns: Sequence[str], rows: int = FIT_ROWS, seed: int = 0) -> np.ndarray:
+def matrix(df: DataFrame, columns: Sequence[str], rows: int, seed: int = 0) -> np.ndarray:
     """At most ``rows`` rows of the columns as numbers, NaN for missing, chosen by a hash of their values."""
     d = df.select(*[number(df, c).alias(str(i)) for i, c in enumerate(columns)])
     names = [F.col(str(i)) for i in range(len(columns))]
@@ -124,8 +126,13 @@ def apply_neighbours(state: dict, x: np.ndarray, block: int = 256) -> np.ndarray
                 continue
             near = d[np.ix_(want, donors)]
             k = min(state["k"], len(donors))
-            pick = np.argsort(near, axis=1, kind="stable")[:, :k]
-            dist, values = np.take_along_axis(near, pick, 1), train[donors[pick], c]
+            limit = np.partition(near, k - 1, axis=1)[:, k - 1 : k]
+            at, donor = np.nonzero(near <= limit)  # in order of rows and donors, so the first of equally far donors are taken
+            dist = near[at, donor]
+            order = np.lexsort((donor, dist, at))
+            at, donor, dist = at[order], donor[order], dist[order]
+            first = np.searchsorted(at, np.arange(len(want)))[:, None] + np.arange(k)
+            dist, values = dist[first], train[donors[donor[first]], c]
             w = np.isfinite(dist).astype(float)
             if state["weighted"]:
                 zero = dist == 0
@@ -137,22 +144,13 @@ def apply_neighbours(state: dict, x: np.ndarray, block: int = 256) -> np.ndarray
     return out
 
 
-def fit_chain(x: np.ndarray, columns: Sequence[str], targets: Sequence[int], tag: NonlinearityTag | None, rounds: int, tol: float, initial: str, config: NumericImputationConfig, nearest: int | None, seed: int) -> dict:
-    """Chained equations: each target is regressed on the other columns, whose missing cells hold their last estimates."""
-    centre = np.nan_to_num(np.nanmedian(x, axis=0) if initial == "median" else np.nanmean(x, axis=0))
-    scale = np.nan_to_num(np.nanstd(x, axis=0))
-    scale[scale == 0] = 1.0
+def fit_chain(x: np.ndarray, columns: Sequence[str], used: dict[int, list[int]], tag: NonlinearityTag | None, rounds: int, tol: float, centre: np.ndarray, scale: np.ndarray, config: NumericImputationConfig, seed: int) -> dict:
+    """Chained equations on rows: each target is regressed on other columns, whose missing cells hold their last estimates."""
+    targets = list(used)
     z = (x - centre) / scale
     missing = np.isnan(z)
     now = np.where(missing, 0.0, z)
-    near = np.abs(np.corrcoef(now, rowvar=False)) if x.shape[1] > 1 else np.ones((1, 1))
     models: dict[int, dict] = {}
-    used: dict[int, list[int]] = {}
-    for c in targets:
-        others = [j for j in range(x.shape[1]) if j != c]
-        if nearest and len(others) > nearest:
-            others = sorted(sorted(others, key=lambda j: -np.nan_to_num(near[c, j]))[:nearest])
-        used[c] = others
     done, turn = False, 0
     while turn < rounds and not done:
         turn += 1
@@ -167,9 +165,13 @@ def fit_chain(x: np.ndarray, columns: Sequence[str], targets: Sequence[int], tag
             if missing[:, c].any():
                 now[missing[:, c], c] = forest.predict(models[c], now[np.ix_(missing[:, c], used[c])])
         done = bool(np.abs(now - before).max(initial=0.0) < tol)
+    return chain_state(columns, used, centre, scale, models, turn, done)
+
+
+def chain_state(columns: Sequence[str], used: dict[int, list[int]], centre, scale, models: dict[int, dict], rounds: int, converged: bool) -> dict:
     return {
-        "kind": "chain", "columns": list(columns), "targets": [int(c) for c in targets], "centre": centre.tolist(), "scale": scale.tolist(), "rounds": turn,
-        "converged": done, "used": {str(c): u for c, u in used.items()}, "models": {str(c): m for c, m in models.items()},
+        "kind": "chain", "columns": list(columns), "targets": [int(c) for c in used], "centre": list(map(float, centre)), "scale": list(map(float, scale)), "rounds": rounds,
+        "converged": converged, "used": {str(c): u for c, u in used.items()}, "models": {str(c): m for c, m in models.items()},
     }
 
 
@@ -195,7 +197,7 @@ def apply_chain(state: dict, x: np.ndarray) -> np.ndarray:
 
 def apply_rows(df: DataFrame, state: dict, targets: Sequence[str]) -> DataFrame:
     """``df`` with the missing cells of ``targets`` filled by a model, in one narrow pass."""
-    columns, types = state["columns"], kinds(df)
+    columns = state["columns"]
     shared = df.sparkSession.sparkContext.broadcast(state)
     numbers = [f"__x{i}" for i in range(len(columns))]
     filled = [f"__y{i}" for i in range(len(targets))]
@@ -214,7 +216,6 @@ def apply_rows(df: DataFrame, state: dict, targets: Sequence[str]) -> DataFrame:
 
     d = wide.mapInPandas(run, schema)
     values = dict(zip(targets, filled))
-    del types
     return d.select(*[fill_column(d, c, F.col(values[c])).alias(c) if c in values else col(c) for c in df.columns])
 
 
@@ -285,7 +286,7 @@ def n_neighbours(config: NumericImputationConfig, features: int, rows: int, miss
     return min(k, most), k > most
 
 
-def chain_rounds(config: NumericImputationConfig, targets: Sequence[str], columns: Sequence[str], x: np.ndarray, tag: NonlinearityTag | None, stats: Sequence[NumericStats | None], correlation) -> tuple[int, float]:
+def chain_rounds(config: NumericImputationConfig, targets: Sequence[str], p: Products, tag: NonlinearityTag | None, stats: Sequence[NumericStats | None], correlation) -> tuple[int, float]:
     """Rounds and tolerance of chained equations.
 
     More rounds for complex columns, gaps, strong correlations and few complete rows, fewer for nearly linear columns; a
@@ -299,60 +300,68 @@ def chain_rounds(config: NumericImputationConfig, targets: Sequence[str], column
         return config.mice_max_iter, tol
     if declared:
         return max(declared), tol
-    gaps = np.isnan(x)
     rounds = config.base_max_iter + 5 * (tag == NonlinearityTag.ComplexNonlinear)
+    gappy = [c for i, c in enumerate(p.columns) if p.missing(i)]
     if joint:
-        share = float(gaps.mean()) if x.size else 0.0
+        share = p.share()
         rounds += next((extra for least, extra in ((0.4, 5), (0.2, 3), (0.1, 2)) if share >= least), 0)
     else:
-        rounds += 2 * int(gaps[:, 1:].any(axis=0).sum())
+        rounds += 2 * sum(c != targets[0] for c in gappy)
     known = [s.r2_gap for s in stats if s and s.r2_gap is not None]
     if known and min(known) < 0.05:
         rounds = max(1, rounds - 3)
-    linked = strengths(columns if joint else [c for i, c in enumerate(columns) if i and gaps[:, i].any()], columns, x, correlation)
+    linked = strengths(p.columns if joint else [c for c in gappy if c != targets[0]], p, correlation)
     if linked and (max(linked) if joint else float(np.mean(linked))) >= 0.7:
         rounds += 3
-    complete = float((~gaps.any(axis=1)).mean()) if len(x) else 1.0
+    complete = p.complete()
     return max(1, rounds + (5 if complete < 0.2 else 3 if complete < 0.5 else 0)), tol
 
 
-def strengths(wanted: Sequence[str], columns: Sequence[str], x: np.ndarray, correlation) -> list[float]:
-    """The sizes of the correlations of all pairs of the wanted columns, from the profile or else from the rows."""
+def strengths(wanted: Sequence[str], p: Products, correlation) -> list[float]:
+    """The sizes of the correlations of all pairs of the wanted columns, from the profile or else from the products."""
     out = []
     for a, b in combinations(wanted, 2):
         r = correlation.get_pearson(a, b) if correlation else None
-        if r is None:
-            both = x[:, [columns.index(a), columns.index(b)]]
-            both = both[~np.isnan(both).any(axis=1)]
-            r = float(np.corrcoef(both, rowvar=False)[0, 1]) if len(both) > 1 and (both.std(axis=0) > 0).all() else None
+        r = p.correlation(p.columns.index(a), p.columns.index(b)) if r is None else r
         if r is not None and math.isfinite(r):
             out.append(abs(r))
     return out
 
 
-def nearest_features(config: NumericImputationConfig, columns: Sequence[str], x: np.ndarray, correlation) -> int | None:
+def nearest_features(config: NumericImputationConfig, p: Products, correlation) -> int | None:
     """For wide blocks, how many predictors a column typically correlates with; None: all."""
-    if len(columns) <= config.mice_n_nearest_features_min_cols:
+    if len(p.columns) <= config.mice_n_nearest_features_min_cols:
         return None
-    counts = [sum(r > config.mice_correlation_threshold for o in columns if o != c for r in strengths([c, o], columns, x, correlation)) for c in columns]
+    counts = [sum(r > config.mice_correlation_threshold for o in p.columns if o != c for r in strengths([c, o], p, correlation)) for c in p.columns]
     return min(max(1, int(np.median(counts))), config.mice_max_nearest_features)
 
 
+def predictors(p: Products, targets: Sequence[int], nearest: int | None) -> dict[int, list[int]]:
+    """The columns that each target is regressed on: all others, or the most correlated."""
+    out = {}
+    for c in targets:
+        others = [j for j in range(len(p.columns)) if j != c]
+        if nearest and len(others) > nearest:
+            others = sorted(sorted(others, key=lambda j: -abs(p.correlation(c, j) or 0.0))[:nearest])
+        out[c] = others
+    return out
+
+
 def fold_metrics(x: np.ndarray, c: int, fill, folds: int, least: int) -> tuple[float | None, float | None, float | None]:
-    """R², root mean square and mean absolute error of filling column ``c`` of complete rows, each row once."""
+    """R², root mean square and mean absolute error of filling column ``c`` of complete rows, means over folds."""
     whole = x[~np.isnan(x).any(axis=1)]
     if len(whole) < least:
         return None, None, None
     whole = whole[np.random.default_rng(0).permutation(len(whole))]
-    guess = np.empty(len(whole))
+    scores = []
     for part in np.array_split(np.arange(len(whole)), folds):
         train = np.delete(whole, part, axis=0)
         test = whole[part].copy()
         test[:, c] = np.nan
-        guess[part] = fill(train, test)[:, c]
-    off = whole[:, c] - guess
-    spread = float(((whole[:, c] - whole[:, c].mean()) ** 2).sum())
-    return (1 - float((off**2).sum()) / spread if spread else None), float(np.sqrt((off**2).mean())), float(np.abs(off).mean())
+        off, spread = whole[part, c] - fill(train, test)[:, c], float(((whole[part, c] - whole[part, c].mean()) ** 2).sum())
+        if len(part) >= 2 and spread:
+            scores.append((1 - float((off**2).sum()) / spread, float(np.sqrt((off**2).mean())), float(np.abs(off).mean())))
+    return tuple(float(np.mean(s)) for s in zip(*scores)) if scores else (None, None, None)
 
 
 @dataclass
@@ -438,7 +447,8 @@ class FittedImputer:
 class ImputationOrchestrator:
     """``fit(train, profile)`` and ``fit_transform``."""
 
-    def __init__(self, config: PipelineConfig | ImputationConfig | None = None) -> None:
+    def __init__(self, config: PipelineConfig | ImputationConfig | None = None, tree_rows: int = TREE_ROWS) -> None:
+        self.tree_rows = tree_rows
         self.pipeline = config if isinstance(config, PipelineConfig) else PipelineConfig()
         self.config = config if isinstance(config, ImputationConfig) else self.pipeline.imputation
         self.seed = (self.pipeline.random_seed or 0) & SHIFTED
@@ -450,7 +460,7 @@ class ImputationOrchestrator:
         numeric = [c for c, p in typed.items() if p.semantic_type == SemanticType.Numeric]
         clean = clean.persist()
         try:
-            out = _Fit(clean, profile, numeric, self.config, self.seed).run()
+            out = _Fit(clean, profile, numeric, self.config, self.seed, self.tree_rows).run()
         finally:
             clean.unpersist()
         records = {c: out.records.get(c) or ColumnImputationRecord(c, p.semantic_type, S.Passthrough, signals=["not numeric"]) for c, p in typed.items()}
@@ -469,8 +479,8 @@ class ImputationOrchestrator:
 class _Fit:
     """One fit: routes, scalar fills, then models in the order in which they are applied."""
 
-    def __init__(self, df: DataFrame, profile: StructuralProfileResult, numeric: list[str], config: ImputationConfig, seed: int) -> None:
-        self.df, self.profile, self.numeric, self.config, self.seed = df, profile, numeric, config, seed
+    def __init__(self, df: DataFrame, profile: StructuralProfileResult, numeric: list[str], config: ImputationConfig, seed: int, tree_rows: int) -> None:
+        self.df, self.profile, self.numeric, self.config, self.seed, self.tree_rows = df, profile, numeric, config, seed, tree_rows
         self.rows = df.count()
         self.out = FittedImputer({}, {}, seed=seed)
 
@@ -531,34 +541,51 @@ class _Fit:
         r.signals.append(f"{r.strategy.value}: {why}")
         self._scalar(c, fills_of(self.df, {c: r.strategy.value})[c])
 
-    def _add(self, state: dict, targets: list[str], x: np.ndarray, apply, fill) -> None:
-        """Keep a model, with bounds for few whole numbers and diagnostics by cross-validation."""
+    def _keep(self, state: dict, targets: list[str], scores: dict[str, tuple], spreads: dict[str, tuple]) -> None:
+        """Keep a model, with bounds for few whole numbers and diagnostics: cross-validated scores, means and deviations."""
         self.out.models.append({**state, "fills_columns": targets})
-        done, n = apply(state, x), self.config.numeric
         for c in targets:
-            i, r, s = state["columns"].index(c), self.out.records[c], self._stats(c)
+            r, s = self.out.records[c], self._stats(c)
             if self.profile.columns[c].numeric_kind == NumericKind.BoundedDiscrete and s and s.min is not None:
                 r.domain_snap_bounds = (s.min, s.max)
-            gone = np.isnan(x[:, i])
-            seen = x[~gone, i]
-            d = ImputationFitDiagnostic(*fold_metrics(x, i, fill, n.diagnostic_folds, n.diagnostic_min_rows))
+            d = ImputationFitDiagnostic(*scores[c])
             d.converged, d.n_iter, d.n_neighbors_used, d.k_capped = state.get("converged"), state.get("rounds"), state.get("k"), state.get("capped")
-            if len(seen):
-                d.observed_mean, d.observed_std = float(seen.mean()), float(seen.std())
-            if gone.any():
-                d.imputed_mean, d.imputed_std = float(done[gone, i].mean()), float(done[gone, i].std())
-                d.variance_ratio = d.imputed_std**2 / d.observed_std**2 if d.observed_std else None
+            d.observed_mean, d.observed_std, d.imputed_mean, d.imputed_std = spreads[c]
+            d.variance_ratio = d.imputed_std / d.observed_std if d.observed_std and d.imputed_std is not None else None
             r.diagnostic = d
 
+    def _add(self, state: dict, targets: list[str], x: np.ndarray, apply, fill) -> None:
+        """Keep a model that was fitted on the rows ``x``."""
+        done, n, at = apply(state, x), self.config.numeric, state["columns"].index
+        scores = {c: fold_metrics(x, at(c), fill, n.refit_r2_cv_folds, n.refit_r2_min_complete_rows) for c in targets}
+        of = lambda v: (float(v.mean()), float(v.std())) if len(v) else (None, None)
+        spreads = {c: (*of(x[~np.isnan(x[:, at(c)]), at(c)]), *of(done[np.isnan(x[:, at(c)]), at(c)])) for c in targets}
+        self._keep(state, targets, scores, spreads)
+
     def _chain(self, columns: list[str], targets: list[str], tag: NonlinearityTag | None) -> None:
-        x = matrix(self.df, columns, seed=self.seed)
         skewed = any((s := self._stats(c)) and s.skewness_severity not in (None, SkewSeverity.Normal) for c in targets)
         n, correlation = self.config.numeric, self.profile.dataset.feature_correlation
-        rounds, tol = chain_rounds(n, targets, columns, x, tag, [self._stats(c) for c in targets], correlation)
-        nearest = nearest_features(n, columns, x, correlation) if len(targets) > 1 else None
-        at = [columns.index(c) for c in targets]
-        fit = lambda m: fit_chain(m, columns, at, tag, rounds, tol, "median" if skewed else "mean", n, nearest, self.seed)
-        self._add(fit(x), targets, x, apply_chain, lambda train, test: apply_chain(fit(train), test))
+        values = [number(self.df, c) for c in columns]
+        r = self.df.agg(*[e.alias(f"{k}{i}") for i, x in enumerate(values) for k, e in (("m", F.avg(x)), ("s", F.stddev_pop(x)))]).first()
+        centre = [q[0] or 0.0 for _, q in of_expressions(self.df, values, [0.5])] if skewed else [r[f"m{i}"] or 0.0 for i in range(len(columns))]
+        scale = [r[f"s{i}"] or 1.0 for i in range(len(columns))]
+        p = products(self.df, columns, centre, scale, n.refit_r2_cv_folds, self.seed)
+        rounds, tol = chain_rounds(n, targets, p, tag, [self._stats(c) for c in targets], correlation)
+        used = predictors(p, [columns.index(c) for c in targets], nearest_features(n, p, correlation) if len(targets) > 1 else None)
+        if tag not in (None, NonlinearityTag.Linear):
+            x = matrix(self.df, columns, self.tree_rows, self.seed)
+            fit = lambda m: fit_chain(m, columns, used, tag, rounds, tol, p.centre, p.scale, n, self.seed)
+            return self._add(fit(x), targets, x, apply_chain, lambda train, test: apply_chain(fit(train), test))
+        models, turns, done = chains.fit(p, list(used), used, rounds, tol)
+        state = chain_state(columns, used, centre, scale, {c: {"kind": "linear", "beta": b} for c, b in models.items()}, turns, done)
+        found = chains.fold_scores(self.df, p, used, n.refit_r2_min_complete_rows, n.refit_r2_cv_folds, self.seed)
+        spreads = {}
+        for c in targets:
+            i = columns.index(c)
+            e = chains.estimates(p, i, list(used), used, models, turns)
+            back = lambda m, s, i=i: (None, None) if math.isnan(m) else (m * scale[i] + centre[i], s * scale[i])
+            spreads[c] = (*back(*e[:2]), *back(*e[2:])) if e else (None,) * 4
+        return self._keep(state, targets, {c: found[columns.index(c)] for c in targets}, spreads)
 
     def _mice(self, targets: list[str]) -> None:
         if not targets:
@@ -618,22 +645,49 @@ class _Fit:
         state = fit_clusters(self.df, c, (b.center1, b.center2), features, self._fill_kind(c))
         if None in state["fills"]:
             return self._fall_back(c, "a cluster is empty")
-        self.out.models.append({**state, "fills_columns": [c]})
+        self._keep(state, [c], {c: self._cluster_scores(c, (b.center1, b.center2), features)}, {c: self._spread(c, cluster_fill(self.df, state))})
         return None
 
+    def _spread(self, c: str, fill: Column) -> tuple:
+        """Mean and deviation of the values that are there, and of what ``fill`` gives for the others."""
+        x = number(self.df, c)
+        r = self.df.agg(F.avg(x), F.stddev_pop(x), F.avg(F.when(x.isNull(), fill)), F.stddev_pop(F.when(x.isNull(), fill))).first()
+        return tuple(r)
+
+    def _cluster_scores(self, c: str, centres: tuple[float, float], features: list[str]) -> tuple:
+        """Scores over folds of complete rows, each filled by clusters fitted on the other folds."""
+        n = self.config.numeric
+        numbers = [number(self.df, f).alias(f) for f in [c, *features]]
+        d = self.df.select(*numbers).dropna()
+        d = d.withColumn("__fold", F.pmod(F.xxhash64(F.lit(self.seed), *[col(f) for f in [c, *features]]), F.lit(n.refit_r2_cv_folds))).persist()
+        try:
+            if d.count() < n.refit_r2_min_complete_rows:
+                return None, None, None
+            scores = []
+            for f in range(n.refit_r2_cv_folds):
+                state = fit_clusters(d.where(F.col("__fold") != f), c, centres, features, self._fill_kind(c))
+                state["fills"] = [m if v is None else v for v, m in zip(state["fills"], centres)]
+                off = col(c) - cluster_fill(d, state)
+                r = d.where(F.col("__fold") == f).agg(F.count(F.lit(1)).alias("n"), F.var_pop(c).alias("v"), F.avg(off * off).alias("s"), F.avg(F.abs(off)).alias("a")).first()
+                if r["n"] >= 2 and r["v"]:
+                    scores.append((1 - r["s"] / r["v"], math.sqrt(r["s"]), r["a"]))
+            return tuple(float(np.mean(s)) for s in zip(*scores)) if scores else (None, None, None)
+        finally:
+            d.unpersist()
+
     def _mixture(self, c: str) -> None:
+        """Two normals by expectation maximisation from the profile's modes, over the outline of all values."""
         s = self._stats(c)
         b = s.bimodal_stats if s else None
         if not b or b.center1 is None:
             return self._fall_back(c, "no two modes in the profile")
-        x = number(self.df, c)
-        first = F.abs(x - F.lit(b.center1)) <= F.abs(x - F.lit(b.center2))
-        sides = (first, ~first)
-        r = self.df.agg(*[e.alias(f"{k}{i}") for i, side in enumerate(sides) for k, e in (("m", F.avg(F.when(side, x))), ("s", F.stddev_pop(F.when(side, x))), ("n", F.count_if(side)))]).first()
-        total = (r["n0"] or 0) + (r["n1"] or 0)
-        if not r["n0"] or not r["n1"]:
-            return self._fall_back(c, "one mode is empty")
-        self.out.models.append({"kind": "mixture", "means": [r["m0"], r["m1"]], "stds": [r["s0"] or 0.0, r["s1"] or 0.0], "weights": [r["n0"] / total, r["n1"] / total], "fills_columns": [c]})
+        cells = outline(self.df, number(self.df, c))
+        if not cells:
+            return self._fall_back(c, "no values")
+        values, counts = np.array([(low + high) / 2 for low, high, _ in cells]), np.array([float(m) for _, _, m in cells])
+        means, stds, weights = mathx.mixture_of_two(values, counts, start=(b.center1, b.center2))
+        state = {"kind": "mixture", "means": means.tolist(), "stds": stds.tolist(), "weights": weights.tolist()}
+        self._keep(state, [c], {c: (None, None, None)}, {c: self._spread(c, drawn(self.df, state, self.seed, c))})
         return None
 
 

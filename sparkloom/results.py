@@ -552,7 +552,7 @@ class FoldResult:
 
 @dataclass
 class ImputationFitDiagnostic(Serial):
-    r2: float | None = None
+    r2_train: float | None = None
     rmse: float | None = None
     mae: float | None = None
     converged: bool | None = None

@@ -348,7 +348,7 @@ def test_imputation_end_to_end(spark):
     assert set(out["rating"]) <= {1, 2, 3, 4, 5} and result.dataframe.schema["rating"].dataType.simpleString() == "int"
     truth = 2 * out["a"] - out["b"]
     gone = [i for i in range(600) if i % 9 == 0]
-    assert fitted.records["c"].diagnostic.r2 > 0.95 and fitted.records["rating"].domain_snap_bounds == (1, 5)
+    assert fitted.records["c"].diagnostic.r2_train > 0.95 and fitted.records["rating"].domain_snap_bounds == (1, 5)
     merged = out.merge(d.toPandas()[["a", "b", "c"]].rename(columns={"c": "old"}), on=["a", "b"])
     off = (merged["c"] - (2 * merged["a"] - merged["b"]))[merged["old"].isna()]
     assert len(off) == len(gone) and off.abs().mean() < 0.3 and len(truth) == 600
