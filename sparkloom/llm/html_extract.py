@@ -1,20 +1,25 @@
-"""Main text of web pages: template deduction by equivalence classes of tokens, and the roles of page parts.
+"""Main text of web pages: template deduction by equivalence classes of tokens, then the slots that are left.
 
-Tokens are element paths (with classes) and whole text blocks.  A token's occurrence vector over the distinct pages of its
-host is kept as its support and the exclusive or of a hash of (page, count), so tokens with equal vectors fall into one
-class by plain partial aggregates and no task ever holds a host.  Pages with equal tokens are one page, so copies and
-repeated rows are no evidence of a template.  A class is valid if its support reaches
-``max(min_pages, min_share * pages of the host)`` and it holds an element; classes nest by support, the largest being the
-page frame.  Blocks that belong to a valid class are template; what is left fills slots.  Slots in menus, headers,
-footers, side bars, notices, adverts, forms and comments are told by the elements and attributes around them, for
-hosts with too few pages for any class as well.
+Tokens are element paths (with classes) and whole text blocks, of every part of a page.  A token's occurrence vector over
+the distinct pages of its host is kept as its support and the exclusive or of a hash of (page, count), so tokens with
+equal vectors fall into one class by plain partial aggregates and no task ever holds a host.  Pages with equal tokens are
+one page, so copies and repeated rows are no evidence of a template.  A class is valid if its support reaches
+``max(min_pages, min_share * pages of the host)`` and it holds an element.  Classes nest by their paths: whatever holds a
+token occurs wherever the token does, so the parents of a valid class are valid.
+
+The template of a host has two parts.  Text blocks of valid classes are fixed text and go.  The region is the slot that
+holds the articles: going down from the root along elements that stand once on nearly every page and hold over half of
+the host's text, the last one before text stands beside it (a heading or a paragraph).  Slots outside the region go.  What
+is left goes by roles: elements and attributes of menus, headers, footers, side bars, notices, adverts, forms and comments,
+which also serve hosts with too few pages.  Outside of articles, blocks that are links for four fifths are menus.
 
 Defined cases: null html is empty and gives an empty text; a null url is a host of its own; repeated rows are extracted
-each; an empty table gives an empty result; extra columns are not read.
+each; a page without any block in the region keeps its other slots, and one whose every slot is fixed text keeps its text;
+an empty table gives an empty result; extra columns are not read.
 
-At scale: templates, which hold only block hashes of valid classes, are written and counted.  At most ``small`` of them are
-broadcast to where pages are parsed; more are joined by host and salt, so that a hot host is spread over ``salts`` keys,
-and then blocks of text, not pages, are shuffled.
+At scale: templates hold block hashes of valid classes and one path a host; they are written and their sizes are summed.
+At most ``small`` hashes and hosts are broadcast to where pages are parsed; more are joined by host and salt, so that a hot
+host is spread over ``salts`` keys, and then blocks of text, not pages, are shuffled.
 """
 
 from __future__ import annotations
@@ -179,7 +184,7 @@ def blocks(page: str) -> tuple[list[Block], Counter]:
             stack.pop()
         attrs = {k.lower(): entities.unescape(a or b or c) for k, a, b, c in _ATTR.findall(m[3])}
         _, path, outside, owner = stack[-1] if stack else ("", "", INSIDE, 0)
-        path = f"{path}/{name}.{attrs.get('class', '')}"
+        path = f"{path}/{name}.{attrs.get('class', '').replace('/', '_')}"
         paths[path] += 1
         if name in VOID or m[4]:
             continue
@@ -197,19 +202,36 @@ def blocks(page: str) -> tuple[list[Block], Counter]:
 
 
 def main_blocks(found: list[Block]) -> list[Block]:
-    """The blocks of the article: of the article element with most text, or else of all that stands nowhere else.
+    """The blocks that no role puts outside; blocks of links only within an article.  If nothing is left, doubtful ones count as well."""
+    free = [b for b in found if b.outside == INSIDE and (b.owner or b.linked < 0.8)]
+    return free or [b for b in found if b.outside == DOUBTFUL and b.linked < 0.8]
+
+
+#: Elements that hold text of their own.
+TEXT = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "table", "figure", "dl"}
 
-    If nothing does, what is only doubtful counts as well.
+
+def page_tokens(found: list[Block], paths: Counter) -> tuple[list[tuple[int, int, bool, str, int, bool]], int]:
+    """(token, count, is an element, path, characters within, text stands in it) of a page, and the page's own hash.
+
+    The path is given for single elements with over half of the page's text only: no others can lead to the region.
     """
-    rest = [b for b in found if b.outside == INSIDE] or [b for b in found if b.outside == DOUBTFUL]
-    size: Counter = Counter()
-    for b in rest:
-        if b.owner:
-            size[b.owner] += len(b.text)
-    if size:
-        best = max(size, key=lambda k: (size[k], -k))
-        return [b for b in rest if b.owner == best]
-    return [b for b in rest if b.linked < 0.6]
+    chars: Counter = Counter()
+    texts: Counter = Counter()
+    own: set[str] = set()
+    for b in found:
+        texts[_hash(b.path, b.text)] += 1
+        own.add(b.path)
+        chars[b.path] += len(b.text)
+    total = sum(chars.values())
+    for path in sorted(paths, key=len, reverse=True):
+        parent, _, last = path.rpartition("/")
+        chars[parent] += chars[path]
+        if last.partition(".")[0] in TEXT:
+            own.add(parent)
+    out = [(_hash(p), c, True, p if c == 1 and 2 * chars[p] > total else "", chars[p], p in own) for p, c in paths.items()]
+    out += [(t, c, False, "", 0, False) for t, c in texts.items()]
+    return out, _hash(*sorted(f"{t} {c} {e}" for t, c, e, _, _, _ in out))
 
 
 def _hash(*parts: str) -> int:
@@ -224,53 +246,71 @@ def host_of(url: str | None) -> str | None:
     return m[1].lower() if m else url
 
 
-def extract(pages: DataFrame, min_pages: int = 8, min_share: float = 0.5, small: int = 20_000, salts: int = 16) -> DataFrame:
-    """page_id, url, text, n_chars of every row."""
+def templates(pages: DataFrame, min_pages: int = 8, min_share: float = 0.5) -> DataFrame:
+    """t_host, template (hashes of fixed text blocks) and region (a path, or null) of each host that has either."""
+
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns: list[list] = [[] for _ in NAMES]
+            for url, source in zip(batch[0].to_pylist(), batch[1].to_pylist()):
+                found, paths = blocks(source or "")
+                all_tokens, one = page_tokens(found, paths)
+                here, total = host_of(url), sum(len(b.text) for b in found)
+                for row in [(0, 1, None, "", total, False), *all_tokens]:  # the first stands for the page itself
+                    for column, value in zip(columns, (here, one, *row)):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, KINDS)], NAMES)
+
+    seen = pages.select("url", "html").mapInArrow(tokens, "host string, page long, token long, count long, element boolean, path string, chars long, texty boolean")
+    seen = seen.dropDuplicates(["host", "page", "token", "element"])
+    vectors = seen.groupBy("host", "token", "element").agg(
+        F.count(F.lit(1)).alias("support"), F.bit_xor(F.xxhash64("page", "count")).alias("vector"), F.max("count").alias("most"), F.sum("chars").alias("chars"), F.max("path").alias("path"), F.max("texty").alias("texty")
+    )
+    vectors = keep(vectors.where(F.col("support") >= min_pages))
+    hosts = vectors.where(F.col("element").isNull()).select(F.col("host").alias("p_host"), F.col("support").alias("pages"), F.col("chars").alias("all_chars"))
+    frequent = vectors.where(F.col("element").isNotNull()).join(hosts, F.col("host").eqNullSafe(F.col("p_host"))).where(F.col("support") >= min_share * F.col("pages"))
+    classes = frequent.groupBy("host", "support", "vector").agg(F.max("element").alias("valid"), F.collect_set(F.when(~F.col("element"), F.col("token"))).alias("texts"))
+    fixed = classes.where(F.col("valid") & (F.size("texts") > 0)).groupBy(F.col("host").alias("t_host")).agg(F.flatten(F.collect_list("texts")).alias("template"))
+    # Elements with over half of the text lie on one path from the root, so these lists are no longer than pages are deep.
+    frame = F.col("element") & (F.col("path") != "") & (F.col("most") == 1) & (F.col("support") >= 0.9 * F.col("pages")) & (2 * F.col("chars") > F.col("all_chars"))
+    line = frequent.where(frame).groupBy(F.col("host").alias("r_host")).agg(F.sort_array(F.collect_list(F.struct(F.length("path").alias("n"), "path", "texty"))).alias("line"))
+    start = F.struct(F.lit("").alias("path"), F.lit(False).alias("texty"))
+    region = F.aggregate("line", start, lambda acc, e: F.when(acc["texty"], acc).otherwise(F.struct(e["path"].alias("path"), e["texty"].alias("texty"))), lambda acc: acc["path"])
+    both = fixed.join(line.select("r_host", region.alias("region")), F.col("t_host").eqNullSafe(F.col("r_host")), "full")
+    return both.select(F.when(F.col("template").isNotNull(), F.col("t_host")).otherwise(F.col("r_host")).alias("t_host"), F.coalesce("template", F.array().cast("array<bigint>")).alias("template"), "region")
+
+
+NAMES = ["host", "page", "token", "count", "element", "path", "chars", "texty"]
+KINDS = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.string(), pa.int64(), pa.bool_()]
+
+
+def extract(pages: DataFrame, min_pages: int = 8, min_share: float = 0.5, small: int = 100_000, salts: int = 16, roles: bool = True) -> DataFrame:
+    """page_id, url, text, n_chars of every row.  Without ``roles``, templates alone decide."""
     kind = dict(pages.dtypes)["page_id"]
-    block = "array<struct<text: string, token: long>>"
-    block_type = pa.list_(pa.struct([("text", pa.string()), ("token", pa.int64())]))
+    block = "array<struct<text: string, token: long, path: string>>"
+    block_type = pa.list_(pa.struct([("text", pa.string()), ("token", pa.int64()), ("path", pa.string())]))
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept = [[{"text": b.text, "token": _hash(b.path, b.text)} for b in main_blocks(blocks(h or "")[0])] for h in batch[2].to_pylist()]
+            found = [blocks(h or "")[0] for h in batch[2].to_pylist()]
+            kept = [[{"text": b.text, "token": _hash(b.path, b.text), "path": b.path} for b in (main_blocks(f) if roles else f)] for f in found]
             hosts = pa.array([host_of(u) for u in batch[1].to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([batch[0], batch[1], hosts, pa.array(kept, block_type)], ["page_id", "url", "host", "blocks"])
 
-    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            host, page, token, count, element = [], [], [], [], []
-            for url, source in zip(batch[1].to_pylist(), batch[2].to_pylist()):
-                found, paths = blocks(source or "")
-                own = Counter(_hash(b.path, b.text) for b in main_blocks(found))
-                all_tokens = [(_hash(p), c, True) for p, c in paths.items()] + [(t, c, False) for t, c in own.items()]
-                here, one = host_of(url), _hash(*sorted(map(repr, all_tokens)))
-                for t, c, e in [(0, 1, None), *all_tokens]:  # the first stands for the page itself
-                    host.append(here)
-                    page.append(one)
-                    token.append(t)
-                    count.append(c)
-                    element.append(e)
-            columns = [pa.array(host, pa.string()), pa.array(page, pa.int64()), pa.array(token, pa.int64()), pa.array(count, pa.int64()), pa.array(element, pa.bool_())]
-            yield pa.RecordBatch.from_arrays(columns, ["host", "page", "token", "count", "element"])
-
     source = pages.select("page_id", "url", "html")
     parsed = source.mapInArrow(parse, f"page_id {kind}, url string, host string, blocks {block}")
-    seen = source.mapInArrow(tokens, "host string, page long, token long, count long, element boolean")
-    vectors = seen.distinct().groupBy("host", "token", "element").agg(F.count(F.lit(1)).alias("support"), F.bit_xor(F.xxhash64("page", "count")).alias("vector"))
-    vectors = keep(vectors.where(F.col("support") >= min_pages))
-    hosts = vectors.where(F.col("element").isNull()).select(F.col("host").alias("p_host"), F.col("support").alias("pages"))
-    frequent = vectors.where(F.col("element").isNotNull()).join(hosts, F.col("host").eqNullSafe(F.col("p_host"))).where(F.col("support") >= min_share * F.col("pages"))
-    classes = frequent.groupBy("host", "support", "vector").agg(
-        F.max("element").alias("valid"), F.collect_set(F.when(~F.col("element"), F.col("token"))).alias("texts")
-    )
-    template = classes.where(F.col("valid") & (F.size("texts") > 0)).groupBy(F.col("host").alias("t_host")).agg(F.flatten(F.collect_list("texts")).alias("template"))
-    template = keep(template)
-    if template.count() <= small:
+    template = keep(templates(source, min_pages, min_share))
+    hashes = template.agg(F.sum(F.size("template") + 1)).first()[0] or 0
+    if hashes <= small:
         d = parsed.join(F.broadcast(template), F.col("host").eqNullSafe(F.col("t_host")), "left")
     else:
         salted = template.withColumn("t_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         own = F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int")
         d = parsed.withColumn("salt", own).join(salted, F.col("host").eqNullSafe(F.col("t_host")) & (F.col("salt") == F.col("t_salt")), "left")
-    slots = F.filter("blocks", lambda b: F.col("template").isNull() | ~F.array_contains("template", b["token"]))
+    free = F.filter("blocks", lambda b: F.col("template").isNull() | ~F.array_contains("template", b["token"]))
+    d = d.withColumn("free", free)
+    within = F.filter("free", lambda b: (b["path"] == F.col("region")) | F.startswith(b["path"], F.concat("region", F.lit("/"))))
+    d = d.withColumn("within", within)
+    slots = F.when(F.size("within") > 0, F.col("within")).when(F.size("free") > 0, F.col("free")).otherwise(F.col("blocks"))
     d = d.withColumn("text", F.array_join(F.transform(slots, lambda b: b["text"]), "\n\n"))
     return d.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

@@ -51,6 +51,61 @@ def test_marks_on_frames(spark):
     assert text_of(spark, rows) == {1: "One", 2: "Two\n\nThree", 3: "Four", 4: "Five\n\nSix"}
 
 
+def test_all_articles_and_loose_text_stay(spark):
+    rows = [
+        (1, "u", "<article><h1>One</h1><p>first</p></article><article><p>second</p></article><p>loose</p>"),
+        (2, "u", "<main><h1>Title</h1><p>lead</p><article>body</article></main><div><a href=x>Home</a> <a href=y>About</a></div>"),
+        (3, "u", "<article><p><a href=x>a linked paragraph</a></p><ul><li><a href=y>reference</a></li></ul></article>"),
+    ]
+    assert text_of(spark, rows) == {1: "One\n\nfirst\n\nsecond\n\nloose", 2: "Title\n\nlead\n\nbody", 3: "a linked paragraph\n\nreference"}
+
+
+def test_the_region_is_the_slot_of_the_articles(spark):
+    """Nothing is marked here: the frame's texts differ on every page, so only the region tells them apart."""
+    page = lambda i: f"<html><body><div><ul><li>w{i}</li><li>v{i}</li></ul></div><div class=x><div class=y><h2>Story {i}</h2><p>{'long text ' * 9}{i}</p></div></div><div class=z>end {i}</div></body></html>"
+    got = text_of(spark, [(i, f"http://h.example/{i}", page(i)) for i in range(9)])
+    assert got == {i: f"Story {i}\n\n{'long text ' * 9}{i}" for i in range(9)}
+    assert text_of(spark, [(1, "http://h.example/1", page(1))])[1].startswith("w1\n\nv1")
+
+
+def brute_template(pages, least=8, share=0.5):
+    """Fixed texts of each host: texts with the same counts on all distinct pages as some element, from whole vectors."""
+    out = {}
+    for host in {html_extract.host_of(u) for u, _ in pages}:
+        distinct = {}
+        for u, h in pages:
+            if html_extract.host_of(u) == host:
+                found, paths = html_extract.blocks(h or "")
+                distinct[tuple(sorted(paths.items())), tuple(sorted(Counter((b.path, b.text) for b in found).items()))] = None
+        vectors = {}
+        for i, (paths, texts) in enumerate(distinct):
+            for token, c in [(("e", p), c) for p, c in paths] + [(("t", *t), c) for t, c in texts]:
+                vectors.setdefault(token, []).append((i, c))
+        often = {t: tuple(v) for t, v in vectors.items() if len(v) >= max(least, share * len(distinct))}
+        elements = {v for t, v in often.items() if t[0] == "e"}
+        out[host] = {html_extract._hash(*t[1:]) for t, v in often.items() if t[0] == "t" and v in elements}
+    return {h: t for h, t in out.items() if t}
+
+
+def test_classes_match_brute_force(spark):
+    page = lambda i: f"<html><body><p>Shop</p><div>{'<p>Twice</p>' * 2}<b>x</b></div><div class=a{i % 2}><p>Half {i % 2}</p><p>Story {i}</p></div><p>All rights</p></body></html>"
+    pages = [(f"http://h{i % 2}.example/{i}", page(i // 2 if i % 2 else i)) for i in range(60)] + [(None, page(i)) for i in range(5)] + [("http://c.example", page(1))] * 9
+    got = {r["t_host"]: set(r["template"]) for r in html_extract.templates(table(spark, [(i, u, h) for i, (u, h) in enumerate(pages)])).collect() if r["template"]}
+    want = brute_template(pages)
+    assert got == want and len(want) == 2
+    real = [(r["url"], r["html"]) for r in spark.read.parquet(f"{SF}/pages.parquet").collect()]
+    got = {r["t_host"]: set(r["template"]) for r in html_extract.templates(spark.read.parquet(f"{SF}/pages.parquet")).collect() if r["template"]}
+    assert got == brute_template(real)
+
+
+def test_templates_alone_find_the_articles(spark):
+    """An ablation: without roles, templates leave the same text on every page of a host with enough pages."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    text = lambda **o: {r["page_id"]: r["text"] for r in html_extract.extract(pages, **o).collect()}
+    whole, alone, nothing = text(), text(roles=False), text(roles=False, min_pages=10**9)
+    assert alone == whole and all(nothing[i] != whole[i] for i in whole)
+
+
 def test_broken_and_long_pages(spark):
     rows = [(1, "u", "<div><p>a" * 3000), (2, "u", "<p class='x>a</p>" * 200), (3, "u", "<" * 20000), (4, "u", "<p>" + "word " * 200_000)]
     got = text_of(spark, rows)
