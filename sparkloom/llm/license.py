@@ -84,6 +84,16 @@ def fuzzy(words: bytes, share: float = EDITS_PER_CHARACTER) -> list[tuple[int, i
     return sorted(found)
 
 
+def word_numbers(words: bytes, places: list[int]) -> dict[int, int]:
+    """The number of spaces before each byte, counted on from one place to the next."""
+    out, at, n = {}, 0, 0
+    for place in sorted(set(places)):
+        n += words.count(b" ", at, place)
+        at = place
+        out[place] = n
+    return out
+
+
 def scan(text: str) -> dict:
     """All results of one text; spans are word numbers, end exclusive."""
     words = normal(text)
@@ -94,10 +104,14 @@ def scan(text: str) -> dict:
             needle = b" " + phrase.encode() + b" "
             at = padded.find(needle)
             while at >= 0:
-                places.append(padded.count(b" ", 0, at))
+                places.append(at)
                 labels.add(label)
                 at = padded.find(needle, at + 1)
-    spans = [(words.count(b" ", 0, a), words.count(b" ", 0, b) + 1, label, edits, 1 - edits / n) for a, b, label, edits, n in fuzzy(words)]
+    number = word_numbers(padded, places)
+    places = [number[at] for at in places]
+    matches = fuzzy(words)
+    number = word_numbers(words, [x for m in matches for x in m[:2]])
+    spans = [(number[a], number[b] + 1, label, edits, 1 - edits / n) for a, b, label, edits, n in matches]
     return {
         "n_words": words.count(b" ") + 1 if words else 0,
         "n_base": len(places),
