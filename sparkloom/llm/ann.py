@@ -11,8 +11,8 @@ Queries go to the blocks in groups of at most about ``block`` as well.  A task h
 what it gives back is ``top`` rows for each query.  Pivots are at most ``pivots`` vectors, unlike each other, out of
 ``16 * pivots`` rows chosen by hash, the only thing that is collected; every row is indexed.
 
-Defined cases: vectors that are null, zero, of another length than the longest, or that hold null or non-finite numbers take no part, nor
-do rows without id; rows with the query's id are never its neighbours; a repeated id counts once, with its best score;
+Defined cases: vectors that are null, zero, of another length than most, or that hold null or non-finite numbers take no part, nor do rows
+without id; rows with the query's id are never its neighbours; a repeated id counts once, with its best score;
 ties go to the smaller id; an empty table gives an empty result; extra columns are not read.
 """
 
@@ -32,8 +32,8 @@ def usable(vectors: DataFrame, id: str = "vec_id", vector: str = "embedding") ->
     d = vectors.select(F.col(id).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v"))
     fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     d = d.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & F.forall("v", fine) & F.exists("v", lambda x: x != 0))
-    width = d.agg(F.max(F.size("v"))).first()[0]
-    return d.where(F.size("v") == F.lit(width if width is not None else 0))
+    widths = d.groupBy(F.size("v").alias("width")).count().orderBy(F.desc("count"), F.desc("width")).first()
+    return d.where(F.size("v") == F.lit(widths["width"] if widths else 0))
 
 
 def _order(x: np.ndarray, pivots: np.ndarray, depth: int) -> np.ndarray:
