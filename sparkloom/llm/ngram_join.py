@@ -343,7 +343,18 @@ def classes(docs: DataFrame, words: int = 4, percent: int = 85, tile: int = 2048
 
 
 def distinct(docs: DataFrame, **options) -> DataFrame:
-    """One document of each class, the one with the smallest id, in the columns of ``docs``; rows without id stay."""
-    first = classes(docs, **options).where("doc_id = component_id").select(F.col("doc_id").alias("__first")).distinct()
-    kept = docs.join(first, F.col("doc_id") == F.col("__first")).drop("__first").dropDuplicates(["doc_id"])
-    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    """One document of each class, the one with the smallest id, in the columns of ``docs``; rows without id stay.
+
+    Texts that share an id are documents of their own: beside the first of them, in the order of a hash, the others are
+    known by a hash of id and text.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    d = docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"), "text")
+    shared = d.where("id is not null").groupBy("id").agg(F.min("hash").alias("least"), F.max("hash").alias("most")).where("least != most")
+    shared = keep(shared.select(F.col("id").alias("shared"), "least"))
+    if shared.limit(1).count():
+        other = F.col("shared").isNotNull() & (F.col("hash") != F.col("least"))
+        d = d.join(shared, F.col("id") == F.col("shared"), "left").select("row", F.when(other, F.xxhash64("id", "hash")).otherwise(F.col("id")).alias("id"), "text")
+    first = classes(d.select(F.col("id").alias("doc_id"), "text"), **options).where("doc_id = component_id").select(F.col("doc_id").alias("first")).distinct()
+    kept = d.join(first, F.col("id") == F.col("first")).dropDuplicates(["id"])
+    return kept.select("row.*").unionByName(docs.where("doc_id is null"))
