@@ -4,7 +4,7 @@ Generators with high recall propose spans beyond the base formats: phone numbers
 spelled with "at" and "dot", eight-group network addresses, grouped digit strings.  Each candidate has features of its
 format and of the characters before it; small boosted trees, fitted on the driver on generated examples and written as
 one SQL expression, score it, and a threshold chosen for precision on other generated examples selects.  A candidate
-that overlaps a base span is dropped, and so is one that overlaps a candidate with a higher score (earlier on ties).
+that overlaps a base span is dropped, and so is one that overlaps a chosen candidate with a higher score (earlier on ties).
 
 Positions come from one split and one extraction by the same pattern: lengths of gaps and matches, summed in two levels.
 All patterns are possessive, so they neither backtrack through long runs nor overflow the stack.  Narrow: no shuffle.
@@ -215,11 +215,22 @@ def _margin(forest: gbt.Forest, c: Column) -> Column:
 
 
 def all_spans(base: Column, more: Column) -> Column:
-    """The base spans and the candidates that overlap none of them and no better candidate."""
+    """The base spans and the candidates that overlap none of them and no better candidate that is taken."""
     overlap = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
     better = lambda a, b: (a["score"] > b["score"]) | ((a["score"] == b["score"]) & (F.struct(a["start"], a["kind"]) < F.struct(b["start"], b["kind"])))
     free = lambda own: F.filter(own, lambda s: ~F.exists(base, lambda b: overlap(s, b)))
-    chosen = let(free(more), lambda own: F.filter(own, lambda s: ~F.exists(own, lambda b: overlap(s, b) & better(b, s))))
+    none = F.filter(more, lambda s: F.lit(False))
+
+    def pick(taken: Column, s: Column) -> Column:
+        return F.when(F.exists(taken, lambda t: overlap(s, t)), taken).otherwise(F.concat(taken, F.array(s)))
+
+    def greedy(own: Column) -> Column:
+        """From the best on, each that overlaps none taken before; only those that meet another are looked at one by one."""
+        met = lambda s: F.exists(own, lambda b: overlap(s, b) & better(b, s))
+        beaten = let(F.filter(own, met), lambda x: F.array_sort(x, lambda a, b: F.when(better(a, b), -1).when(better(b, a), 1).otherwise(0)))
+        return let(F.filter(own, lambda s: ~met(s)), lambda first: let(beaten, lambda rest: F.aggregate(rest, F.concat(first, none), pick)))
+
+    chosen = let(free(more), greedy)
     return F.when(F.size(more) == 0, base).otherwise(F.sort_array(F.concat(base, chosen)))
 
 
