@@ -14,7 +14,7 @@ again AS (SELECT r, count(*) - count(DISTINCT line) AS n_dup FROM lines GROUP BY
 normal AS (SELECT r, source, text, lower(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'))) AS k, len(regexp_extract_all(line, {WORDS})) AS n FROM lines),
 hosts AS (SELECT source, count(DISTINCT text) AS texts FROM d GROUP BY source),
 above AS (SELECT n.source, n.k FROM (SELECT source, k, count(DISTINCT text) AS c FROM normal GROUP BY source, k) n JOIN hosts h ON n.source IS NOT DISTINCT FROM h.source
-  WHERE c >= least(1000, greatest(20, 0.05 * h.texts))),
+  WHERE c >= greatest(20, 0.05 * h.texts)),
 removed AS (SELECT n.r, sum(n.n)::BIGINT AS words FROM normal n JOIN above a ON n.k = a.k AND n.source IS NOT DISTINCT FROM a.source GROUP BY n.r),
 m AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
   (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, coalesce(n_dup, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat, 0)::BIGINT AS n_repeat_words,

@@ -2,7 +2,7 @@
 
 A line is normalised (lower case, white space runs to one space, trimmed) and hashed.  For every host (the column
 ``source``; null is a host of its own) the number of *distinct texts* that hold the line is counted, so exact copies
-count once.  A line is above the limit if at least ``min(max_docs, max(min_docs, min_share * texts of the host))`` texts
+count once.  A line is above the limit if at least ``max(min_docs, min_share * texts of the host)`` texts
 hold it.  Such lines are removed; a document that loses more than ``max_removed`` of its words is depleted and rejected.
 
 Defined cases: a null text is an empty one; a null source or doc_id is a value like any other; repeated rows get the same
@@ -74,7 +74,7 @@ def line_hash(line: Column) -> Column:
     return F.xxhash64(F.lower(F.trim(F.regexp_replace(line, SPACE + "+", " "))))
 
 
-def removals(docs: DataFrame, min_docs: int = 20, min_share: float = 0.05, max_docs: int = 1000) -> DataFrame:
+def removals(docs: DataFrame, min_docs: int = 20, min_share: float = 0.05) -> DataFrame:
     """doc_id, text_hash, removed_words, removed_lines (hashes) of each document that holds a line above the limit."""
     text = F.coalesce("text", F.lit(""))
     own = docs.select("doc_id", "source", F.xxhash64(text).alias("text_hash"), text.alias("text"), F.monotonically_increasing_id().alias("row"))
@@ -83,7 +83,7 @@ def removals(docs: DataFrame, min_docs: int = 20, min_share: float = 0.05, max_d
     lines = lines.select("doc_id", "source", "text_hash", "row", line_hash(F.col("line")).alias("line"), F.size(words(F.col("line"))).alias("n"))
     seen = lines.groupBy("source", "line").agg(F.countDistinct("text_hash").alias("texts")).where(F.col("texts") >= min_docs)
     hosts = own.groupBy(F.col("source").alias("host")).agg(F.countDistinct("text_hash").alias("all_texts"))
-    limit = F.least(F.lit(float(max_docs)), F.greatest(F.lit(float(min_docs)), min_share * F.col("all_texts")))
+    limit = F.greatest(F.lit(float(min_docs)), min_share * F.col("all_texts"))
     above = seen.join(hosts, F.col("source").eqNullSafe(F.col("host"))).where(F.col("texts") >= limit)
     above = above.select(F.col("source").alias("host"), F.col("line").alias("above"))
     hits = lines.join(above, F.col("source").eqNullSafe(F.col("host")) & (F.col("line") == F.col("above")))
