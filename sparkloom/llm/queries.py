@@ -22,7 +22,7 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"))
+    return packing.pack(table(spark, sf_dir, "documents")).withColumn("bucket", F.col("length"))
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +43,7 @@ def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_license(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license.licenses(table(spark, sf_dir, "documents")).drop("spans")
+    return license.licenses(table(spark, sf_dir, "documents"))
 
 
 def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:

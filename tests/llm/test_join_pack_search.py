@@ -59,6 +59,14 @@ def test_classes_of_repeated_rows_and_null_ids(spark):
     assert ngram_join.classes(table(spark, [])).collect() == []
 
 
+def test_texts_that_share_an_id_stay(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(7, a), (7, b), (7, a), (3, b), (9, "short"), (None, a), (None, a)]
+    d = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, __first string")
+    got = sorted((r["doc_id"] or 0, r["text"]) for r in ngram_join.distinct(d, words=5, percent=80).collect())
+    assert [t for i, t in got if not i] == [a, a] and sorted(t for i, t in got if i) == sorted([a, b, "short"])
+
+
 def test_components_of_a_long_chain(spark):
     order = list(range(200))
     random.Random(1).shuffle(order)
@@ -186,6 +194,26 @@ def test_ann_recall(spark):
     assert len(got) == 25 and hits >= 0.9 * 20 * len(got)
 
 
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_registered_search_finds_nine_tenths(spark, sf):
+    from sparkloom.llm.queries import op7_ann
+
+    folder = f"/root/testdata/{sf}"
+    x = {r["vec_id"]: np.array(r["v"]) for r in ann.usable(spark.read.parquet(f"{folder}/embeddings.parquet")).collect()}
+    ids = np.array(sorted(x))
+    m = np.array([x[i] for i in ids])
+    got = defaultdict(set)
+    for r in op7_ann(spark, folder).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    hits = sum(len(got[q] & {i for i in ids[np.argsort(-(m @ x[q]), kind="stable")].tolist()[:21] if i != q}) for q in got)
+    assert len(got) == sum(i % 20 == 0 for i in x) and hits >= 0.9 * 20 * len(got)
+
+
+def test_one_longer_vector_leaves_the_others(spark):
+    d = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(50)] + [(99, [1.0, 2.0, 3.0])], "vec_id long, embedding array<double>")
+    assert ann.usable(d).count() == 50
+
+
 def test_ann_with_many_equal_vectors(spark):
     r = np.random.default_rng(4)
     x = r.normal(size=(3000, 16))
@@ -239,6 +267,11 @@ LICENSES = [
 ]
 
 
+def test_many_phrases_in_one_text():
+    got = license.scan("MIT License. " * 100_000)
+    assert (got["n_words"], got["n_base"], got["first_word"], got["last_word"]) == (200_000, 100_000, 0, 199_998)
+
+
 def test_licenses_match_brute_force(spark):
     rows = [*enumerate(LICENSES), (0, LICENSES[0]), (None, "x")]
     for r in license.licenses(table(spark, rows)).collect():
