@@ -20,7 +20,7 @@ from .operators.quantiles import of_expressions, outline
 from .operators.types import detect
 from .functions.nulls import normalize
 from .plans import imputer as I
-from .plans.profiler import NonlinearityProfiler, StructuralProfiler, dip_of, flat, redundancy_groups, target_profile
+from .plans.profiler import CorrelationProfiler, NonlinearityProfiler, StructuralProfiler, dip_of, flat, target_profile
 from .plans.profilers import TabularProfiler
 from .plans.splitter import DataSplitter, label_matrix
 from .config import ImputationConfig, PipelineConfig, ProfileConfig
@@ -190,9 +190,9 @@ def categorical_imbalance(spark, sf_dir):
     return rounded(d.select("column", "rows", "cardinality", "mode", "mode_count", "dominant_ratio", "normalized_entropy", "normalized_gini", "rare_categories", "rare_rows"))
 
 
-@query("SELECT 'p_type' AS \"column\", p_type AS value, count(*) AS n FROM part GROUP BY p_type HAVING count(*) < 0.05 * (SELECT count(*) FROM part)")
+@query("SELECT 'p_brand' AS \"column\", p_brand AS value, count(*) AS n FROM part GROUP BY p_brand HAVING count(*) < 0.05 * (SELECT count(*) FROM part)")
 def rare_categories(spark, sf_dir):
-    return C.rare_labels(table(spark, sf_dir, "part"), ["p_type"])
+    return C.rare_labels(table(spark, sf_dir, "part"), ["p_brand"])
 
 
 @query("SELECT 'p_name' AS \"column\", count(p_name) AS present, count(*) FILTER (regexp_matches(p_name, '^[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?$')) AS numeric_values FROM part")
@@ -243,7 +243,40 @@ def temporal_signals(spark, sf_dir):
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "labels"]
 
 
-@query()
+#: Columns by kind, for the same decisions in SQL.
+KINDS = {
+    "region": {"int": ["r_regionkey"], "string": ["r_name"]},
+    "nation": {"int": ["n_nationkey", "n_regionkey"], "string": ["n_name"]},
+    "customer": {"bigint": ["c_custkey"], "int": ["c_nationkey"], "double": ["c_acctbal"], "string": ["c_name", "c_mktsegment"]},
+    "supplier": {"bigint": ["s_suppkey"], "int": ["s_nationkey"], "double": ["s_acctbal"], "string": ["s_name"]},
+    "part": {"bigint": ["p_partkey"], "int": ["p_size"], "double": ["p_retailprice"], "string": ["p_name", "p_brand", "p_type"]},
+    "orders": {"bigint": ["o_orderkey", "o_custkey"], "double": ["o_totalprice"], "string": ["o_orderstatus", "o_orderpriority"], "timestamp_ntz": ["o_orderdate"]},
+    "lineitem": {"bigint": ["l_orderkey", "l_partkey", "l_suppkey"], "int": ["l_linenumber"], "double": ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], "string": ["l_returnflag", "l_linestatus"], "timestamp_ntz": ["l_shipdate"]},
+    "events": {"bigint": ["event_id", "user_id"], "double": ["value"], "string": ["event_type", "props"], "timestamp_ntz": ["ts"]},
+    "labels": {"bigint": ["doc_id"], "int": ["quality", "toxic"]},
+}
+_RUN = "hi - lo + 1 = lv"
+_KIND = f"CASE WHEN lv > 0 AND fractions = 0 AND {_RUN} AND hi - lo <= 20 AND lo IN (0, 1) AND NOT (lv >= 0.05 * r AND lv > 10) THEN 'bounded_discrete' ELSE 'continuous' END"
+_WHOLE = "lv = 0 OR (lo >= 0 AND hi <= 1)"
+_ENCODED = f"(({_RUN}) AND lv < 50) OR (lv < 15 AND lv < 0.05 * n)"
+_UNIQUE = "(lv + (n < r)::INT) > 0.99 * r"
+_NUMBERS = "count(*) AS r, count({c}) AS n, count(DISTINCT {c}) AS lv, min({c})::DOUBLE AS lo, max({c})::DOUBLE AS hi, count(*) FILTER ({c}::DOUBLE <> floor({c}::DOUBLE)) AS fractions"
+_WORDS = r"count(*) AS r, count({c}) AS n, count(DISTINCT {c}) AS lv, count(*) FILTER (regexp_matches({c}, '^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$')) AS numbers, count(*) FILTER (regexp_matches(trim({c}), '^([0-9]{4}[-/][0-9]{2}[-/][0-9]{2}|[0-9]{2}[-/][0-9]{2}[-/][0-9]{4})([ T][0-9:.Z+-]+)?$')) AS dates, count(*) FILTER (lower({c}) NOT IN ('true', 'false', 'yes', 'no', 't', 'f', '0', '1')) AS others, quantile_cont(length({c}), 0.5) AS chars, quantile_cont(len(regexp_extract_all({c}, '\s+')), 0.5) AS gaps, quantile_cont(length({c}), 0.9) AS long"
+_TEXT = "(chars > 20 AND gaps >= 1) OR gaps + 1 > 3 OR (long > 35 AND lv > 0.40 * r) OR (lv >= 0.70 * r AND gaps >= 1)"
+_OF_KIND = {
+    "int": (_NUMBERS, f"CASE WHEN {_WHOLE} THEN 'boolean' WHEN {_ENCODED} THEN 'categorical' WHEN {_UNIQUE} THEN 'identifier' ELSE 'numeric' END", f"CASE WHEN {_WHOLE} OR {_ENCODED} OR {_UNIQUE} THEN NULL ELSE {_KIND} END", f"CASE WHEN {_WHOLE} THEN 'boolean_candidate' WHEN {_ENCODED} THEN 'encoded_category' WHEN {_UNIQUE} THEN 'identifier_column' || CASE WHEN lo = 1 AND hi = r AND lv = r THEN ',sequential_index' ELSE '' END ELSE '' END"),
+    "double": (_NUMBERS, "'numeric'", _KIND, "''"),
+    "timestamp_ntz": ("count(*) AS r", "'datetime'", "NULL", "''"),
+    "string": (_WORDS, f"CASE WHEN numbers >= 0.95 * n THEN 'numeric' WHEN dates >= 0.80 * n THEN 'datetime' WHEN others = 0 THEN 'boolean' WHEN {_TEXT} THEN 'text' WHEN {_UNIQUE} AND chars <= 40 AND gaps = 0 THEN 'identifier' ELSE 'categorical' END", "NULL", f"CASE WHEN numbers >= 0.95 * n THEN 'numeric_coerced' WHEN dates >= 0.80 * n THEN 'datetime_coerced' WHEN others = 0 THEN 'boolean_candidate' WHEN {_TEXT} THEN 'free_text_candidate' WHEN {_UNIQUE} AND chars <= 40 AND gaps = 0 THEN 'identifier_column' ELSE '' END"),
+}
+_OF_KIND["bigint"] = _OF_KIND["int"]
+TYPE_SQL = " UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, '{c}' AS \"column\", {_OF_KIND[k][1]} AS semantic_type, {_OF_KIND[k][2]} AS numeric_kind, '{k}' AS inferred_dtype, {_OF_KIND[k][3]} AS flags FROM (SELECT {_OF_KIND[k][0].replace('{c}', c)} FROM {t})"
+    for t, kinds in KINDS.items() for k, columns in kinds.items() for c in columns
+)
+
+
+@query(TYPE_SQL)
 def type_detection(spark, sf_dir):
     rows = []
     for t in TABLES:
@@ -351,10 +384,19 @@ def mi_discrete(spark, sf_dir):
     return rounded(P.mutual_information_discrete(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_linestatus"))
 
 
-@query("SELECT 'l_extendedprice,l_quantity' AS members, 'l_quantity' AS suggested_drop FROM (SELECT corr(l_extendedprice, l_quantity) AS r FROM lineitem) WHERE abs(r) > 0.5")
+REDUNDANT_SQL = """
+WITH d AS (SELECT l_extendedprice, l_quantity, l_extendedprice * (1 - l_discount) AS l_net FROM lineitem),
+r AS (SELECT abs(corr(l_extendedprice, l_net)) AS a, abs(corr(l_extendedprice, l_quantity)) AS b, abs(corr(l_quantity, l_net)) AS c FROM d)
+SELECT 'l_extendedprice,l_net' AS members, 'l_net' AS suggested_drop FROM r WHERE a > 0.95 AND b <= 0.95 AND c <= 0.95
+"""
+
+
+@query(REDUNDANT_SQL)
 def redundancy(spark, sf_dir):
-    found = P.pearson(table(spark, sf_dir, "lineitem"), LINE).where(F.abs("pearson") > 0.5).collect()
-    rows = [(",".join(g.columns), ",".join(g.suggested_drop)) for g in redundancy_groups([(r["column_a"], r["column_b"]) for r in found])]
+    """Groups of near-redundant columns, as the correlation profile of a table with a net price finds them."""
+    d = table(spark, sf_dir, "lineitem").select("l_extendedprice", "l_quantity", (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("l_net"))
+    found = CorrelationProfiler(d.columns).profile_features(d)
+    rows = [(",".join(g.columns), ",".join(g.suggested_drop)) for g in found.near_redundancy_groups]
     return spark.createDataFrame(rows, "members string, suggested_drop string")
 
 
@@ -387,14 +429,30 @@ def kfold_hash(spark, sf_dir):
     return S.folds(table(spark, sf_dir, "orders"), 7, 7).groupBy(F.col("__fold").cast("long").alias("fold")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+STRATA_SQL = """
+WITH c AS (SELECT o_orderpriority, count(*) AS n, sum(count(*)) OVER () AS t FROM orders GROUP BY 1),
+e AS (SELECT o_orderpriority, n, ceil(t / 5.0) AS want, n * ceil(t / 5.0) / t AS x FROM c),
+f AS (SELECT *, row_number() OVER (ORDER BY x - floor(x) DESC, o_orderpriority) AS k, want - sum(floor(x)) OVER () AS over FROM e),
+q AS (SELECT o_orderpriority, n, (floor(x) + (k <= over)::INT)::BIGINT AS test FROM f)
+SELECT o_orderpriority, true AS is_test, test AS n FROM q UNION ALL SELECT o_orderpriority, false, n - test FROM q
+"""
+
+
+@query(STRATA_SQL)
 def stratified_split_hash(spark, sf_dir):
     d = table(spark, sf_dir, "orders")
     d = S.stratified_split(d, "o_orderpriority", -(-d.count() // 5), 7)
     return d.groupBy("o_orderpriority", F.col("__test").alias("is_test")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+STRATA_FOLDS_SQL = """
+WITH s AS (SELECT o_orderpriority, sum(count(*)) OVER (ORDER BY o_orderpriority) - count(*) AS before FROM orders GROUP BY 1),
+r AS (SELECT o_orderpriority, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) - 1 AS k FROM orders)
+SELECT ((k + before) % 5)::INT AS fold, o_orderpriority, count(*) AS n FROM r JOIN s USING (o_orderpriority) GROUP BY ALL
+"""
+
+
+@query(STRATA_FOLDS_SQL)
 def stratified_kfold_hash(spark, sf_dir):
     return S.folds(table(spark, sf_dir, "orders"), 5, 7, "o_orderpriority").groupBy("__fold", "o_orderpriority").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("__fold", "fold")
 
@@ -407,7 +465,20 @@ def _gappy_profile(spark, sf_dir, **more):
     return config, d, StructuralProfiler(config, NOW).profile(d)
 
 
-@query()
+SIGNALS_SQL = (
+    "WITH g AS (SELECT " + ", ".join(f"CASE WHEN {_gap(c)} THEN NULL ELSE {c} END AS {c}" for c in GAPPY) + ", l_extendedprice, l_returnflag, " + " + ".join(f"{_gap(c)}::INT" for c in GAPPY) + " AS gone FROM lineitem), "
+    "q AS (SELECT floor(quantile_cont(gone, 0.9)) AS many, " + ", ".join(f"quantile_cont({c}, 0.05) AS {c}_low, quantile_cont({c}, 0.95) AS {c}_high" for c in LINE) + " FROM g) "
+    + "SELECT * FROM ("
+    + " UNION ALL ".join(
+        [f"SELECT '{c}:missing' AS signal, count(*) FILTER ({c} IS NULL) AS n FROM g" for c in GAPPY]
+        + [f"SELECT '{c}:{side}', count(*) FILTER ({c} {sign} {c}_{side}) FROM g, q" for c in LINE for side, sign in (("low", "<"), ("high", ">"))]
+        + ["SELECT 'l_returnflag:' || l_returnflag, count(*) FROM g GROUP BY l_returnflag", "SELECT 'row:many missing', count(*) FILTER (gone > many AND many > 0) FROM g, q"]
+    )
+    + ") WHERE n > 0"
+)
+
+
+@query(SIGNALS_SQL)
 def label_matrix_signals(spark, sf_dir):
     config, d, profile = _gappy_profile(spark, sf_dir)
     clean, signals = label_matrix(d, profile, "l_returnflag", config.split)
@@ -515,7 +586,20 @@ def cluster_fill(spark, sf_dir):
     return done.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("l_extendedprice").isNull()).alias("filled"), F.round(F.sum("y"), 2).alias("total"))
 
 
-@query()
+REGRESSION_SQL = f"""
+WITH g AS (SELECT {_gaps_sql('l_discount')} AS y, {_gaps_sql('l_tax')} AS t, l_quantity AS b, l_extendedprice AS c FROM lineitem),
+m AS (SELECT abs(skewness(y)) < 0.5 AS even, avg(t) AS mean, quantile_cont(t, 0.5) AS middle FROM g),
+a1 AS (SELECT y, coalesce(t, CASE WHEN even THEN mean ELSE middle END) AS a, b, c FROM g, m),
+f1 AS (SELECT avg(a) FILTER (y IS NOT NULL) AS ma, regr_slope(b, a) FILTER (y IS NOT NULL) AS ba, regr_intercept(b, a) FILTER (y IS NOT NULL) AS ia, regr_slope(c, a) FILTER (y IS NOT NULL) AS ca, regr_intercept(c, a) FILTER (y IS NOT NULL) AS ja FROM a1),
+a2 AS (SELECT y, a - ma AS u, b - ia - ba * a AS v, c - ja - ca * a AS w FROM a1, f1),
+f2 AS (SELECT regr_slope(w, v) FILTER (y IS NOT NULL) AS s FROM a2),
+a3 AS (SELECT y, u, v, w - s * v AS z FROM a2, f2),
+f3 AS (SELECT avg(y) AS my, regr_slope(y, u) AS su, regr_slope(y, v) AS sv, regr_slope(y, z) AS sz FROM a3 WHERE y IS NOT NULL)
+SELECT count(*) AS "rows", count(*) AS l_discount_n, round(sum(coalesce(y, my + su * u + sv * v + sz * z)), 4) AS l_discount_sum FROM a3, f3
+"""
+
+
+@query(REGRESSION_SQL)
 def impute_regression(spark, sf_dir):
     d, fitted = _fit(spark, sf_dir, _declare({"l_discount": "regression", "l_tax": "median", "l_linenumber": "mode"}))
     return _summed(fitted.plan(d)[0], ["l_discount"])
