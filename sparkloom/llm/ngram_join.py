@@ -11,7 +11,9 @@
    intersecting the sorted arrays of their shingles.  Pairs that are already connected need no look.
 5. A cell gives back the edges of a forest, fewer than its nodes; components come from alternating large and small stars.
 
-Nothing grows with the square of a group except bitmap comparisons inside cells.  No links or components reach the
+A group of near copies, however large, is settled tile by tile and then by one node of each component; only nodes outside
+the largest component of a group meet its other tiles, so what is copied grows with the square of a group only as far as
+its members share rare shingles without being alike.  No links or components reach the
 driver; what is collected and broadcast is the sketch, ``2**SKETCH`` bytes.  The members of blocks are joined with the
 texts by broadcast only if a count shows at most ``small`` of them, and by shuffling otherwise.  Lineage is cut in the
 shared folder.
@@ -247,34 +249,72 @@ def pairs_in_cell(n: np.ndarray, maps: list[np.ndarray], tiles: np.ndarray, earl
         start = stop
 
 
-def _cells(rows: DataFrame, key: str, tile: int) -> DataFrame:
-    """``rows`` (with ``key``, n, node) with cell and at, once for each cell they belong to; lone rows go."""
+def _placed(rows: DataFrame, key: str, tile: int) -> DataFrame:
+    """``rows`` (with ``key``, n, node) with at, the number of their tile in their group, and of, the size of the group; lone rows go."""
     by_size = W.partitionBy(key).orderBy("n", "node")
     d = rows.withColumn("of", F.count(F.lit(1)).over(W.partitionBy(key))).where("of > 1")
-    d = d.withColumn("at", F.floor((F.row_number().over(by_size) - 1) / tile)).withColumn("tiles", F.ceil(F.col("of") / tile))
-    d = d.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
-    return d.withColumn("cell", F.xxhash64(key, F.least("at", "other"), F.greatest("at", "other"))).drop("of", "tiles", "other")
+    return d.withColumn("at", F.floor((F.row_number().over(by_size) - 1) / tile))
+
+
+def _pairs_of_tiles(placed: DataFrame, key: str, tile: int) -> DataFrame:
+    """Each row with cell, once for each pair of tiles that it belongs to."""
+    d = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("of") / tile) - 1)))
+    return d.withColumn("cell", F.xxhash64(key, F.least("at", "other"), F.greatest("at", "other"))).drop("other")
+
+
+def _connect(placed: DataFrame, key: str, tile: int, edges, several: bool) -> DataFrame:
+    """Edges (a, b) that connect all pairs of each group that ``edges`` accepts, from cells of at most two tiles.
+
+    ``placed`` has ``key``, n, node, early, at and of; ``edges`` turns such rows with cell and name into edges.  Tiles are
+    settled first.  Where a group has ``several``, one node of each of its components is compared next, so a large group of near copies
+    becomes one component without any pair of tiles.  Then only nodes outside the largest component of their group visit
+    the other tiles; what is copied grows with the nodes that are not alike, not with the square of the group.
+    """
+    placed = placed.withColumn("name", F.col("node"))
+    first = edges(placed.withColumn("cell", F.xxhash64(key, "at")))
+    if not several:
+        return first
+    large = keep(placed.where(F.col("of") > tile))
+    named = lambda d, links: d.drop("name").join(components(links).select(F.col("node").alias("member"), F.col("root").alias("least")), F.col("node") == F.col("member"), "left").withColumn("name", F.coalesce("least", "node")).drop("member", "least")
+    first = keep(first)
+    large = keep(named(large, first))
+    extra = [c for c in large.columns if c not in (key, "name", "of", "at")]
+    some = large.groupBy(key, "name").agg(F.min_by(F.struct(*extra), "node").alias("one")).select(key, "one.*", "name")
+    second = keep(edges(_pairs_of_tiles(_placed(some, key, tile), key, tile)))
+    large = keep(named(large, first.unionByName(second)))
+    sizes = large.groupBy(F.col(key).alias("group"), "name").agg(F.count(F.lit(1)).alias("size"))
+    homes = sizes.groupBy("group").agg(F.max_by("name", F.struct("size", "name")).alias("home"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    d = large.join(homes, F.col(key) == F.col("group")).drop("group", "parts")
+    visitors = d.where("name != home").withColumn("turn", F.floor((F.row_number().over(W.partitionBy(key).orderBy("n", "node")) - 1) / tile))
+    turns = visitors.groupBy(F.col(key).alias("group")).agg((F.max("turn") + 1).alias("turns"))
+    tiles = F.ceil(F.col("of") / tile)
+    visits = visitors.withColumn("target", F.explode(F.sequence(F.lit(0).cast("long"), tiles - 1))).where("target != at").withColumn("at", F.lit(-1).cast("long"))
+    staying = d.join(turns, F.col(key) == F.col("group")).drop("group").withColumn("target", F.col("at"))
+    staying = staying.withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1))).drop("turns")
+    cells = visits.select(*staying.columns).unionByName(staying).withColumn("cell", F.xxhash64(key, "target", "turn")).drop("home", "target", "turn")
+    return first.unionByName(second).unionByName(edges(cells))
 
 
 def _edges(cells: DataFrame, key: str, settle, percent: int) -> DataFrame:
     """Edges (a, b) of forests of the pairs in the cells that ``settle`` accepts.
 
-    ``cells`` has cell, ``key``, n, node, at, early and a binary payload, a bitmap or, with ``settle``, a set.
+    ``cells`` has cell, ``key``, n, node, at, early, name (of what a node is known to belong to) and a binary payload, a bitmap
+    or, with ``settle``, a set.  Where a cell has rows of several tiles, only pairs of different tiles count.
     """
-    cells = cells.select("cell", key, "n", "node", "at", "payload", "early").repartition("cell").sortWithinPartitions("cell", key, "n", "node")
+    cells = cells.select("cell", key, "n", "node", "at", "payload", "early", "name").repartition("cell").sortWithinPartitions("cell", key, "n", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest, a, b = _Forest(), [], []
         for _, rows in by_key(batches, 0):
             group, sizes, nodes, ats = (rows.column(i).to_numpy() for i in (1, 2, 3, 4))
-            payload, early = rows.column(5), rows.column(6).to_numpy(zero_copy_only=False)
+            payload, early, known = rows.column(5), rows.column(6).to_numpy(zero_copy_only=False), rows.column(7).to_numpy()
             new = np.append(True, (nodes[1:] != nodes[:-1]) | (group[1:] != group[:-1]))
             cuts = [0, *(np.flatnonzero(group[1:] != group[:-1]) + 1).tolist(), len(group)]
             for first, last in zip(cuts, cuts[1:]):
                 own = np.flatnonzero(new[first:last]) + first
                 if len(own) < 2:
                     continue
-                names = nodes[own].tolist()
+                names = known[own].tolist()
                 if len({forest.find(i) for i in names}) < 2:
                     continue
                 sets = [np.frombuffer(payload[i].as_py(), dtype=np.uint64) for i in own.tolist()]
@@ -301,9 +341,11 @@ def _links(docs: DataFrame, nodes: DataFrame, words: int, percent: int, tile: in
     order = W.partitionBy("token").orderBy("n", "node")
     smaller = F.max(F.when(F.col("early"), F.col("n"))).over(order.rowsBetween(W.unboundedPreceding, -1))
     partner = F.coalesce(100 * smaller >= percent * F.col("n"), F.lit(False)) | (F.col("early") & F.coalesce(percent * F.lead("n").over(order) <= 100 * F.col("n"), F.lit(False)))
-    shared = _cells(shared.withColumn("partner", partner).where("partner").drop("partner"), "token", tile)
+    shared = shared.withColumn("partner", partner).where("partner").drop("partner")
     maps = nodes.select(F.col("node").alias("owner"), F.col("map").alias("payload"))
-    blocks = components(_edges(shared.join(maps, F.col("node") == F.col("owner")), "token", None, percent))
+    shared = keep(_placed(shared, "token", tile))
+    several = shared.where(F.col("of") > tile).limit(1).count() > 0
+    blocks = components(_connect(shared, "token", tile, lambda cells: _edges(cells.join(maps, F.col("node") == F.col("owner")), "token", None, percent), several))
     members = nodes.select(F.col("node").alias("own"), "fp").join(blocks, F.col("own") == F.col("node")).select("node", "fp", "root")
     members = keep(members)
 
@@ -318,6 +360,7 @@ def _links(docs: DataFrame, nodes: DataFrame, words: int, percent: int, tile: in
                 yield pa.RecordBatch.from_arrays(columns, ["node", "root", "n", "payload"]).filter(pa.array(right, pa.bool_()))
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    several = members.groupBy("root").count().where(F.col("count") > tile).limit(1).count() > 0
     members = F.broadcast(members) if members.count() <= small else members
     sets = texts.join(members, F.col("doc_id") == F.col("node")).select("node", "text", "fp", "root")
     sets = sets.mapInArrow(gather, "node long, root long, n long, payload binary")
@@ -326,7 +369,8 @@ def _links(docs: DataFrame, nodes: DataFrame, words: int, percent: int, tile: in
         common = len(np.intersect1d(x, y, assume_unique=True))
         return 100 * common >= percent * (len(x) + len(y) - common)
 
-    return _edges(_cells(sets.withColumn("early", F.lit(True)), "root", tile), "root", settle, percent)
+    sets = _placed(sets.withColumn("early", F.lit(True)), "root", tile)
+    return _connect(sets, "root", tile, lambda cells: _edges(cells, "root", settle, percent), several)
 
 
 def classes(docs: DataFrame, words: int = 4, percent: int = 85, tile: int = 2048, small: int = 100_000) -> DataFrame:
