@@ -10,6 +10,7 @@ import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .base import col, ranked
@@ -74,23 +75,31 @@ def time_order(df: DataFrame, time: str, seed: int = 0, cuts: int = 256) -> Data
     """
     t = col(time)
     kind = dict(df.dtypes)[time]
-    number = F.unix_micros(t.cast("timestamp")) if kind.startswith(("timestamp", "date")) else t
-    d = df.withColumn("__time", number).withColumn("__mix", shuffled(df, seed))
-    edges = d.agg(F.percentile_approx("__time", [i / cuts for i in range(1, cuts)], 4 * cuts)).first()[0] if not kind.startswith("string") else None
+    if kind.startswith(("timestamp", "date")):
+        number = F.unix_micros(t.cast("timestamp"))
+    elif kind == "string":  # the order of the first bytes; whole strings decide within a cut
+        number = F.conv(F.rpad(F.hex(F.encode(F.substring(t, 1, 7), "utf-8")), 14, "0").substr(1, 14), 16, 10).cast("long")
+    else:
+        number = t
+    d = df.withColumns({"__time": number, "__mix": shuffled(df, seed)})
+    edges = d.agg(F.percentile_approx("__time", [i / cuts for i in range(1, cuts)], 4 * cuts)).first()[0]
     part = F.lit(0) if not edges else F.size(F.filter(F.array(*[F.lit(e) for e in sorted(set(edges))]), lambda e: e < F.col("__time")))
     d = d.withColumn("__part", F.when(F.col("__time").isNull(), F.lit(-1)).otherwise(part))
-    from pyspark.sql import Window as W
-
-    sizes = d.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
-    sizes = sizes.select(F.col("__part").alias("__p"), (F.sum("__n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, 0)) - F.col("__n")).alias("__before"))
-    inside = F.row_number().over(W.partitionBy("__part").orderBy(F.col("__time").asc_nulls_first(), "__mix"))
-    d = d.withColumn("__inside", inside).join(F.broadcast(sizes), F.col("__part") == F.col("__p"))
-    return d.withColumn("__rank", F.col("__before") + F.col("__inside")).drop("__time", "__mix", "__part", "__p", "__inside", "__before")
-
-
-def time_split(df: DataFrame, time: str, test_share: float) -> DataFrame:
+    sizes = d.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"), F.min(t).alias("__low"), F.max(t).alias("__high"))
+    one = sorted(r["__part"] for r in sizes.where("__low <=> __high").collect())
+    # In cuts that hold one time, or none, content alone orders the rows, so slices of it can be numbered apart.
+    d = d.withColumn("__slice", F.when(F.col("__part").isin(one), F.shiftright("__mix", 56)).otherwise(F.lit(0)) if one else F.lit(0).cast("long"))
+    sizes = d.groupBy("__part", "__slice").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(W.orderBy("__part", "__slice").rowsBetween(W.unboundedPreceding, 0)) - F.col("__n")
+    sizes = sizes.select(F.col("__part").alias("__p"), F.col("__slice").alias("__s"), before.alias("__before"))
+    inside = F.row_number().over(W.partitionBy("__part", "__slice").orderBy(t.asc_nulls_first(), "__mix"))
+    d = d.withColumn("__inside", inside).join(F.broadcast(sizes), (F.col("__part") == F.col("__p")) & (F.col("__slice") == F.col("__s")))
+    return d.withColumn("__rank", F.col("__before") + F.col("__inside")).drop("__time", "__mix", "__part", "__p", "__slice", "__s", "__inside", "__before")
+
+
+def time_split(df: DataFrame, time: str, test_share: float, rows: int | None = None) -> DataFrame:
     """``df`` with ``__test``, true for the last ``floor(rows * test_share)`` rows."""
-    n = df.count()
+    n = df.count() if rows is None else rows
     return time_order(df, time).withColumn("__test", F.col("__rank") > n - math.floor(n * test_share)).drop("__rank")
 
 

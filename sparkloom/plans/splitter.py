@@ -113,30 +113,34 @@ class DataSplitter:
             raise ValueError("test_size must lie between 0 and 1")
         return test_size
 
-    def _result(self, train: DataFrame, test: DataFrame) -> SplitResult:
-        a, b = train.count(), test.count()
-        n = self.df.count()
+    @staticmethod
+    def _result(train: DataFrame, test: DataFrame, a: int, b: int, n: int) -> SplitResult:
         return SplitResult(train, test, a, b, a / n, b / n)
 
-    def _marked(self, d: DataFrame) -> SplitResult:
+    def _marked(self, d: DataFrame, rows: int, test_rows: int) -> SplitResult:
+        """Parts of known sizes: nothing is counted again."""
         names = [col(c) for c in self.df.columns]
-        return self._result(d.where(~F.col("__test")).select(*names), d.where("__test").select(*names))
+        return self._result(d.where(~F.col("__test")).select(*names), d.where("__test").select(*names), rows - test_rows, test_rows, rows)
 
     def random_split(self, test_size: float, stratify=_UNSET) -> SplitResult:
-        rows = math.ceil(self.df.count() * self._share(test_size))
+        n = self.df.count()
+        rows = math.ceil(n * self._share(test_size))
         if self._stratify(stratify):
-            return self._marked(S.stratified_split(self.df, self.target, rows, self.random_seed))
-        return self._marked(S.random_split(self.df, rows, self.random_seed))
+            return self._marked(S.stratified_split(self.df, self.target, rows, self.random_seed), n, rows)
+        return self._marked(S.random_split(self.df, rows, self.random_seed), n, rows)
 
     def time_split(self, time_column: str, test_size: float | None = None, cutoff=None) -> SplitResult:
         """By ``cutoff`` if given, else the last ``test_size`` of the rows; rows without time are in neither part of a cutoff."""
         if time_column not in self.df.columns:
             raise ValueError(f"no column {time_column!r}")
         if cutoff is not None:
-            return self._result(*S.cutoff_split(self.df, time_column, cutoff))
+            t = col(time_column)
+            n, a, b = self.df.agg(F.count(F.lit(1)), F.count_if(t < F.lit(cutoff)), F.count_if(t >= F.lit(cutoff))).first()
+            return self._result(*S.cutoff_split(self.df, time_column, cutoff), a, b, n)
         if test_size is None:
             raise ValueError("time_split needs test_size or cutoff")
-        return self._marked(S.time_split(self.df, time_column, self._share(test_size)))
+        n = self.df.count()
+        return self._marked(S.time_split(self.df, time_column, self._share(test_size), n), n, math.floor(n * test_size))
 
     def _folds(self, d: DataFrame, k: int, part: str) -> list[FoldResult]:
         names = [col(c) for c in self.df.columns]
@@ -169,7 +173,8 @@ class DataSplitter:
         d = self._parts(profile, [1 - self._share(test_size), test_size])
         if d is None:
             return self.random_split(test_size, stratify=False)
-        return self._marked(d.withColumn("__test", F.col("__part") == 1))
+        n = self.df.count()
+        return self._marked(d.withColumn("__test", F.col("__part") == 1), n, S.quotas_of_parts(n, [1 - test_size, test_size])[1])
 
     def profile_stratified_kfold(self, profile: StructuralProfileResult, k: int) -> list[FoldResult]:
         d = self._parts(profile, [1 / self._check_k(k)] * k)

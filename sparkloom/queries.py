@@ -5,6 +5,8 @@ Doubles are rounded so that the order of summation does not show.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 from datetime import datetime
 
@@ -20,9 +22,12 @@ from .operators.quantiles import of_expressions, outline
 from .operators.types import detect
 from .functions.nulls import normalize
 from .plans import imputer as I
-from .plans.profiler import CorrelationProfiler, NonlinearityProfiler, StructuralProfiler, dip_of, flat, target_profile
+from .plans.profiler import CorrelationProfiler, NonlinearityProfiler, StructuralProfiler, datetime_profiles, dip_of, flat, numeric_profiles, target_profile
 from .plans.profilers import TabularProfiler
+from .plans.router import Case, route
 from .plans.splitter import DataSplitter, label_matrix
+from .results import DatetimeFlag, NumericFlag
+from .sources.loader import DataLoader
 from .config import ImputationConfig, PipelineConfig, ProfileConfig
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -666,3 +671,103 @@ def average_rank(spark, sf_dir):
 def filtered_counts(spark, sf_dir):
     train, _ = S.cutoff_split(table(spark, sf_dir, "orders").dropna(subset=["o_totalprice"]), "o_orderdate", NOW)
     return value_counts(train, ["o_orderpriority"]).select("value", "n")
+
+
+# Decisions: tags, flags and routes, as cases in SQL
+
+TAGS_SQL = each(
+    LINE,
+    "CASE WHEN abs(g) < 0.5 THEN 'normal' WHEN abs(g) < 1 THEN 'moderate' WHEN abs(g) < 2 THEN 'high' ELSE 'severe' END AS skewness_severity, "
+    "CASE WHEN k < -1 THEN 'platykurtic' WHEN k > 3 THEN 'leptokurtic' ELSE 'mesokurtic' END AS kurtosis_tag, "
+    "CASE WHEN p99 - p95 + p5 - p1 <= 0 THEN NULL WHEN (p99 - p95) / (p99 - p95 + p5 - p1) > 2 / 3.0 THEN 'right_heavy' WHEN (p99 - p95) / (p99 - p95 + p5 - p1) < 1 / 3.0 THEN 'left_heavy' ELSE 'symmetric' END AS tail_asymmetry_tag, "
+    "abs(hi) > 0 AND greatest(abs(lo), abs(hi)) > 1 AND abs(hi) / (CASE WHEN lo = 0 THEN 1 ELSE abs(lo) END) >= 1000 AS scale_anomaly, "
+    "most > 0.9 AS near_constant, far > 0.05 AS high_outlier_density",
+    "(SELECT skewness({c}) AS g, kurtosis({c}) AS k, min({c}) AS lo, max({c}) AS hi, quantile_cont({c}, 0.01) AS p1, quantile_cont({c}, 0.05) AS p5, quantile_cont({c}, 0.95) AS p95, quantile_cont({c}, 0.99) AS p99, "
+    "(SELECT max(n) FROM (SELECT count(*) AS n FROM lineitem GROUP BY {c})) / count(*) AS most, "
+    "(SELECT avg((abs({c} - m) > 3 * s)::INT) FROM lineitem, (SELECT avg({c}) AS m, stddev_samp({c}) AS s FROM lineitem)) AS far FROM lineitem)",
+)
+
+
+@query(TAGS_SQL)
+def numeric_tags(spark, sf_dir):
+    """The tags and flags that numeric profiles draw from their statistics."""
+    found = numeric_profiles(table(spark, sf_dir, "lineitem"), LINE, ProfileConfig().numeric)
+    text = lambda v: None if v is None else str(v)
+    rows = [
+        (c, text(s.skewness_severity), text(s.kurtosis_tag), text(s.tail_asymmetry_tag), s.has_flag(NumericFlag.ScaleAnomaly), s.has_flag(NumericFlag.NearConstant), s.has_flag(NumericFlag.HighOutlierDensity))
+        for c, s in found.items()
+    ]
+    return spark.createDataFrame(rows, "column string, skewness_severity string, kurtosis_tag string, tail_asymmetry_tag string, scale_anomaly boolean, near_constant boolean, high_outlier_density boolean")
+
+
+TIMES = {"orders": "o_orderdate", "lineitem": "l_shipdate", "events": "ts"}
+TIMES_SQL = " UNION ALL ".join(
+    f"""SELECT '{c}' AS "column", CASE WHEN gap < 90 THEN 'secondly' WHEN gap < 3600 THEN 'minutely' WHEN gap < 7200 THEN 'hourly' WHEN gap < 172800 THEN 'daily' WHEN gap < 1209600 THEN 'weekly' WHEN gap < 5184000 THEN 'monthly' ELSE 'yearly' END AS granularity,
+ future > 0 AS future_dates, nulls > 0.05 AS mnar_suspected, recent / (n * 0.1) < 0.2 AS recent_date_missing, cv > 1 AS high_gap_variance
+FROM (SELECT count({c}) AS n, count(*) FILTER ({c} > TIMESTAMP '1997-01-01') AS future, 1 - count({c}) / count(*) AS nulls, count(*) FILTER (epoch_us({c}) >= (SELECT max(epoch_us({c})) - (max(epoch_us({c})) - min(epoch_us({c}))) * 0.1 FROM {t})) AS recent FROM {t}),
+ (SELECT quantile_cont(g, 0.5) AS gap, stddev_samp(g) / avg(g) AS cv FROM (SELECT (epoch_us(x) - lag(epoch_us(x)) OVER (ORDER BY x)) / 1e6 AS g FROM (SELECT DISTINCT {c} AS x FROM {t} WHERE {c} IS NOT NULL)) WHERE g IS NOT NULL)"""
+    for t, c in TIMES.items()
+)
+
+
+@query(TIMES_SQL)
+def datetime_flags(spark, sf_dir):
+    rows = []
+    for t, c in TIMES.items():
+        s = datetime_profiles(table(spark, sf_dir, t), [c], ProfileConfig().datetime_, now=NOW)[c]
+        rows.append((c, str(s.inferred_granularity), *[f in s.flags for f in (DatetimeFlag.FutureDates, DatetimeFlag.MnarSuspected, DatetimeFlag.RecentDateMissing, DatetimeFlag.HighGapVariance)]))
+    return spark.createDataFrame(rows, "column string, granularity string, future_dates boolean, mnar_suspected boolean, recent_date_missing boolean, high_gap_variance boolean")
+
+
+#: Columns with gaps of known sizes: (name, values, rows without one).
+HOLES = [
+    ("minor", "l_extendedprice", "l_orderkey % 200 = 0"), ("moderate", "l_extendedprice + 1", "l_orderkey % 33 = 0"), ("high", "l_extendedprice + 2", "l_orderkey % 8 = 0"),
+    ("severe", "l_extendedprice + 3", "l_orderkey % 3 = 0"), ("mostly", "l_extendedprice + 4", "l_orderkey % 5 <> 0"), ("whole", "l_extendedprice + 5", "false"),
+]
+ROUTES_SQL = " UNION ALL ".join(
+    f"""SELECT '{name}' AS "column", CASE WHEN gone = 0 THEN NULL WHEN gone < 0.01 THEN 'minor' WHEN gone < 0.05 THEN 'moderate' WHEN gone < 0.2 THEN 'high' ELSE 'severe' END AS severity,
+ CASE WHEN gone > 0.5 THEN 'dropped' WHEN gone = 0 THEN 'passthrough' WHEN gone >= 0.2 THEN 'mice' WHEN gone >= 0.05 THEN CASE WHEN n <= 50000 THEN 'knn' ELSE 'regression' END
+  WHEN gone < 0.01 AND abs(g) < 0.5 THEN 'mean' ELSE 'median' END AS strategy
+FROM (SELECT count(*) AS n, avg(({gone})::INT) AS gone, skewness({x}) FILTER (NOT ({gone})) AS g FROM lineitem)"""
+    for name, x, gone in HOLES
+)
+
+
+@query(ROUTES_SQL)
+def routes(spark, sf_dir):
+    """Severity of missing cells and the strategy that follows, by column."""
+    d = table(spark, sf_dir, "lineitem").select(*[F.when(~F.expr(gone), F.expr(x)).alias(name) for name, x, gone in HOLES])
+    config = PipelineConfig()
+    profile = StructuralProfiler(config, NOW).profile(d)
+    rows = []
+    for c, p in profile.columns.items():
+        strategy, _ = route(Case(c, p, config.imputation.numeric, profile.dataset.row_count, len(HOLES)))
+        rows.append((c, str(p.missingness.severity) if p.missingness.severity else None, str(strategy)))
+    return spark.createDataFrame(rows, "column string, severity string, strategy string")
+
+
+@query("SELECT 'test' AS part, floor(count(*) * 0.2 + 1e-9)::BIGINT AS n FROM lineitem UNION ALL SELECT 'train', count(*) - floor(count(*) * 0.2 + 1e-9)::BIGINT FROM lineitem")
+def profile_split_sizes(spark, sf_dir):
+    """Sizes of a split that is stratified by what a profile found."""
+    config, d, profile = _gappy_profile(spark, sf_dir)
+    r = DataSplitter(d, "l_returnflag", 7, config.split).profile_stratified_split(profile, 0.2)
+    return spark.createDataFrame([("train", r.train_size), ("test", r.test_size)], "part string, n long")
+
+
+FORMATS = ("csv", "tsv", "ndjson", "parquet")
+
+
+@query(" UNION ALL ".join(f"SELECT '{f}' AS format, count(*) AS \"rows\", count(DISTINCT c_mktsegment) AS segments, sum(c_custkey)::BIGINT AS keys, round(sum(c_acctbal), 2) AS total FROM customer" for f in FORMATS))
+def source_formats(spark, sf_dir):
+    """A table, written to the folder that all machines share in each format and loaded again."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
+    d, out = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_acctbal"), None
+    for f in FORMATS:
+        path = f"{folder.rstrip('/')}/formats-{uuid.uuid4().hex}.{f}"
+        writer = d.write.option("header", True).option("sep", "\t" if f == "tsv" else ",")
+        writer.format({"tsv": "csv", "ndjson": "json"}.get(f, f)).save(path)
+        one = DataLoader(spark).load(path)
+        one = one.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("c_mktsegment").alias("segments"), F.sum(F.col("c_custkey").cast("long")).alias("keys"), F.round(F.sum(F.col("c_acctbal").cast("double")), 2).alias("total"))
+        one = one.select(F.lit(f).alias("format"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
