@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .native import n_words
+from .native import carried, n_words, restored
 from .store import keep
 
 BINS = 65536
@@ -102,14 +102,13 @@ def mix(docs: DataFrame, share: float = 1.5, **options) -> DataFrame:
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The documents of the mix in the columns of ``docs``, repeated as often as taken, in order of their finish times."""
     taken = mix(docs, **options).where("copies > 0")
-    per = taken.groupBy("doc_id", "text_hash", "source").agg(F.sum("copies").alias("__n"), F.count(F.lit(1)).alias("__rows"), F.min("first").alias("__first"), F.min("second").alias("__second"))
-    per = per.select(F.col("doc_id").alias("__doc"), F.col("text_hash").alias("__hash"), F.col("source").alias("__source"), "__n", "__first", "__second")
-    d = docs.withColumn("__own", F.md5(F.coalesce("text", F.lit(""))))
-    alike = W.partitionBy("doc_id", "__own", "source").orderBy(F.lit(1))
-    same = F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__own") == F.col("__hash")) & F.col("source").eqNullSafe(F.col("__source"))
-    d = d.join(per, same)
-    d = d.withColumn("__at", F.row_number().over(alike)).withColumn("__alike", F.count(F.lit(1)).over(W.partitionBy("doc_id", "__own", "source")))
-    mine = F.floor(F.col("__n") / F.col("__alike")) + (F.col("__at") <= F.col("__n") % F.col("__alike")).cast("int")
-    d = d.withColumn("__copy", F.explode(F.when(mine > 0, F.sequence(F.lit(1), mine.cast("int"))).otherwise(F.array().cast("array<int>"))))
-    time = F.when(F.col("__copy") == 1, F.col("__first")).otherwise(F.col("__second"))
-    return d.orderBy(time, "source", "doc_id", "__own").select(*docs.columns)
+    per = taken.groupBy("doc_id", "text_hash", "source").agg(F.sum("copies").alias("n"), F.min("first").alias("first"), F.min("second").alias("second"))
+    per = per.select(F.col("doc_id").alias("p_doc"), F.col("text_hash").alias("p_hash"), F.col("source").alias("p_source"), "n", "first", "second")
+    d = docs.select(carried(docs, "text"), "doc_id", "source", "text", F.md5(F.coalesce("text", F.lit(""))).alias("own"))
+    alike = W.partitionBy("doc_id", "own", "source")
+    same = F.col("doc_id").eqNullSafe(F.col("p_doc")) & (F.col("own") == F.col("p_hash")) & F.col("source").eqNullSafe(F.col("p_source"))
+    d = d.join(per, same).withColumns({"at": F.row_number().over(alike.orderBy(F.lit(1))), "alike": F.count(F.lit(1)).over(alike)})
+    mine = F.floor(F.col("n") / F.col("alike")) + (F.col("at") <= F.col("n") % F.col("alike")).cast("int")
+    d = d.withColumn("copy", F.explode(F.when(mine > 0, F.sequence(F.lit(1), mine.cast("int"))).otherwise(F.array().cast("array<int>"))))
+    time = F.when(F.col("copy") == 1, F.col("first")).otherwise(F.col("second"))
+    return d.orderBy(time, "source", "doc_id", "own").select(*restored(docs, text=F.col("text")))

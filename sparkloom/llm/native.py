@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: White space between words, as a regular expression class and as characters.
@@ -29,3 +29,17 @@ def n_words(text: Column) -> Column:
 def solid(text: Column) -> Column:
     """The text without white space."""
     return F.translate(text, SPACES, "")
+
+
+def carried(docs: DataFrame, *apart: str) -> Column:
+    """The columns of ``docs`` but ``apart`` as one column, so that helper columns cannot clash with their names."""
+    return F.struct(F.lit(True), *[F.col(quoted(c)) for c in docs.columns if c not in apart]).alias("row")
+
+
+def restored(docs: DataFrame, **values: Column) -> list[Column]:
+    """The columns of ``docs`` from ``carried`` ones, and ``values`` for those that were not."""
+    return [(values[c] if c in values else F.col("row").getField(c)).alias(c) for c in docs.columns]
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"

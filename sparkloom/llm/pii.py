@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import gbt
-from .native import let
+from .native import carried, let, restored
 
 #: Kinds in order, and the base patterns in a form that never backtracks.
 KINDS = ("email", "ip", "card", "phone")
@@ -274,8 +274,9 @@ def redact(docs: DataFrame) -> DataFrame:
     """The documents with all spans redacted, in the columns of ``docs``; ``n_chars``, an integer column, follows the text."""
     spans = let(base_spans(F.col("text")), lambda b: let(candidates(F.col("text")), lambda m: all_spans(b, m)))
     new = F.when(F.col("text").isNotNull(), let(spans, lambda s: redacted(F.col("text"), s)))
-    d = docs.withColumn("__text", new)
-    changed = ~F.col("__text").eqNullSafe(F.col("text"))
-    if dict(docs.dtypes).get("n_chars") in ("bigint", "int"):
-        d = d.withColumn("n_chars", F.when(changed, F.length("__text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars")))
-    return d.withColumn("text", F.col("__text")).select(*docs.columns)
+    d = docs.select(carried(docs, "text"), "text", new.alias("new"))
+    kind = dict(docs.dtypes).get("n_chars")
+    if kind not in ("bigint", "int"):
+        return d.select(*restored(docs, text=F.col("new")))
+    n_chars = F.when(~F.col("new").eqNullSafe(F.col("text")), F.length("new").cast(kind)).otherwise(F.col("row.n_chars"))
+    return d.select(*restored(docs, text=F.col("new"), n_chars=n_chars))

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .native import SPACE, let, solid, words
+from .native import SPACE, carried, let, restored, solid, words
 from .store import keep
 
 SYMBOLS = "#*$%&|<>"
@@ -110,14 +110,15 @@ def clean(docs: DataFrame, **limits) -> DataFrame:
     a filter on them would otherwise count every text once more for each of its conditions.
     """
     verdicts = keep(judge(docs, **limits).select("doc_id", "text_hash", "kept", "removed_lines")).where("kept").select(
-        F.col("doc_id").alias("__doc"), F.col("text_hash").alias("__hash"), F.coalesce("removed_lines", F.array().cast("array<bigint>")).alias("__removed")
+        F.col("doc_id").alias("v_doc"), F.col("text_hash").alias("v_hash"), F.coalesce("removed_lines", F.array().cast("array<bigint>")).alias("removed")
     )
-    verdicts = verdicts.groupBy("__doc", "__hash").agg(F.first("__removed").alias("__removed"))
-    text = F.coalesce("text", F.lit(""))
-    d = docs.withColumn("__own", F.xxhash64(text))
-    d = d.join(verdicts, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__own") == F.col("__hash")))
-    left = F.array_join(F.filter(F.split(text, "\n"), lambda x: ~F.array_contains("__removed", line_hash(x))), "\n")
-    d = d.withColumn("text", F.when(F.size("__removed") > 0, left).otherwise(F.col("text")))
-    if dict(docs.dtypes).get("n_chars") in ("bigint", "int"):
-        d = d.withColumn("n_chars", F.when(F.size("__removed") > 0, F.length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars")))
-    return d.select(*docs.columns)
+    verdicts = verdicts.groupBy("v_doc", "v_hash").agg(F.first("removed").alias("removed"))
+    d = docs.select(carried(docs, "text"), "doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("own"))
+    d = d.join(verdicts, F.col("doc_id").eqNullSafe(F.col("v_doc")) & (F.col("own") == F.col("v_hash")))
+    left = F.array_join(F.filter(F.split("text", "\n"), lambda x: ~F.array_contains("removed", line_hash(x))), "\n")
+    d = d.select("row", F.size("removed").alias("n_removed"), F.when(F.size("removed") > 0, left).otherwise(F.col("text")).alias("text"))
+    kind = dict(docs.dtypes).get("n_chars")
+    if kind not in ("bigint", "int"):
+        return d.select(*restored(docs, text=F.col("text")))
+    n_chars = F.when(F.col("n_removed") > 0, F.length("text").cast(kind)).otherwise(F.col("row.n_chars"))
+    return d.select(*restored(docs, text=F.col("text"), n_chars=n_chars))

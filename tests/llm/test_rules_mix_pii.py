@@ -153,3 +153,15 @@ def test_native_operators_run_no_python(spark):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert not any(x in plan for x in ("Python", "Arrow", "Pandas")), plan[:500]
     assert F is not None
+
+
+def test_names_of_extra_columns_may_clash(spark):
+    names = ["row", "own", "copy", "at", "n", "first", "v_doc", "removed", "__doc", "__hash", "__own", "__text", "a.b"]
+    text = "write to ann@example.org " + " ".join(f"w{i}" for i in range(30))
+    rows = [(i, text + f" {i}", "en", "s", 0, *[f"{n}{i}" for n in names]) for i in range(3)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names)
+    d = spark.createDataFrame(rows, schema)
+    for made in (quality_rules.clean(d), pii.redact(d), mixing.mixed(d)):
+        assert made.columns == d.columns
+        for r in made.collect():
+            assert all(r[n] == f"{n}{r['doc_id']}" for n in names)
