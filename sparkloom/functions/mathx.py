@@ -178,8 +178,9 @@ def mixture_of_two(values: np.ndarray, counts: np.ndarray, rounds: int = 200, st
     return mean, np.sqrt(var), share
 
 
-def mutual_information(x: np.ndarray, y: np.ndarray, x_discrete: bool, y_discrete: bool, k: int = 3, seed: int = 42) -> float:
-    """Nearest-neighbour mutual information in nats, for bounded samples."""
+def mutual_information(x: np.ndarray, y: np.ndarray, x_discrete: bool, y_discrete: bool, k: int = 3, seed: int = 42, clip: bool = True) -> float:
+    """Nearest-neighbour mutual information in nats of a bounded block of rows; without ``clip`` estimates may be below 0, so they can be averaged."""
+    least = 0.0 if clip else -math.inf
     if x_discrete and y_discrete:
         _, xi = np.unique(x, return_inverse=True)
         _, yi = np.unique(y, return_inverse=True)
@@ -187,7 +188,7 @@ def mutual_information(x: np.ndarray, y: np.ndarray, x_discrete: bool, y_discret
         np.add.at(table, (xi, yi), 1)
         p = table / table.sum()
         outer = p.sum(1, keepdims=True) @ p.sum(0, keepdims=True)
-        return float(max(0.0, (p[p > 0] * np.log(p[p > 0] / outer[p > 0])).sum()))
+        return float(max(least, (p[p > 0] * np.log(p[p > 0] / outer[p > 0])).sum()))
     r = np.random.default_rng(seed)
 
     def scaled(v: np.ndarray) -> np.ndarray:
@@ -213,11 +214,11 @@ def mutual_information(x: np.ndarray, y: np.ndarray, x_discrete: bool, y_discret
             return 0.0
         m = (np.abs(value[:, None] - value) <= radius[:, None]).sum(axis=1)
         mi = digamma(np.array([len(value)]))[0] + digamma(near).mean() - digamma(size).mean() - digamma(m).mean()
-        return float(max(0.0, mi))
+        return float(max(least, mi))
     a, b = scaled(x), scaled(y)
     d = np.maximum(np.abs(a[:, None] - a), np.abs(b[:, None] - b))
     radius = np.nextafter(np.partition(d, min(k, len(a) - 1), axis=1)[:, min(k, len(a) - 1)], 0)
     out = digamma(np.array([len(a)]))[0] + digamma(np.array([k]))[0]
     for v in (a, b):
         out -= digamma((np.abs(v[:, None] - v) <= radius[:, None]).sum(axis=1)).mean()
-    return float(max(0.0, out))
+    return float(max(least, out))

@@ -6,15 +6,20 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 from itertools import combinations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import mathx
 from ..functions.nulls import missing_exprs
 from .base import average_ranks, col
 from .columns import number
 
 #: Pairs that share one scan.
 PAIRS = 64
+#: Rows of a block of neighbours, of numbers alone and with levels.
+BLOCK, LEVELS_BLOCK = 256, 1000
 
 
 def correlation(x: Column, y: Column) -> Column:
@@ -136,6 +141,33 @@ def mutual_information_discrete(df: DataFrame, a: str, b: str) -> DataFrame:
     return s.select(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), "n", mi.alias("mi"))
 
 
+def mutual_information(df: DataFrame, columns: Sequence[str], discrete: Sequence[str], pairs: Sequence[tuple[str, str]], seed: int = 42) -> tuple[int, dict[tuple[str, str], float]]:
+    """(complete rows, {pair: mutual information in nats}) by nearest neighbours, over all complete rows of ``columns``.
+
+    Rows are dealt at random into blocks of about ``BLOCK`` rows (``LEVELS_BLOCK`` with ``discrete`` columns), each block gives an
+    estimate, and their mean counts, so work grows with the rows and no task holds more than a block.
+    """
+    parts = [(col(c).cast("string") if c in discrete else number(df, c)).alias(str(i)) for i, c in enumerate(columns)]
+    names = [str(i) for i in range(len(columns))]
+    d = df.select(*parts).dropna()
+    d = d.where(reduce(lambda a, b: a & b, [~F.isnan(n) for n, c in zip(names, columns) if c not in discrete], F.lit(True)))
+    rows = d.count()
+    blocks = max(1, round(rows / (LEVELS_BLOCK if discrete else BLOCK)))
+    d = d.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), F.monotonically_increasing_id(), *names), F.lit(blocks)))
+    at = [(columns.index(a), columns.index(b)) for a, b in pairs]
+    coded = [c in discrete for c in columns]
+
+    def estimate(block: pd.DataFrame) -> pd.DataFrame:
+        values = [np.unique(block[n].to_numpy(str), return_inverse=True)[1] if is_code else block[n].to_numpy(float) for n, is_code in zip(names, coded)]
+        found = [mathx.mutual_information(values[i], values[j], coded[i], coded[j], clip=False) if len(block) > 4 else 0.0 for i, j in at]
+        return pd.DataFrame({"pair": range(len(at)), "weight": float(len(block)) if len(block) > 4 else 0.0, "mi": found})
+
+    if not rows or not pairs:
+        return rows, {}
+    got = d.groupBy("block").applyInPandas(estimate, "pair int, weight double, mi double").groupBy("pair").agg((F.sum(F.col("weight") * F.col("mi")) / F.sum("weight")).alias("mi")).collect()
+    return rows, {tuple(pairs[r["pair"]]): max(0.0, r["mi"] or 0.0) for r in got}
+
+
 def sample(df: DataFrame, columns: Sequence[str], rows: int, seed: int) -> DataFrame:
     """At most ``rows`` complete rows of ``columns``, by a hash of their values, so every run takes the same."""
     complete = df.select(*[col(c) for c in columns]).dropna(subset=list(columns))

@@ -414,7 +414,7 @@ class CorrelationProfiler:
         return out
 
     def _information(self, df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], target: str, is_number: bool) -> list[MutualInformationEntry]:
-        """Exact from counts where both sides are categories, else by neighbours on a bounded sample."""
+        """Exact from counts where both sides are categories, else by neighbours, from all complete rows."""
         out = []
         for c in [*numeric, *categorical]:
             discrete = c in categorical
@@ -423,14 +423,10 @@ class CorrelationProfiler:
                 if r["n"] and r["n"] >= self.config.mi_min_rows:
                     out.append(MutualInformationEntry(c, r["mi"]))
                 continue
-            rows = P.sample(df.select(col(c), col(target)), [c, target], self.config.mi_sample_rows, 42).collect()
-            if len(rows) < self.config.mi_min_rows:
-                continue
-            x, y = [r[0] for r in rows], [r[1] for r in rows]
-            code = lambda v: np.unique(np.array(v, dtype=str), return_inverse=True)[1]
-            xs = code(x) if discrete else np.array(x, dtype=float)
-            ys = np.array(y, dtype=float) if is_number else code(y)
-            out.append(MutualInformationEntry(c, mathx.mutual_information(xs, ys, discrete, not is_number)))
+            levels = [name for name, is_code in ((c, discrete), (target, not is_number)) if is_code]
+            n, found = P.mutual_information(df, [c, target], levels, [(c, target)])
+            if n >= self.config.mi_min_rows:
+                out.append(MutualInformationEntry(c, found[(c, target)]))
         out.sort(key=lambda s: (-s.mi_score, s.feature))
         for place, entry in enumerate(out, 1):
             entry.rank = place
@@ -456,12 +452,13 @@ class NonlinearityProfiler:
         x = np.array([list(r) for r in rows], dtype=float)
         x = x[np.random.default_rng(self.config.random_state).permutation(len(x))]
         correlation = correlation or CorrelationProfiler(self.columns).profile_features(df)
+        _, information = P.mutual_information(d, self.columns, [], [(a, b) for i, a in enumerate(self.columns) for b in self.columns[i + 1 :]])
         out = {}
         for i, c in enumerate(self.columns):
             others = [j for j in range(len(self.columns)) if j != i]
             pearson = {self.columns[j]: correlation.get_pearson(c, self.columns[j]) or 0.0 for j in others}
             gap = max(abs(correlation.get_spearman(c, k) or 0.0) - abs(r) for k, r in pearson.items())
-            mi = [mathx.mutual_information(x[:, j], x[:, i], False, False) for j in others]
+            mi = [information[(c, k) if (c, k) in information else (k, c)] for k in pearson]
             expected = [-0.5 * math.log(max(1e-12, 1 - min(pearson[self.columns[j]] ** 2, 1 - 1e-12))) for j in others]
             excess = float(np.mean([max(0.0, m - e) for m, e in zip(mi, expected)]))
             linear, forest = _cross_validated(x[:, others], x[:, i], self.config.random_state)
