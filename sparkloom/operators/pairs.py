@@ -104,29 +104,25 @@ def cramers_v(df: DataFrame, a: str, b: str) -> DataFrame:
 def between_groups(df: DataFrame, feature: str, group: str) -> DataFrame:
     """One row: feature, grouping, n, k, SSB, SSW, SST (over all rows with the feature), eta_squared, f."""
     d = df.select(number(df, feature).alias("x"), col(group).cast("string").alias("g")).where("x is not null and not isnan(x)")
-    parts = d.groupBy("g").agg(F.count("x").alias("n"), F.avg("x").alias("m"), F.coalesce(F.var_pop("x"), F.lit(0.0)).alias("v"))
+    parts = d.groupBy("g").agg(F.count("x").alias("n"), F.avg("x").alias("m"), F.coalesce(F.var_pop("x"), F.lit(0.0)).alias("v")).persist()
     inside = F.col("g").isNotNull()
     n, m, v = F.col("n").cast("double"), F.col("m"), F.col("v")
     own = F.when(inside, n)
-    s = parts.agg(
-        F.coalesce(F.sum(own), F.lit(0.0)).alias("n"),
-        F.count_if(inside).alias("k"),
-        F.try_divide(F.sum(own * m), F.sum(own)).alias("mean"),
-        F.try_divide(F.sum(n * m), F.sum(n)).alias("all_mean"),
-        F.coalesce(F.sum(own * v), F.lit(0.0)).alias("ssw"),
-        F.collect_list(F.struct(n.alias("n"), m.alias("m"), v.alias("v"), inside.alias("i"))).alias("groups"),
-    )
-    total = lambda keep, e: F.aggregate(F.filter("groups", keep), F.lit(0.0), lambda acc, g: acc + e(g))
-    sst = total(lambda g: F.lit(True), lambda g: g["n"] * (g["v"] + (g["m"] - F.col("all_mean")) * (g["m"] - F.col("all_mean"))))
-    ssb = total(lambda g: g["i"], lambda g: g["n"] * (g["m"] - F.col("all_mean")) * (g["m"] - F.col("all_mean")))
-    own_ssb = total(lambda g: g["i"], lambda g: g["n"] * (g["m"] - F.col("mean")) * (g["m"] - F.col("mean")))
-    s = s.select("n", "k", "ssw", sst.alias("sst"), ssb.alias("ssb"), own_ssb.alias("own_ssb"))
-    f = F.when((F.col("k") >= 2) & (F.col("n") > F.col("k")), F.try_divide(F.col("own_ssb") / (F.col("k") - 1), F.col("ssw") / (F.col("n") - F.col("k"))))
-    return s.select(
-        F.lit(feature).alias("feature"), F.lit(group).alias("grouping"), F.col("n").cast("long").alias("n"), "k", "ssb", "ssw", "sst",
-        F.when(F.col("k") >= 2, F.coalesce(F.try_divide(F.col("ssb"), F.col("sst")), F.lit(0.0))).alias("eta_squared"),
-        f.alias("f"),
-    )
+    try:
+        s = parts.agg(
+            F.coalesce(F.sum(own), F.lit(0.0)).alias("n"), F.count_if(inside).alias("k"), F.try_divide(F.sum(own * m), F.sum(own)).alias("mean"),
+            F.try_divide(F.sum(n * m), F.sum(n)).alias("all_mean"), F.coalesce(F.sum(own * v), F.lit(0.0)).alias("ssw"),
+        ).first()
+        off = lambda mean: (m - F.lit(mean or 0.0)) * (m - F.lit(mean or 0.0))
+        total = lambda e: F.coalesce(F.sum(e), F.lit(0.0))
+        t = parts.agg(total(n * (v + off(s["all_mean"]))).alias("sst"), total(own * off(s["all_mean"])).alias("ssb"), total(own * off(s["mean"])).alias("own_ssb")).first()
+    finally:
+        parts.unpersist()
+    k, rows = s["k"], int(s["n"])
+    eta = None if k < 2 else t["ssb"] / t["sst"] if t["sst"] else 0.0
+    f = (t["own_ssb"] / (k - 1)) / (s["ssw"] / (rows - k)) if k >= 2 and rows > k and s["ssw"] else None
+    schema = "feature string, grouping string, n long, k long, ssb double, ssw double, sst double, eta_squared double, f double"
+    return df.sparkSession.createDataFrame([(feature, group, rows, k, t["ssb"], s["ssw"], t["sst"], eta, f)], schema)
 
 
 def mutual_information_discrete(df: DataFrame, a: str, b: str) -> DataFrame:
