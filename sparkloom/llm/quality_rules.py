@@ -103,15 +103,34 @@ def judge(docs: DataFrame, max_removed: float = 0.75, **limits) -> DataFrame:
     return d.withColumn("kept", ~F.col("base_failed") & ~depleted)
 
 
+def firsts(verdicts: DataFrame) -> DataFrame:
+    """One of each group of depleted near copies: doc_id, text_hash and the lines that go from it all the same.
+
+    A frequent line that no kept document of its host holds is the groups' own text, not a frame around others.  Of the
+    depleted documents whose removed lines are mostly such, the first one for each smallest line of that kind stays with
+    them, so at most one document stays for each frequent line.
+    """
+    held = verdicts.where(~F.col("base_failed")).select("source", "doc_id", "text_hash", "kept", "removed_lines", F.explode("removed_lines").alias("line"))
+    own = held.groupBy(F.col("source").alias("o_source"), F.col("line").alias("o_line")).agg(F.max("kept").alias("framed")).where(~F.col("framed"))
+    held = held.where(~F.col("kept")).join(own, F.col("source").eqNullSafe(F.col("o_source")) & (F.col("line") == F.col("o_line")))
+    held = held.groupBy("source", "doc_id", "text_hash").agg(F.collect_set("line").alias("lines"), F.min("removed_lines").alias("removed"))
+    held = held.where(2 * F.size("lines") > F.size("removed"))
+    one = F.struct("doc_id", "text_hash", F.sort_array(F.array_except("removed", "lines")).alias("removed"))
+    return held.groupBy("source", F.array_min("lines").alias("least")).agg(F.min(one).alias("one")).select("one.*")
+
+
 def clean(docs: DataFrame, **limits) -> DataFrame:
     """The documents that are kept, without their removed lines, in the columns of ``docs``.
 
-    ``n_chars``, where it is an integer column, is set to the new length of a changed text.  Verdicts are written first, as
-    a filter on them would otherwise count every text once more for each of its conditions.
+    Of a group of near copies whose shared lines are frequent only through the group, one document stays (``firsts``), as
+    ``kept`` alone would lose the group whole.  ``n_chars``, where it is an integer column, is set to the new length of a
+    changed text.  Verdicts are written first, as a filter on them would otherwise count every text once more for each of
+    its conditions.
     """
-    verdicts = keep(judge(docs, **limits).select("doc_id", "text_hash", "kept", "removed_lines")).where("kept").select(
-        F.col("doc_id").alias("v_doc"), F.col("text_hash").alias("v_hash"), F.coalesce("removed_lines", F.array().cast("array<bigint>")).alias("removed")
-    )
+    judged = keep(judge(docs, **limits).select("doc_id", "text_hash", "source", "base_failed", "kept", "removed_lines"))
+    none = F.array().cast("array<bigint>")
+    verdicts = judged.where("kept").select("doc_id", "text_hash", F.coalesce("removed_lines", none).alias("removed")).unionByName(firsts(judged))
+    verdicts = verdicts.select(F.col("doc_id").alias("v_doc"), F.col("text_hash").alias("v_hash"), "removed")
     verdicts = verdicts.groupBy("v_doc", "v_hash").agg(F.first("removed").alias("removed"))
     d = docs.select(carried(docs, "text"), "doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("own"))
     d = d.join(verdicts, F.col("doc_id").eqNullSafe(F.col("v_doc")) & (F.col("own") == F.col("v_hash")))
