@@ -42,6 +42,8 @@ GENERATORS = (
     ("card", r"(?<![0-9.])[0-9]{4}(?:[./_][0-9]{4}){3}(?![0-9.])"),
 )
 HINTS = r"(?i)tel|phone|call|fax|mobil|contact|reach|mail|write|address|host|server|login|card|visa|credit|pay"
+#: More candidates than one can overlap; see ``all_spans``.
+NEAR = 64
 FEATURES = ["kind", "n_chars", "n_digits", "n_seps", "brackets", "hint", "hex", "year"]
 
 
@@ -112,32 +114,47 @@ def model(precision: float = 0.98) -> tuple[gbt.Forest, float]:
     return forest, float(max(m[order][good[-1]], 0.0)) if len(good) else float("inf")
 
 
-def _running(lengths: Column, block: int = 1024) -> Column:
-    """Sums of the elements ahead of each, in blocks, so copying grows with the number times ``block`` only."""
-    pair = F.struct(F.lit(0).cast("long").alias("s"), F.array().cast("array<bigint>").alias("a"))
+def _running(values: Column, join=lambda a, b: a + b, block: int = 1024) -> Column:
+    """``join`` (with 0 as its neutral element) of the elements ahead of each, in blocks, so copying grows with the number times ``block`` only."""
+    zero = F.lit(0).cast("long")
+    pair = F.struct(zero.alias("s"), F.array().cast("array<bigint>").alias("a"))
 
     def ahead(x: Column) -> Column:
-        return F.aggregate(x, pair, lambda acc, n: F.struct((acc["s"] + n).alias("s"), F.concat(acc["a"], F.array(acc["s"])).alias("a")), lambda acc: acc["a"])
+        return F.aggregate(x, pair, lambda acc, n: F.struct(join(acc["s"], n).alias("s"), F.concat(acc["a"], F.array(acc["s"])).alias("a")), lambda acc: acc["a"])
 
     def total(x: Column) -> Column:
-        return F.aggregate(x, F.lit(0).cast("long"), lambda a, n: a + n)
+        return F.aggregate(x, zero, join)
 
     def of_blocks(parts: Column) -> Column:
-        return let(ahead(F.transform(parts, total)), lambda at: F.flatten(F.transform(parts, lambda p, j: F.transform(ahead(p), lambda n: n + F.get(at, j)))))
+        return let(ahead(F.transform(parts, total)), lambda at: F.flatten(F.transform(parts, lambda p, j: F.transform(ahead(p), lambda n: join(n, F.get(at, j))))))
 
-    parts = F.transform(F.sequence(F.lit(0), ((F.size(lengths) - 1) / block).cast("int")), lambda b: F.slice(lengths, b * block + 1, block))
-    return let(parts, of_blocks)
+    return let(_blocks(values, block), of_blocks)
+
+
+def _further(a: Column, b: Column) -> Column:
+    return F.greatest(a, b)
+
+
+def _blocks(values: Column, block: int) -> Column:
+    """Slices of ``block`` elements of an array that is not empty."""
+    return F.transform(F.sequence(F.lit(0), ((F.size(values) - 1) / block).cast("int")), lambda b: F.slice(values, b * block + 1, block))
 
 
 def _found(text: Column, pattern: str, gate: Column, pick) -> Column:
-    """``pick(match, start)`` of every match, where ``gate`` lets the pattern run at all."""
+    """``pick(match, start, text before)`` of every match, where ``gate`` lets the pattern run at all.
+
+    The text before is given from the third match ahead on, the whole one if there are fewer.
+    """
+
+    def behind(m: Column, g: Column, i: Column) -> Column:
+        return F.concat_ws("", F.get(m, i - 3), F.get(g, i - 2), F.get(m, i - 2), F.get(g, i - 1), F.get(m, i - 1), F.get(g, i))
 
     def placed(m: Column) -> Column:
         return let(
             F.split(text, pattern, -1),
             lambda g: let(
                 F.transform(m, lambda x, i: (F.length(x) + F.length(F.get(g, i))).cast("long")),
-                lambda n: let(_running(n), lambda at: F.transform(m, lambda x, i: pick(x, F.get(at, i) + F.length(F.get(g, i))))),
+                lambda n: let(_running(n), lambda at: F.transform(m, lambda x, i: pick(x, F.get(at, i) + F.length(F.get(g, i)), behind(m, g, i)))),
             ),
         )
 
@@ -164,7 +181,7 @@ def base_spans(text: Column) -> Column:
     """Array of (start, kind, end, score) of all base spans, by start, then kind."""
 
     def of(kind: str, pattern: str, gate: Column, valid) -> Column:
-        return _found(text, pattern, gate, lambda x, at: F.when(valid(x), _span(kind, x, at, F.lit(1.0))))
+        return _found(text, pattern, gate, lambda x, at, _: F.when(valid(x), _span(kind, x, at, F.lit(1.0))))
 
     def card(x: Column) -> Column:
         return let(_digits(x), lambda d: F.when(F.length(d).between(12, 19), _luhn(d)).otherwise(False))
@@ -185,8 +202,8 @@ def candidates(text: Column) -> Column:
     forest, least = model()
 
     def of(kind: str, pattern: str) -> Column:
-        def pick(x: Column, at: Column) -> Column:
-            before = F.substring(text, F.greatest(F.lit(1), at - 23).cast("int"), F.least(F.lit(24).cast("long"), at).cast("int"))
+        def pick(x: Column, at: Column, behind: Column) -> Column:
+            before = F.right(behind, F.lit(24))  # three matches of 9 characters or more are longer
             row = F.struct(*[c.alias(n) for c, n in zip(_feature_columns(KINDS.index(kind), x, before), FEATURES)])
             return let(row, lambda c: let(_margin(forest, c), lambda m: F.when(m >= least, _span(kind, x, at, m))))
 
@@ -214,23 +231,50 @@ def _margin(forest: gbt.Forest, c: Column) -> Column:
     return total
 
 
+def _free(base: Column, more: Column) -> Column:
+    """The spans of ``more`` that overlap none of ``base``, by end: one sort, and the furthest end of the base spans begun before."""
+
+    def event(at: Column, is_base: int, reach: Column, s: Column) -> Column:
+        return F.struct(at.alias("at"), F.lit(is_base).alias("base"), reach.cast("long").alias("reach"), s.alias("span"))
+
+    def of_events(e: Column) -> Column:
+        reach = _running(F.transform(e, lambda x: x["reach"]), _further)
+        clear = lambda r: F.transform(e, lambda x, i: F.when((x["base"] == 0) & (F.get(r, i) <= x["span"]["start"]), x["span"]))
+        return F.filter(let(reach, clear), lambda s: s.isNotNull())
+
+    both = F.concat(F.transform(more, lambda s: event(s["end"], 0, F.lit(0), s)), F.transform(base, lambda s: event(s["start"], 1, s["end"], s)))
+    return let(F.sort_array(both), of_events)
+
+
 def all_spans(base: Column, more: Column) -> Column:
-    """The base spans and the candidates that overlap none of them and no better candidate that is taken."""
+    """The base spans and the candidates that overlap none of them and no better candidate that is taken.
+
+    A candidate has 9 to 146 characters and those of one generator do not overlap, so one can overlap fewer than ``NEAR``
+    others; only that many on either side, by start, are looked at.
+    """
     overlap = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
     better = lambda a, b: (a["score"] > b["score"]) | ((a["score"] == b["score"]) & (F.struct(a["start"], a["kind"]) < F.struct(b["start"], b["kind"])))
-    free = lambda own: F.filter(own, lambda s: ~F.exists(base, lambda b: overlap(s, b)))
-    none = F.filter(more, lambda s: F.lit(False))
+    near = lambda own, i: F.slice(own, F.greatest(i - NEAR, F.lit(0)) + 1, 2 * NEAR + 1)
+    best_first = lambda own: F.array_sort(own, lambda a, b: F.when(better(a, b), -1).when(better(b, a), 1).otherwise(0))
 
     def pick(taken: Column, s: Column) -> Column:
         return F.when(F.exists(taken, lambda t: overlap(s, t)), taken).otherwise(F.concat(taken, F.array(s)))
 
     def greedy(own: Column) -> Column:
-        """From the best on, each that overlaps none taken before; only those that meet another are looked at one by one."""
-        met = lambda s: F.exists(own, lambda b: overlap(s, b) & better(b, s))
-        beaten = let(F.filter(own, met), lambda x: F.array_sort(x, lambda a, b: F.when(better(a, b), -1).when(better(b, a), 1).otherwise(0)))
-        return let(F.filter(own, lambda s: ~met(s)), lambda first: let(beaten, lambda rest: F.aggregate(rest, F.concat(first, none), pick)))
+        """Those that no other beats; of the rest that overlap none of these, from the best on, each that overlaps none taken before."""
+        beaten = F.transform(own, lambda s, i: F.struct(s.alias("span"), F.exists(near(own, i), lambda b: overlap(s, b) & better(b, s)).alias("met")))
+        return let(beaten, lambda f: F.concat(spans(F.filter(f, lambda s: ~s["met"])), let(best_first(spans(open_ones(f))), settled)))
+
+    def spans(flagged: Column) -> Column:
+        return F.transform(flagged, lambda s: s["span"])
+
+    def open_ones(f: Column) -> Column:
+        return F.filter(f, lambda s, i: s["met"] & ~F.exists(near(f, i), lambda t: ~t["met"] & overlap(s["span"], t["span"])))
+
+    def settled(rest: Column) -> Column:
+        return F.aggregate(rest, F.filter(rest, lambda s: F.lit(False)), pick)
 
-    chosen = let(free(more), greedy)
+    chosen = let(F.sort_array(_free(base, more)), greedy)
     return F.when(F.size(more) == 0, base).otherwise(F.sort_array(F.concat(base, chosen)))
 
 
@@ -240,11 +284,19 @@ def written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def spanned(d: DataFrame, text: Column) -> DataFrame:
+    """``d`` with the columns base and spans of ``text``.
+
+    One projection each: every name is used more than once, so the optimizer leaves them apart, and nested in one
+    expression they take the analyzer more rounds than it allows.
+    """
+    d = d.withColumn("base", base_spans(text)).withColumn("more", candidates(text))
+    return d.withColumn("spans", all_spans(F.col("base"), F.col("more"))).drop("more")
+
+
 def find(docs: DataFrame) -> DataFrame:
     """doc_id, base and spans (arrays of start, kind, end, score) of each row."""
-    text = F.coalesce("text", F.lit(""))
-    both = let(text, lambda t: let(base_spans(t), lambda b: F.struct(b.alias("base"), let(candidates(t), lambda m: all_spans(b, m)).alias("spans"))))
-    return docs.select("doc_id", both.alias("f")).select("doc_id", "f.base", "f.spans")
+    return spanned(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), F.col("text")).drop("text")
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -257,24 +309,30 @@ def report(docs: DataFrame) -> DataFrame:
 def redacted(text: Column, spans: Column) -> Column:
     """The text with every span, overlapping ones as one, replaced by its first kind in brackets."""
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    empty = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
+    cut = lambda x, at, end: F.substring(x, (at + 1).cast("int"), F.greatest(end - at, F.lit(0)).cast("int"))
+
+    def part(p: Column) -> Column:
+        """A block of spans with the ends ahead of them, written from its own stretch of the text, which positions are counted in."""
+        lo = F.get(p, F.lit(0))["reach"]
+
+        def one(x: Column, s: Column) -> Column:
+            new = F.concat(cut(x, s["reach"] - lo, s["start"] - lo), F.get(names, s["kind"]))
+            return F.when(s["start"] < s["reach"], F.lit("")).otherwise(new)
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
-        more = F.when(s["start"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], F.array(gap, F.get(names, s["kind"]))))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), more.alias("out"))
+        return let(cut(text, lo, F.element_at(p, -1)["start"]), lambda x: F.array_join(F.transform(p, lambda s: one(x, s)), ""))
 
-    def finish(acc: Column) -> Column:
-        return F.concat(F.array_join(acc["out"], ""), F.substring(text, (acc["at"] + 1).cast("int"), F.length(text)))
+    def whole(reach: Column) -> Column:
+        placed = F.transform(spans, lambda s, i: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), F.get(reach, i).alias("reach")))
+        last = F.greatest(F.element_at(reach, -1), F.element_at(spans, -1)["end"])
+        return F.concat(F.array_join(F.transform(_blocks(placed, 256), part), ""), F.substring(text, (last + 1).cast("int"), F.length(text)))
 
-    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, empty, step, finish))
+    return F.when(F.size(spans) == 0, text).otherwise(let(_running(F.transform(spans, lambda s: s["end"]), _further), whole))
 
 
 def redact(docs: DataFrame) -> DataFrame:
     """The documents with all spans redacted, in the columns of ``docs``; ``n_chars``, an integer column, follows the text."""
-    spans = let(base_spans(F.col("text")), lambda b: let(candidates(F.col("text")), lambda m: all_spans(b, m)))
-    new = F.when(F.col("text").isNotNull(), let(spans, lambda s: redacted(F.col("text"), s)))
-    d = docs.select(carried(docs, "text"), "text", new.alias("new"))
+    d = spanned(docs.select(carried(docs, "text"), "text"), F.col("text"))
+    d = d.select("row", "text", F.when(F.col("text").isNotNull(), redacted(F.col("text"), F.col("spans"))).alias("new"))
     kind = dict(docs.dtypes).get("n_chars")
     if kind not in ("bigint", "int"):
         return d.select(*restored(docs, text=F.col("new")))

@@ -1,4 +1,5 @@
 import random
+import time
 from collections import Counter
 
 import brute
@@ -55,6 +56,20 @@ def test_frequent_lines_go_and_depleted_documents_with_them(spark):
     assert clean[4]["text"] == body(4) and clean[4]["n_chars"] == len(body(4))
 
 
+def test_one_of_a_group_of_near_copies_stays(spark):
+    line = lambda a, j: " ".join(f"{a}l{j}w{k}" for k in range(12))
+    rows = [(i, "\n".join([line(f"a{i}", j) for j in range(4)] + ["share this page"]), "h") for i in range(200)]
+    near = [[line("same", j) for j in range(12)] for _ in range(100)]
+    for i, lines in enumerate(near):
+        lines[i % 12] = line(f"own{i}", 0)
+        rows.append((1000 + i, "\n".join([*lines, "share this page"]), "h"))
+    got = {r["doc_id"]: r["text"] for r in quality_rules.clean(table(spark, rows)).collect()}
+    assert set(range(200)) <= set(got)
+    stay = [i for i in got if i >= 1000]
+    assert 1 <= len(stay) <= 12
+    assert all(got[i] == "\n".join(near[i - 1000]) for i in stay), "whole but for the line that frames other documents"
+
+
 def test_repeated_rows_stay_in_the_cleaned_table(spark):
     text = " ".join(f"w{j}" for j in range(30))
     got = quality_rules.clean(table(spark, [(1, text, None), (1, text, None), (None, text, "a")]))
@@ -147,6 +162,55 @@ def test_candidates_and_redaction(spark):
     assert got[3]["text"] is None and got[4]["text"] == "clean" and out.columns == table(spark, []).columns
 
 
+def plain_spans(base, more):
+    """The greedy choice, one candidate after the other."""
+    taken = []
+    for s in sorted((s for s in more if not any(s[0] < b[2] and b[0] < s[2] for b in base)), key=lambda s: (-s[3], s[0], s[1])):
+        if not any(s[0] < t[2] and t[0] < s[2] for t in taken):
+            taken.append(s)
+    return sorted(base + taken)
+
+
+def plain_redaction(text, spans):
+    out, at = [], 0
+    for start, kind, end, _ in spans:
+        if start >= at:
+            out += [text[at:start], f"[{pii.KINDS[kind].upper()}]"]
+        at = max(at, end)
+    return "".join(out) + text[at:]
+
+
+def test_choice_and_redaction_match_plain_loops(spark):
+    r, rows = random.Random(8), []
+    for n in [0, 1, 3, 40, 700, 3000]:
+        base, more = [], []
+        for kind in range(4):
+            for into, far, sizes in ((base, 90, (1, 300)), (more, 25, (9, 147))):
+                at = 0
+                for _ in range(r.randrange(n + 1)):
+                    at += r.randrange(far)
+                    into.append((at, kind, at + r.randrange(*sizes), 1.0 if into is base else float(r.randrange(3))))
+                    at = into[-1][2]
+        keep = sorted(b for b in base if r.random() < 0.2)
+        length = max([s[2] for s in keep + more], default=0) + 5
+        rows.append((n, keep, more, "".join(r.choice("aé\U0001f600 ") for _ in range(length))))
+    span = "array<struct<start: bigint, kind: int, end: bigint, score: double>>"
+    d = spark.createDataFrame(rows, f"n long, base {span}, more {span}, text string").repartition(3)
+    d = d.withColumn("spans", pii.all_spans(F.col("base"), F.col("more")))
+    for row in d.withColumn("out", pii.redacted(F.col("text"), F.col("spans"))).collect():
+        want = plain_spans([tuple(s) for s in row["base"]], [tuple(s) for s in row["more"]])
+        assert [tuple(s) for s in row["spans"]] == want, row["n"]
+        assert row["out"] == plain_redaction(row["text"], want), row["n"]
+
+
+def test_many_spans_in_one_text(spark):
+    text = "call (555) 123-4567 or mail a@b.cd " * 20_000
+    start = time.monotonic()
+    out = pii.redact(table(spark, [(1, text, "s")])).first()["text"]
+    assert out == "call [PHONE] or mail [EMAIL] " * 20_000
+    assert time.monotonic() - start < 120
+
+
 def test_native_operators_run_no_python(spark):
     docs = spark.read.parquet(SF)
     for df in (quality_rules.judge(docs), pii.report(docs), mixing.mix(docs)):
