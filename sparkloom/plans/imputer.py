@@ -195,27 +195,26 @@ def apply_chain(state: dict, x: np.ndarray) -> np.ndarray:
     return np.where(missing, now * scale + centre, x)
 
 
-def apply_rows(df: DataFrame, state: dict, targets: Sequence[str]) -> DataFrame:
-    """``df`` with the missing cells of ``targets`` filled by a model, in one narrow pass."""
-    columns = state["columns"]
-    shared = df.sparkSession.sparkContext.broadcast(state)
-    numbers = [f"__x{i}" for i in range(len(columns))]
+def apply_rows(df: DataFrame, states: Sequence[dict]) -> DataFrame:
+    """``df`` with the missing cells of each model's targets filled, in one narrow pass; all models see the cells as they are in ``df``."""
+    columns = sorted({c for state in states for c in state["columns"]})
+    shared = df.sparkSession.sparkContext.broadcast(list(states))
+    targets = [(i, t) for i, state in enumerate(states) for t in state["fills_columns"] if t in df.columns]
+    numbers = {c: f"__x{i}" for i, c in enumerate(columns)}
     filled = [f"__y{i}" for i in range(len(targets))]
-    wide = df.select("*", *[number(df, c).alias(n) for c, n in zip(columns, numbers)])
+    wide = df.select("*", *[number(df, c).alias(n) for c, n in numbers.items()])
     schema = T.StructType([*df.schema.fields, *[T.StructField(f, T.DoubleType()) for f in filled]])
-    apply = apply_neighbours if state["kind"] == "knn" else apply_chain
-    at = [columns.index(t) for t in targets]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            done = apply(shared.value, frame[numbers].to_numpy(dtype=float))
-            out = frame.drop(columns=numbers)
-            for name, i in zip(filled, at):
-                out[name] = done[:, i]
+            done = [(apply_neighbours if state["kind"] == "knn" else apply_chain)(state, frame[[numbers[c] for c in state["columns"]]].to_numpy(dtype=float)) for state in shared.value]
+            out = frame.drop(columns=list(numbers.values()))
+            for name, (i, t) in zip(filled, targets):
+                out[name] = done[i][:, shared.value[i]["columns"].index(t)]
             yield out
 
     d = wide.mapInPandas(run, schema)
-    values = dict(zip(targets, filled))
+    values = dict(zip([t for _, t in targets], filled))
     return d.select(*[fill_column(d, c, F.col(values[c])).alias(c) if c in values else col(c) for c in df.columns])
 
 
@@ -415,13 +414,15 @@ class FittedImputer:
         flagged = [c for c in d.columns if self.records[c].indicator_added]
         d = d.withColumns({f"{c}_missing": col(c).isNull().cast("tinyint") for c in flagged}) if flagged else d
         marks = [f"{c}_missing" for c in flagged]
+        if rows := [state for state in self.models if state["kind"] in ("knn", "chain")]:
+            d = apply_rows(d, rows)  # before other fills: models were fitted on cells that none had filled
         filled = {c: fill_column(d, c, F.lit(self.scalars[c]).cast("double")).alias(c) for c in d.columns if self.scalars.get(c) is not None}
         d = d.select(*[filled.get(c, col(c)) for c in d.columns])
         for state in self.models:
             targets = [t for t in state["fills_columns"] if t in d.columns]
             if state["kind"] in ("knn", "chain"):
-                d = apply_rows(d, state, targets)
-            elif state["kind"] == "group":
+                continue
+            if state["kind"] == "group":
                 d = group_fill(d, targets[0], state)
             else:
                 value = cluster_fill(d, state) if state["kind"] == "cluster" else drawn(d, state, self.seed, targets[0])

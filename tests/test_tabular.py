@@ -468,3 +468,27 @@ def test_registered_neighbours_come_from_every_row(spark, tmp_path):
         near = np.argsort(off)[:k]
         want[i] = np.rint((size[donors][near] / off[near]).sum() / (1 / off[near]).sum())
     assert (got["rows"], got["p_size_n"], got["p_size_sum"]) == (3000, 3000, want.sum())
+
+
+def test_regression_sees_predictors_as_it_was_fitted(spark):
+    """Gaps of a predictor count as its mean in the fit; its own fill, here a far constant, must not enter the estimates."""
+    r = np.random.default_rng(8)
+    n = 700
+    a, b = r.random(n), r.random(n)
+    y = 3 * a + b + r.random(n) / 10
+    gone, hole = np.arange(n) % 7 == 0, np.arange(n) % 5 == 0
+    d = spark.createDataFrame([(f"k{i}", None if g else float(v), None if h else float(p), float(q)) for i, (g, h, v, p, q) in enumerate(zip(gone, hole, y, a, b))], "id string, y double, a double, b double")
+    config = PipelineConfig(random_seed=5)
+    for c in "yab":
+        config.set_column_type(c, "numeric")
+    config.imputation.numeric.set_per_column_strategy("y", "regression")
+    config.imputation.numeric.set_per_column_constant_fill("a", 50.0)
+    profile = StructuralProfiler(config).profile(d)
+    fitted, result = ImputationOrchestrator(config).fit_transform(d, profile)
+    assert fitted.models[0]["models"]["0"]["kind"] == "linear"
+    got = np.array([x["y"] for x in sorted(result.dataframe.collect(), key=lambda x: int(x["id"][1:]))])
+    design = np.c_[np.ones(n), np.where(hole, a[~hole].mean(), a), b]
+    want = design @ np.linalg.lstsq(design[~gone], y[~gone], rcond=None)[0]
+    assert np.allclose(got[gone], want[gone], atol=1e-4) and np.array_equal(got[~gone], y[~gone])
+    assert {x["a"] for x in result.dataframe.collect() if int(x["id"][1:]) % 5 == 0} == {50.0}
+    assert fitted.records["y"].diagnostic.imputed_mean == pytest.approx(float(got[gone].mean()), abs=1e-6)
