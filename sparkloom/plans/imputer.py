@@ -7,10 +7,12 @@ narrow pass of Arrow batches; their state is plain lists, so a fitted imputer is
 
 from __future__ import annotations
 
+import base64
 import math
 import warnings
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import partial
 from itertools import combinations
 
 import numpy as np
@@ -93,55 +95,194 @@ def matrix(df: DataFrame, columns: Sequence[str], rows: int, seed: int = 0) -> n
     return got.to_numpy(dtype=float).reshape(len(got), len(columns))
 
 
+def whole_matrix(df: DataFrame, columns: Sequence[str], seed: int = 0) -> np.ndarray:
+    """All rows, in the order of ``matrix``: equal rows are counted by tasks, and the driver orders the different ones."""
+    d = df.select(*[number(df, c).alias(str(i)) for i, c in enumerate(columns)])
+    names = [F.col(str(i)) for i in range(len(columns))]
+    counted = d.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).select(*names, "n", F.xxhash64(*names, F.lit(seed)).alias("h")).toArrow()
+    x = np.column_stack([counted.column(str(i)).to_numpy().astype(float) for i in range(len(columns))])
+    order = np.lexsort([*np.where(np.isnan(x), -np.inf, x).T[::-1], counted.column("h").to_numpy()])
+    return np.repeat(x[order], counted.column("n").to_numpy()[order], axis=0)
+
+
 # Models on rows: each fits on a matrix and fills a matrix
 
 
-def fit_neighbours(x: np.ndarray, columns: Sequence[str], k: int, weighted: bool) -> dict:
+def fit_neighbours(x: np.ndarray, columns: Sequence[str], k: int, weighted: bool, targets: Sequence[int] | None = None) -> dict:
+    """Of all rows, those that can be among the ``k`` nearest of a row without a cell of ``targets`` (column numbers, all if None).
+
+    Rows that differ in no other cell are equally far from any row, and the first of equals are taken, so the first ``k``
+    of each such group stand for it.
+    """
     mean, std = np.nan_to_num(np.nanmean(x, axis=0)), np.nan_to_num(np.nanstd(x, axis=0))
     std[std == 0] = 1.0
-    return {"kind": "knn", "columns": list(columns), "k": k, "weighted": weighted, "mean": mean.tolist(), "std": std.tolist(), "rows": ((x - mean) / std).tolist()}
-
-
-def apply_neighbours(state: dict, x: np.ndarray, block: int = 256) -> np.ndarray:
-    """Missing cells from the ``k`` nearest fitted rows that have them, by distances over the cells that both rows have."""
-    mean, std, train = np.array(state["mean"]), np.array(state["std"]), np.array(state["rows"], dtype=float)
-    z, have = (x - mean) / std, ~np.isnan(train)
-    t0 = np.where(have, train, 0.0)
-    out = x.copy()
-    todo = np.flatnonzero(np.isnan(x).any(axis=1))
-    for at in range(0, len(todo), block):
-        rows = todo[at : at + block]
-        own = ~np.isnan(z[rows])
-        q0 = np.where(own, z[rows], 0.0)
-        both = own.astype(float) @ have.T.astype(float)
-        d2 = (q0**2) @ have.T + own @ (t0**2).T - 2 * q0 @ t0.T
+    z, targets = (x - mean) / std, list(range(x.shape[1]) if targets is None else targets)
+    needed = np.zeros(len(z), bool)
+    for c in targets:
+        donors = np.flatnonzero(~np.isnan(z[:, c]))
+        group = _groups(np.delete(z[donors], c, axis=1))
+        order = np.argsort(group, kind="stable")
+        place = np.arange(len(order)) - np.searchsorted(group[order], group[order])
+        needed[donors[order[place < k]]] = True
+    rows = np.ascontiguousarray(z[needed], dtype="<f8")
+    return {"kind": "knn", "columns": list(columns), "k": k, "weighted": weighted, "targets": [int(c) for c in targets], "mean": mean.tolist(), "std": std.tolist(), "rows": base64.b64encode(rows.tobytes()).decode()}
+
+
+def _groups(z: np.ndarray) -> np.ndarray:
+    """A number for each row, the same for rows with the same cells."""
+    if not z.size:
+        return np.zeros(len(z), int)
+    key = np.where(np.isnan(z), np.inf, z)
+    order = np.lexsort(key.T)
+    new = np.r_[False, (key[order][1:] != key[order][:-1]).any(axis=1)]
+    out = np.empty(len(z), int)
+    out[order] = np.cumsum(new)
+    return out
+
+
+def _boxes(z: np.ndarray, rows: np.ndarray, size: int) -> list[np.ndarray]:
+    """``rows`` of ``z``, halved at the median of the widest column until at most ``size`` are left or all are equal."""
+    out, todo = [], [rows]
+    while todo:
+        at = todo.pop()
+        cells = z[at]
+        if len(at) > size and cells.shape[1]:
+            width = cells.max(axis=0) - cells.min(axis=0)
+            c = int(width.argmax())
+            if width[c] > 0:
+                half = np.argpartition(cells[:, c], len(at) // 2)
+                todo += [at[half[: len(at) // 2]], at[half[len(at) // 2 :]]]
+                continue
+        out.append(at)
+    return out
+
+
+class _Donors:
+    """The rows that have the cell of column ``c``, in boxes of rows with the same missing cells, for an exact search."""
+
+    SIZE = 128  # rows in a box
+    CELLS = 4_000_000  # distances at a time
+
+    def __init__(self, z: np.ndarray, c: int) -> None:
+        z = z[~np.isnan(z[:, c])]
+        self.value, self.width = z[:, c], z.shape[1]
+        self.z = np.delete(z, c, axis=1)
+        self.have = ~np.isnan(self.z)
+        self.z0 = np.where(self.have, self.z, 0.0)
+        pattern = _groups(np.where(self.have, 1.0, 0.0))
+        by = np.argsort(pattern, kind="stable")
+        parts = np.split(by, np.flatnonzero(np.diff(pattern[by])) + 1) if len(by) else []
+        self.boxes = [box for part in parts for box in _boxes(self.z0, part, self.SIZE)]
+        self.sizes = np.array([len(b) for b in self.boxes], dtype=int)
+        shape = (len(self.boxes), self.width - 1)
+        self.low = np.array([self.z0[b].min(axis=0) for b in self.boxes]).reshape(shape)
+        self.high = np.array([self.z0[b].max(axis=0) for b in self.boxes]).reshape(shape)
+        self.box_have = np.array([self.have[b[0]] for b in self.boxes], dtype=bool).reshape(shape)
+
+    def nearest(self, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Distances and values of the ``k`` nearest donors of each row of ``q`` (cells without column ``c``), the first of equally
+        far ones; infinite where there are fewer with a common cell."""
+        dist, value = np.full((len(q), k), np.inf), np.zeros((len(q), k))
+        group = _groups(q)
+        first, place = np.unique(group, return_index=True)
+        q, own = q[place], ~np.isnan(q[place])
+        q0 = np.where(own, q, 0.0)
+        found_d, found_v = np.full((len(q), k), np.inf), np.zeros((len(q), k))
+        pattern = _groups(own.astype(float))
+        for p in range(pattern.max(initial=-1) + 1):
+            rows = np.flatnonzero(pattern == p)
+            cells = np.flatnonzero(own[rows[0]])
+            if len(cells) and len(self.boxes):
+                boxes = (self.low[:, cells], self.high[:, cells], self.box_have[:, cells].astype(float))
+                size = int(max(1, min(self.SIZE, math.sqrt(self.CELLS / 20 * len(rows) / len(self.value)))))  # few queries are far apart: small groups
+                for at in _boxes(q0, rows, size):
+                    self._settle(q0, at, cells, boxes, k, found_d, found_v)
+        at = np.searchsorted(first, group)
+        dist[:], value[:] = found_d[at], found_v[at]
+        return dist, value
+
+    def _settle(self, q0: np.ndarray, at: np.ndarray, cells: np.ndarray, boxes: tuple[np.ndarray, np.ndarray, np.ndarray], k: int, dist: np.ndarray, value: np.ndarray) -> None:
+        q = q0[np.ix_(at, cells)]
+        low, high, have = boxes
+        gap = np.maximum(np.maximum(low - q.max(axis=0), q.min(axis=0) - high), 0.0) ** 2 * have
         with np.errstate(divide="ignore", invalid="ignore"):
-            d = np.sqrt(np.maximum(d2, 0.0) * z.shape[1] / both)
-        d[both == 0] = np.inf
-        for c in np.flatnonzero(np.isnan(x[rows]).any(axis=0)):
-            donors = np.flatnonzero(have[:, c])
-            want = np.flatnonzero(np.isnan(x[rows, c]))
-            if not len(donors):
-                out[rows[want], c] = mean[c]
+            least = gap.sum(axis=1) * (self.width / have.sum(axis=1))
+        least[np.isnan(least)] = np.inf
+        near = np.flatnonzero(np.isfinite(least))
+        if not len(near):
+            return
+        few = near if len(near) <= k else near[np.argpartition(least[near], k - 1)[:k]]  # the nearest boxes, which hold k donors, bound the distance of the k-th
+        few = few[np.argsort(least[few], kind="stable")]
+        few = few[: int(np.searchsorted(np.cumsum(self.sizes[few]), k)) + 1]
+        step = lambda m: max(1, self.CELLS // max(1, m))
+        if len(few) < len(near):
+            some = np.concatenate([self.boxes[b] for b in few])
+            bound = max(float(np.partition(self._squares(q[i : i + step(len(some))], some, cells)[0], k - 1, axis=1)[:, k - 1].max()) for i in range(0, len(q), step(len(some))))
+            near = near[least[near] <= self._loose(bound, q, some, cells)]
+        donors = np.sort(np.concatenate([self.boxes[b] for b in near]))
+        m = min(k, len(donors))
+        for i in range(0, len(q), step(len(donors))):
+            part = q[i : i + step(len(donors))]
+            squares, slack = self._squares(part, donors, cells)
+            limit = np.partition(squares, m - 1, axis=1)[:, m - 1 : m]
+            row, j = np.nonzero(squares <= limit * (1 + 1e-9) + slack)
+            both = self.have[np.ix_(donors, cells)][j]
+            off = np.where(both, part[row] - self.z0[np.ix_(donors, cells)][j], 0.0)
+            exact = np.sqrt((off**2).sum(axis=1) * self.width / both.sum(axis=1))
+            order = np.lexsort((j, exact, row))
+            row, j, exact = row[order], j[order], exact[order]
+            take = np.searchsorted(row, np.arange(len(part)))[:, None] + np.arange(m)
+            rows = at[i : i + len(part)]
+            dist[rows, :m], value[rows, :m] = exact[take], self.value[donors[j[take]]]
+
+    def _squares(self, q: np.ndarray, donors: np.ndarray, cells: np.ndarray) -> tuple[np.ndarray, float]:
+        """Squared distances by products, from cells moved to the middle of ``q``, and a bound on their error."""
+        middle = q.mean(axis=0)
+        have = self.have[np.ix_(donors, cells)].astype(float)
+        a, t = q - middle, (self.z0[np.ix_(donors, cells)] - middle) * have
+        s = (a**2) @ have.T + (t**2).sum(axis=1) - 2 * a @ t.T
+        scale = self.width / have.sum(axis=1)
+        error = 1e-13 * (len(cells) + 4) * float((a**2).sum(axis=1).max() + (t**2).sum(axis=1).max()) * float(scale.max())
+        return np.maximum(s, 0.0) * scale, 2 * error
+
+    def _loose(self, bound: float, q: np.ndarray, donors: np.ndarray, cells: np.ndarray) -> float:
+        """``bound``, raised by the error of the products that gave it and of the boxes' sides."""
+        return bound * (1 + 1e-9) + self._squares(q[:1], donors, cells)[1] * 4 + 1e-13 * float((q**2).sum(axis=1).max()) * self.width
+
+
+class Neighbours:
+    """A fitted search; ``fill`` gives missing cells from the ``k`` nearest fitted rows that have them.
+
+    Distances are over the cells that both rows have.  Boxes only leave out rows that are proven to be farther than the ``k``-th.
+    """
+
+    def __init__(self, state: dict) -> None:
+        self.state, self.mean, self.std = state, np.array(state["mean"]), np.array(state["std"])
+        self.z = np.frombuffer(base64.b64decode(state["rows"]), "<f8").reshape(-1, len(self.mean))
+        self.donors: dict[int, _Donors] = {}
+
+    def fill(self, x: np.ndarray) -> np.ndarray:
+        z, out = (x - self.mean) / self.std, x.copy()
+        for c in self.state["targets"]:
+            want = np.flatnonzero(np.isnan(x[:, c]))
+            if not len(want):
                 continue
-            near = d[np.ix_(want, donors)]
-            k = min(state["k"], len(donors))
-            limit = np.partition(near, k - 1, axis=1)[:, k - 1 : k]
-            at, donor = np.nonzero(near <= limit)  # in order of rows and donors, so the first of equally far donors are taken
-            dist = near[at, donor]
-            order = np.lexsort((donor, dist, at))
-            at, donor, dist = at[order], donor[order], dist[order]
-            first = np.searchsorted(at, np.arange(len(want)))[:, None] + np.arange(k)
-            dist, values = dist[first], train[donors[donor[first]], c]
+            if c not in self.donors:
+                self.donors[c] = _Donors(self.z, c)
+            dist, values = self.donors[c].nearest(np.delete(z[want], c, axis=1), self.state["k"])
             w = np.isfinite(dist).astype(float)
-            if state["weighted"]:
+            if self.state["weighted"]:
                 zero = dist == 0
                 with np.errstate(divide="ignore"):
                     w = np.where(zero.any(axis=1, keepdims=True), zero, np.where(np.isfinite(dist), 1 / dist, 0.0)).astype(float)
             total = w.sum(axis=1)
             value = np.where(total > 0, (w * values).sum(axis=1) / np.where(total > 0, total, 1), 0.0)
-            out[rows[want], c] = value * std[c] + mean[c]
-    return out
+            out[want, c] = value * self.std[c] + self.mean[c]
+        return out
+
+
+def apply_neighbours(state: dict, x: np.ndarray) -> np.ndarray:
+    return Neighbours(state).fill(x)
 
 
 def fit_chain(x: np.ndarray, columns: Sequence[str], used: dict[int, list[int]], tag: NonlinearityTag | None, rounds: int, tol: float, centre: np.ndarray, scale: np.ndarray, config: NumericImputationConfig, seed: int) -> dict:
@@ -206,8 +347,9 @@ def apply_rows(df: DataFrame, states: Sequence[dict]) -> DataFrame:
     schema = T.StructType([*df.schema.fields, *[T.StructField(f, T.DoubleType()) for f in filled]])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fills = [Neighbours(state).fill if state["kind"] == "knn" else partial(apply_chain, state) for state in shared.value]
         for frame in frames:
-            done = [(apply_neighbours if state["kind"] == "knn" else apply_chain)(state, frame[[numbers[c] for c in state["columns"]]].to_numpy(dtype=float)) for state in shared.value]
+            done = [fill(frame[[numbers[c] for c in state["columns"]]].to_numpy(dtype=float)) for fill, state in zip(fills, shared.value)]
             out = frame.drop(columns=list(numbers.values()))
             for name, (i, t) in zip(filled, targets):
                 out[name] = done[i][:, shared.value[i]["columns"].index(t)]
@@ -618,13 +760,13 @@ class _Fit:
             for c in targets:
                 self._fall_back(c, "no other column to measure distances by")
             return
-        x = matrix(self.df, columns, n.knn_max_rows, self.seed)  # all rows: more are refused
+        x = whole_matrix(self.df, columns, self.seed)
         gaps = float(np.isnan(x[:, : len(targets)]).mean()) if x.size else 0.0
         complete = float((~np.isnan(x).any(axis=1)).mean()) if len(x) else 0.0
         k, capped = n_neighbours(n, len(columns), len(x), gaps, complete)
         weighted = gaps <= n.knn_distance_weight_max_null_ratio and len(columns) <= n.knn_distance_weight_max_features
-        state = {**fit_neighbours(x, columns, k, weighted), "capped": capped}
-        self._add(state, targets, x, apply_neighbours, lambda train, test: apply_neighbours(fit_neighbours(train, columns, k, weighted), test))
+        fit = lambda m: fit_neighbours(m, columns, k, weighted, range(len(targets)))
+        self._add({**fit(x), "capped": capped}, targets, x, apply_neighbours, lambda train, test: apply_neighbours(fit(train), test))
 
     def _fill_kind(self, c: str) -> str:
         s = self._stats(c)

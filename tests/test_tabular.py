@@ -3,6 +3,7 @@ import math
 from datetime import datetime, timedelta
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyarrow import feather
@@ -492,3 +493,59 @@ def test_regression_sees_predictors_as_it_was_fitted(spark):
     assert np.allclose(got[gone], want[gone], atol=1e-4) and np.array_equal(got[~gone], y[~gone])
     assert {x["a"] for x in result.dataframe.collect() if int(x["id"][1:]) % 5 == 0} == {50.0}
     assert fitted.records["y"].diagnostic.imputed_mean == pytest.approx(float(got[gone].mean()), abs=1e-6)
+
+
+def _brute_neighbours(x, wanted, k, weighted):
+    """``wanted`` with missing cells filled from all rows of ``x``, one distance after the other."""
+    mean, std = np.nanmean(x, axis=0), np.nanstd(x, axis=0)
+    std[std == 0] = 1.0
+    t, out = (x - mean) / std, wanted.copy()
+    for i, c in zip(*np.nonzero(np.isnan(wanted))):
+        donors = np.flatnonzero(~np.isnan(t[:, c]))
+        off = t[donors] - (wanted[i] - mean) / std
+        both = ~np.isnan(off)
+        with np.errstate(all="ignore"):
+            dist = np.where(both.any(axis=1), np.sqrt(np.where(both, off**2, 0.0).sum(axis=1) * x.shape[1] / both.sum(axis=1)), np.inf)
+            near = np.lexsort((donors, dist))[:k]
+            w = np.isfinite(dist[near]).astype(float)
+            if weighted:
+                w = (dist[near] == 0).astype(float) if (dist[near] == 0).any() else np.where(w > 0, 1 / dist[near], 0.0)
+        out[i, c] = ((w * t[donors[near], c]).sum() / w.sum() if w.sum() else 0.0) * std[c] + mean[c]
+    return out
+
+
+@pytest.mark.parametrize("case", range(6))
+def test_neighbours_found_by_boxes_are_those_of_all_rows(case):
+    """Gaps in every column, many copies, few levels, one row far away, another scale: nothing nearer is left out."""
+    r = np.random.default_rng(case)
+    x = r.normal(size=(900, 2 + case % 3)) if case % 2 else r.integers(0, 30, (900, 2 + case % 3)).astype(float)
+    x[:, -1] = x[:, -1] * 1e6 + 1e8
+    x[r.random(x.shape) < (0.05, 0.4)[case % 2]] = np.nan
+    x[0] = 1e9
+    x = np.repeat(x, r.integers(1, 6, len(x)), axis=0) if case < 4 else x
+    some = x[r.permutation(len(x))[:120]]
+    for k, weighted in ((1, True), (5, True), (7, False)):
+        got = I.apply_neighbours(I.fit_neighbours(x, list("abcd")[: x.shape[1]], k, weighted), some)
+        assert np.allclose(got, _brute_neighbours(x, some, k, weighted), rtol=1e-9, atol=1e-7)
+
+
+def test_registered_neighbours_beyond_the_declared_bound(spark, tmp_path):
+    """More rows than ``knn_max_rows``: the query does all of them, and the imputer by itself still refuses."""
+    from sparkloom.queries import QUERIES
+
+    r, n = np.random.default_rng(4), 51_000
+    size, price = r.integers(1, 51, n), r.permutation(n) / 7 + 900 + r.random(n) / 100
+    d = spark.createDataFrame(pd.DataFrame({"p_size": size, "p_retailprice": price}))
+    d.write.parquet(str(tmp_path / "part.parquet"))
+    got = QUERIES["impute_knn"](spark, str(tmp_path)).first()
+    donors, want = size != 1, size.astype(float)
+    for i in np.flatnonzero(~donors):
+        off = np.abs(price[donors] - price[i])
+        near = np.argpartition(off, 5)[:5]
+        want[i] = np.rint((size[donors][near] / off[near]).sum() / (1 / off[near]).sum())
+    assert (got["rows"], got["p_size_n"], got["p_size_sum"]) == (n, n, want.sum())
+    config = PipelineConfig(random_seed=7)
+    config.profiling.set_numeric_sentinel("p_size", [1])
+    config.imputation.numeric.set_per_column_strategy("p_size", "knn")
+    with pytest.raises(ValueError):
+        ImputationOrchestrator(config).fit(d, StructuralProfiler(config).profile(d))
